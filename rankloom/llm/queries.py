@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import licenses, media, packing, ppm, quality, urls
+from rankloom.llm import licenses, media, packing, ppm, quality, substrings, urls
 from rankloom.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op1_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_avi_media, op4_ppm_scores, op5_packing, op6_url_filter, op9_license_scan, op10_quality)}
-ORACLES: dict[str, str] = {"op6_url_filter": urls.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_avi_media, op3_substring_dedup, op4_ppm_scores, op5_packing, op6_url_filter, op9_license_scan, op10_quality)}
+ORACLES: dict[str, str] = {"op3_substring_dedup": substrings.ORACLE, "op6_url_filter": urls.oracle()}
