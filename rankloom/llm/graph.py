@@ -1,0 +1,28 @@
+"""Connected components of very many links, by alternating large-star and small-star steps over written tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rankloom.llm.shared import settle
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node of links (a, b), nodes being longs: root is the smallest node that can be reached.
+
+    Each step hangs every node's neighbours on the smallest of them, so hubs shrink to stars; a step's
+    messages are as many as the links. Steps go on until the links are the same as before, O(log(n) ** 2) at most.
+    """
+    at = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    last = None
+    while True:
+        both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        at = settle(large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        now = tuple(at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == last or not now[0]:
+            return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        last = now

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import licenses, media, packing, ppm, quality, substrings, urls
+from rankloom.llm import licenses, media, near, packing, ppm, quality, substrings, urls
 from rankloom.llm.shared import table
 
 
@@ -30,6 +30,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_avi_media, op3_substring_dedup, op4_ppm_scores, op5_packing, op6_url_filter, op9_license_scan, op10_quality)}
-ORACLES: dict[str, str] = {"op3_substring_dedup": substrings.ORACLE, "op6_url_filter": urls.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_avi_media, op3_substring_dedup, op4_ppm_scores, op5_packing, op6_url_filter, op7_jaccard_join, op9_license_scan, op10_quality)}
+ORACLES: dict[str, str] = {"op3_substring_dedup": substrings.ORACLE, "op6_url_filter": urls.oracle(), "op7_jaccard_join": near.ORACLE}
