@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.llm.shared import train_rows
 from rankloom.llm.textkit import view
@@ -110,10 +111,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fold: int
     return model
 
 
-def score(docs: DataFrame, model: Model | float, *, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score in 0 to 1 and predicted (1 from `threshold` on) of every row."""
+def score(docs: DataFrame, model: Model | float, *, threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, score in 0 to 1, predicted (1 from `threshold` on) and carried columns of every row."""
+    carry = carry or []
     if isinstance(model, float):
-        return docs.select("doc_id", F.lit(model).alias("score"), F.lit(int(model >= threshold)).alias("predicted"))
+        return docs.select("doc_id", F.lit(model).alias("score"), F.lit(int(model >= threshold)).alias("predicted"), *carry)
+    names = ["doc_id", *dict.fromkeys(["text", *carry])]
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, score double, predicted int").fields, *[T.StructField(c, docs.schema[c].dataType) for c in carry]])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -125,9 +129,9 @@ def score(docs: DataFrame, model: Model | float, *, threshold: float = 0.3) -> D
             x = features(np.array([sizes(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]).reshape(-1, 5))
             z = m.weights[0] + ((x - m.mean) / m.scale) @ m.weights[1:]
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *map(batch.column, carry)], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, fold: int = 0, threshold: float = 0.3, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import licenses, media, near, packing, ppm, quality, substrings, urls
+from rankloom.llm import licenses, media, mixing, near, packing, ppm, quality, substrings, urls, vectors
 from rankloom.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op1_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -42,5 +51,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_avi_media, op3_substring_dedup, op4_ppm_scores, op5_packing, op6_url_filter, op7_jaccard_join, op9_license_scan, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_avi_media, op2_vector_search, op3_substring_dedup, op4_ppm_scores, op5_packing, op6_url_filter, op7_jaccard_join, op8_source_mixing, op9_license_scan, op10_quality)}
 ORACLES: dict[str, str] = {"op3_substring_dedup": substrings.ORACLE, "op6_url_filter": urls.oracle(), "op7_jaccard_join": near.ORACLE}
