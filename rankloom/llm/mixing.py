@@ -54,8 +54,8 @@ def with_words(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_distinct", F.concat("_set", _marks(text, F.col("_words"), F.col("_set")))).drop("_words", "_set")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1500, vocabulary: int = 96) -> dict:
-    """Priors and word weights (log odds against the average domain) of the domains."""
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1500, vocabulary: int = 96, least: float = 25.0, calm: float = 5.0) -> dict:
+    """Priors and word weights (log ratios to the average rate) of the domains; a word needs a likelihood ratio of `least`."""
     named = domains(labels)
     share = {r.domain: r["count"] for r in named.groupBy("domain").count().collect()}
     total = sum(share.values())
@@ -68,12 +68,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1500, vocabula
     size = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
     count = [F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
     rows = sample.select("domain", F.explode("_distinct").alias("word")).groupBy("word").agg(*count, F.count("*").alias("c")).where("c >= 8")
-    logs = {d: F.log((F.col(d) + 0.5) / (size.get(d, 0) + 1.0)) for d in DOMAINS}
-    mean = sum(logs.values()) / len(DOMAINS)
-    rows = rows.select("word", "c", *[(logs[d] - mean).alias(d) for d in DOMAINS])
-    gain = sum(F.abs(d) for d in DOMAINS) * F.sqrt("c")
-    best = rows.orderBy(F.desc(F.col("word").startswith("\x01")), F.desc(gain), "word").limit(vocabulary).collect()
-    return {"prior": prior, "weights": {r.word: tuple(round(r[d], 6) for d in DOMAINS) for r in best}}
+    n = max(1, sum(size.values()))
+    # a word's rate in a domain, pulled towards its rate in all as if `calm` more documents were average
+    ratio = {d: F.log((F.col(d) + calm * F.col("c") / n) / (size.get(d, 0) + calm) / (F.col("c") / n)) for d in DOMAINS}
+    # the likelihood-ratio statistic of word against domain: small ones are chance
+    told = 2 * sum((F.when(F.col(d) > 0, F.col(d) * F.log(F.col(d) / (F.col("c") * size.get(d, 0) / n))).otherwise(0.0) for d in DOMAINS), F.lit(0.0))
+    rows = rows.withColumn("_told", told).where(F.col("_told") >= least).select("word", "_told", *[ratio[d].alias(f"w_{d}") for d in DOMAINS])
+    best = rows.orderBy(F.desc(F.round("_told", 6)), "word").limit(vocabulary).collect()
+    return {"prior": prior, "weights": {r.word: tuple(round(r[f"w_{d}"], 6) for d in DOMAINS) for r in best}}
 
 
 def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
