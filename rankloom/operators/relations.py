@@ -17,7 +17,7 @@ def nearest_in_time(grid: DataFrame, points: DataFrame, by: str, at: str) -> Dat
     back = Window.partitionBy(by).orderBy(F.col(at), "_kind", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(by).orderBy(F.col(at).desc(), "_kind", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumns({"_b": F.last(point, ignorenulls=True).over(back), "_a": F.last(point, ignorenulls=True).over(ahead)}).where("_kind = 1")
-    gap = lambda c: F.abs(F.unix_micros(F.col(at)) - F.unix_micros(F.col(f"{c}.t")))
+    gap = lambda c: F.abs(F.timestamp_diff("MICROSECOND", F.col(f"{c}.t"), F.col(at)))
     early = F.col("_a").isNull() | (gap("_b") <= gap("_a"))
     return found.select(by, at, F.when(early, F.col("_b.i")).otherwise(F.col("_a.i")).alias("point_id"), F.when(early, gap("_b")).otherwise(gap("_a")).alias("micros"))
 
