@@ -115,11 +115,15 @@ def _rate(steps: list[list[float]], least: Column) -> Column:
     """The rate after steps from 1 on, each projected to what is allowed."""
     r = F.lit(1.0)
     for g in steps:
-        r = F.greatest(least, r - sum((F.lit(x) * F.col(f"p_{d}") for x, d in zip(g, DOMAINS)), F.lit(0.0)))
+        r = _step(r, g, least)
     return r
 
 
-def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None, rounds: int = 16, close: float = 1e-4) -> tuple[list[list[float]], Column]:
+def _step(r: Column, g: list[float], least: Column) -> Column:
+    return F.greatest(least, r - sum((F.lit(x) * F.col(f"p_{d}") for x, d in zip(g, DOMAINS)), F.lit(0.0)))
+
+
+def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None, rounds: int = 12, close: float = 1e-4) -> tuple[list[list[float]], Column]:
     """The steps that fit the rates, and the least rate of a document. known: n_tokens and posteriors.
 
     Targets are weights of all tokens; given a domain to keep, of as many tokens as make its weight what it has."""
@@ -132,21 +136,26 @@ def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None,
     norm = sum(weights.values())
     whole = mass[keep] / (weights[keep] / norm) if keep else mass.n
     target = [weights[d] / norm * whole / mass.n for d in DOMAINS]
+    at = known.select("n_tokens", *[f"p_{d}" for d in DOMAINS], F.lit(1.0).alias("r"), least.alias("_least"))
+    step: list[float] | None = None
     steps: list[list[float]] = []
     best, plain = None, False
     for _ in range(rounds):
-        r, share = _rate(steps, least), F.col("n_tokens") / F.lit(float(mass.n))
-        free = F.when(r > least, share).otherwise(0.0)
-        sums = known.agg(
-            *[F.sum(r * share * F.col(f"p_{d}")).alias(f"m{i}") for i, d in enumerate(DOMAINS)],
-            *[F.sum(free * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"g{i}{j}") for i, a in enumerate(DOMAINS) for j, b in enumerate(DOMAINS)],
+        trial = at if step is None else at.withColumn("r", _step(F.col("r"), step, F.col("_least")))
+        share = F.col("n_tokens") / F.lit(float(mass.n))
+        free = F.when(F.col("r") > F.col("_least"), share).otherwise(0.0)
+        sums = trial.agg(
+            *[F.sum(F.col("r") * share * F.col(f"p_{d}")).alias(f"m{i}") for i, d in enumerate(DOMAINS)],
+            *[F.sum(free * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"g{i}{j}") for i, a in enumerate(DOMAINS) for j, b in enumerate(DOMAINS) if i <= j],
         ).first()
         off = [sums[f"m{i}"] - t for i, t in enumerate(target)]
         error = sum(x * x for x in off)
         if best is None or error < best[0] * (1 - 1e-4):
             ridge = 1e-6 + 1e-3 * max(sums[f"g{i}{i}"] for i in range(len(DOMAINS)))
-            g = [[sums[f"g{i}{j}"] + (ridge if i == j else 0.0) for j in range(len(DOMAINS))] for i in range(len(DOMAINS))]
-            best, plain = (error, steps, off, g), False
+            g = [[sums[f"g{min(i, j)}{max(i, j)}"] + (ridge if i == j else 0.0) for j in range(len(DOMAINS))] for i in range(len(DOMAINS))]
+            if step is not None:
+                steps, at = [*steps, step], settle(trial)
+            best, plain = (error, off, g), False
         elif plain:  # a plain step never makes it worse: what is left can't be reached
             break
         else:
@@ -154,17 +163,17 @@ def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None,
         if best[0] <= close**2 * sum(t * t for t in target):
             break
         # shares of tokens times posteriors' products sum up to less than 1, so a plain gradient step of 1 is safe
-        steps = [*best[1], best[2] if plain else _solve(best[3], best[2])]
-    return best[1], least
+        step = best[1] if plain else _solve(best[2], best[1])
+    return steps, least
 
 
-def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, keep: str | None = None, **options) -> DataFrame:
-    """docs with n_tokens, p_<domain> and rate: how often each document is to be read, in expectation."""
+def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, keep: str | None = None, with_text: bool = True, **options) -> DataFrame:
+    """docs (without the text, if it isn't asked for) with n_tokens, p_<domain> and rate: how often each document is to be read, in expectation."""
     if clash := {"n_tokens", "rate", *(f"p_{d}" for d in DOMAINS)} & set(docs.columns):
         raise ValueError(f"docs has columns {sorted(clash)}")
     scored = with_posteriors(docs, fit(docs, labels, **options))
-    known = settle(scored.select("n_tokens", *[f"p_{d}" for d in DOMAINS]))
-    steps, least = rates(known, weights or WEIGHTS, keep)
+    scored = settle(scored if with_text else scored.drop("text"))  # the texts are read once; every iteration reads four numbers a row
+    steps, least = rates(scored, weights or WEIGHTS, keep)
     return scored.withColumn("rate", F.round(_rate(steps, least), 6))
 
 

@@ -40,7 +40,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixing.mix(docs, table(spark, sf_dir, "labels")).drop("text")
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), with_text=False)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
