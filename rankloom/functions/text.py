@@ -77,7 +77,7 @@ def content_key(*columns: str) -> Column:
 def strip_citations(text: Column, known: Column) -> Column:
     """Without bracketed lists all of whose parts are known ids."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\[[^\[\]]*\])"), F.lit(1)))
-    parts = lambda c: F.transform(F.split(F.substring(c, F.lit(2), F.length(c) - 2), ","), F.trim)
+    parts = lambda c: F.transform(F.split(F.substring(c, F.lit(2), F.length(c) - 2), ","), lambda x: F.trim(x))
     drop = F.filter(found, lambda c: F.forall(parts(c), lambda p: F.array_contains(known, p)))
     return F.aggregate(drop, text, lambda s, c: F.replace(s, c, F.lit("")))
 
