@@ -75,7 +75,8 @@ def greedy_split(groups: DataFrame, target: int, seed: int) -> DataFrame:
                 chosen.append(take)
             yield pa.RecordBatch.from_arrays([b.column("group_id"), b.column("n").cast(pa.int64()), pa.array(chosen, pa.bool_())], ["group_id", "n", "chosen"])
 
-    return order.drop("_key").mapInArrow(run, "group_id long, n long, chosen boolean")
+    kind = groups.schema["group_id"].dataType.simpleString()
+    return order.drop("_key").mapInArrow(run, f"group_id {kind}, n long, chosen boolean")
 
 
 def split_seed(text: str) -> int:
