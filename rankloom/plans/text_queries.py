@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
+from rankloom.functions.code import segments
 from rankloom.operators import audit, lexical, metrics, ranking
 from rankloom.plans.tables import settle, table
 
@@ -238,3 +239,15 @@ def citation_strip(spark, sf_dir):
 def prediction_parse(spark, sf_dir):
     """A JSON payload with exactly the expected keys."""
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), (F.array_sort(F.json_object_keys("props")) == F.array(F.lit("k"))).alias("exact_keys"))
+
+
+@query()
+def lossless_segments(spark, sf_dir):
+    return segments(docs(spark, sf_dir)).select("doc_id", "segment", "start", "stop", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS covered, TRUE AS tiles FROM documents WHERE length(text) > 0")
+def lossless_coverage(spark, sf_dir):
+    found = segments(docs(spark, sf_dir)).select("doc_id", "start", "stop")
+    judged = audit.tiling(found, docs(spark, sf_dir).select("doc_id", F.length("text").alias("length")))
+    return judged.where("n_segments > 0").join(found.groupBy("doc_id").agg(F.sum(F.col("stop") - F.col("start")).alias("covered")), "doc_id").select("doc_id", "covered", "tiles")

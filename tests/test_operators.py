@@ -181,3 +181,16 @@ def test_rerank_ties(spark):
     scores = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 1.0), ("q", "c", 2.0)], "query_id string, doc_id string, new_score double")
     assert rows(ranking.rerank(lists, scores).orderBy("rank"), "doc_id") == [("c",), ("a",), ("b",)]
     assert rows(ranking.rerank(lists, scores, "rank").orderBy("rank"), "doc_id") == [("c",), ("b",), ("a",)]
+
+
+def test_code_columns(spark):
+    from rankloom.functions import code
+
+    source = 'def f(x):\n    """doc"""\n    return x  # why\n\ns = "kept # not a comment"\n'
+    assert code.without_comments(source) == 'def f(x):\n\n    return x\n\ns = "kept # not a comment"\n'
+    assert code.without_comments("def (") == "def ("
+    text = "a b c\n" * 30 + "x" * 50
+    parts = code.cut(text, 40, 5, lambda s: len(s.split()))
+    assert "".join(text[a:b] for a, b in parts) == text and all(len(text[a:b].split()) <= 5 for a, b in parts)
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    assert {r.doc_id for r in code.segments(df).collect()} == {1}
