@@ -7,10 +7,11 @@ equal: similar sets share a signature, always. A few first-level partitions more
 ones than that many partitions keeps them).
 
 Equal sets are one node from the start. Signatures go through count-min sketches (see sketch), so that only nodes with a signature that may be
-repeated go on, with their sets. Each of them is compared exactly with one neighbour, the centre of a signature with which it shares most
-signatures; those links give first components. Then, signature by signature, all pairs of different components are held against an exact lower
-bound of their difference, and those that pass are compared exactly. So a large group of near copies costs a link a member,
-and every pair that shares a signature is linked, in one component already, or shown not to be similar.
+repeated go on, and of these only signatures that two nodes do have. In a few rounds each node is compared exactly with one neighbour of another
+component: of the centres of its signatures (first the member that shares most with others, then random ones), the one that most of them share; the links found give components. Then, signature by
+signature, all pairs of different components are held against an exact lower bound of their difference, and those that pass are compared
+exactly. So a large group of near copies costs a few comparisons a member, and every pair that shares a signature is linked, in one
+component already, or shown not to be similar.
 
 Defined cases. Null or empty text, or one without words: n_shingles 0, alone, component_id its own id. Fewer than k words: the whole
 sequence is one shingle. Null doc_id: takes part, never names a component (one of null ids alone has a null component_id). Repeated rows: equal
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,15 +133,21 @@ def _sets(docs: DataFrame, k: int, bands: Bands, carry: list[str]) -> DataFrame:
     return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
 
+def _group_sets(table: pa.Table, k: int):
+    """(nodes, elements, offsets) of a group's distinct nodes, piece by piece."""
+    order = np.unique(table.column("node").to_numpy(), return_index=True)[1]
+    nodes, texts = table.column("node").to_numpy()[order], table.column("text").take(pa.array(order)).combine_chunks()
+    for lo, data, offsets in text_pieces(texts):
+        elements, at = shingle_sets(data, offsets, k)
+        yield nodes[lo : lo + len(at) - 1], elements, at
+
+
 def _candidates(x: DataFrame, k: int, bands: Bands, sketch: Sketch) -> DataFrame:
-    """Nodes with a signature that may be repeated: node, n, the set, its fold and those signatures."""
+    """Nodes with a signature that may be repeated: node, n and those signatures."""
 
     def sets(table):
-        order = np.unique(table.column("node").to_numpy(), return_index=True)[1]
-        nodes, texts = table.column("node").to_numpy()[order], table.column("text").take(pa.array(order)).combine_chunks()
-        for lo, data, offsets in text_pieces(texts):
-            elements, at = shingle_sets(data, offsets, k)
-            yield nodes[lo : lo + len(at) - 1], elements, at, *signatures(elements, at, bands)
+        for nodes, elements, at in _group_sets(table, k):
+            yield nodes, at, *signatures(elements, at, bands)
 
     def first(key, table):
         return cell_table(key[0].as_py(), sketch.send(np.concatenate([s for *_, s, _ in sets(table)])))
@@ -149,19 +157,34 @@ def _candidates(x: DataFrame, k: int, bands: Bands, sketch: Sketch) -> DataFrame
         if left.num_rows:
             every = list(sets(left))
             tables = sketch.receive(np.concatenate([s for *_, s, _ in every]), received(right))
-            for nodes, elements, at, signs, whose in every:
+            for nodes, at, signs, whose in every:
                 hit = sketch.repeated(signs, tables)
                 signs, whose = signs[hit], whose[hit]
                 order = np.argsort(whose, kind="stable")
                 signs, upto = signs[order].view(np.int64), np.searchsorted(whose[order], np.arange(len(nodes) + 1))
                 for i in np.flatnonzero(np.diff(upto)).tolist():
-                    mine = elements[at[i] : at[i + 1]]
-                    rows.append((int(nodes[i]), len(mine), mine.tobytes(), _fold(mine), signs[upto[i] : upto[i + 1]]))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["node", "n", "elements", "fold", "signatures"])
+                    rows.append((int(nodes[i]), int(at[i + 1] - at[i]), signs[upto[i] : upto[i + 1]]))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["node", "n", "signatures"])
 
     bits = merged(x.groupBy("_group").applyInArrow(first, CELLS))
-    return x.groupBy("_group").cogroup(bits.groupBy("_group")).applyInArrow(second, "node long, n long, elements binary, fold binary, signatures array<long>")
+    return x.groupBy("_group").cogroup(bits.groupBy("_group")).applyInArrow(second, "node long, n long, signatures array<long>")
+
+
+def _sets_of(x: DataFrame, nodes: DataFrame, k: int, groups: int) -> DataFrame:
+    """The sets of some nodes and their folds."""
+
+    def run(key, left, right):
+        rows = []
+        if left.num_rows and right.num_rows:
+            asked = left.filter(pa.compute.is_in(left.column("node"), right.column("node").combine_chunks()))
+            for mine, elements, at in _group_sets(asked, k):
+                sets = [elements[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                rows += [(int(node), e.tobytes(), _fold(e)) for node, e in zip(mine, sets)]
+        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "elements", "fold"])
+
+    asked = nodes.select(F.pmod("node", F.lit(groups)).alias("_group"), "node")
+    return x.groupBy("_group").cogroup(asked.groupBy("_group")).applyInArrow(run, "node long, elements binary, fold binary")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -182,56 +205,82 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Distinct pairs of nodes of one signature but different components that the sizes and folds can't tell apart.
-
-    Rows: sign, node, root, n, fold. Signatures are dealt out over `parts` tasks; within one, blocks of its nodes are compared."""
-
-    def run(table):
-        sign, node, root, n = (table.column(c).to_numpy() for c in ("sign", "node", "root", "n"))
-        fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), np.uint16).reshape(-1, _FOLD)
-        order = np.lexsort((n, sign))
-        edges = np.append(np.flatnonzero(np.diff(sign[order], prepend=~sign[order[0]])), len(order))
-        out = [np.zeros((0, 2), np.int64)]
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            mine = order[lo:hi]
-            for i, a in enumerate(mine[:-1].tolist()):
-                others = mine[i + 1 :]
-                others = others[: int(np.searchsorted(n[others], n[a] * 100 // percent, "right"))]
-                others = others[root[others] != root[a]]
-                for at in range(0, len(others), 4096):
-                    b = others[at : at + 4096]
-                    apart = np.abs(fold[b].astype(np.int32) - fold[a].astype(np.int32)).sum(1)
-                    b = b[apart * (100 + percent) <= (100 - percent) * (n[b] + n[a])]
-                    if len(b):
-                        out.append(np.stack([np.minimum(node[b], node[a]), np.maximum(node[b], node[a])], 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return rows.withColumn("_part", F.pmod(F.xxhash64("sign"), F.lit(parts))).groupBy("_part").applyInArrow(run, "a long, b long").distinct()
-
-
-def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, depth: int = 2, group_bytes: int = 16 << 20) -> DataFrame:
+def _across(rows: DataFrame, sets: DataFrame, percent: int, part_rows: int = 100_000) -> DataFrame:
+    """Pairs of nodes of one signature but different components that the sizes and folds can't tell apart.
+
+    Rows: sign, node, root, n. Signatures are dealt out over parts of about `part_rows` rows; a part gets each of its nodes' folds once, and
+    blocks of each signature's nodes are compared."""
+
+    def run(key, table, folds):
+        out = np.zeros((0, 2), np.int64)
+        if table.num_rows and folds.num_rows:
+            sign, node, root, n = (table.column(c).to_numpy() for c in ("sign", "node", "root", "n"))
+            order = np.argsort(folds.column("node").to_numpy())
+            known = folds.column("node").to_numpy()[order]
+            fold = np.frombuffer(b"".join(folds.column("fold").to_pylist()), np.uint16).reshape(-1, _FOLD)[order]
+            at = np.searchsorted(known, node)
+            order = np.lexsort((n, sign))
+            edges = np.append(np.flatnonzero(np.diff(sign[order], prepend=~sign[order[0]])), len(order))
+            found: set[tuple[int, int]] = set()
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                mine = order[lo:hi]
+                for i, a in enumerate(mine[:-1].tolist()):
+                    others = mine[i + 1 :]
+                    others = others[: int(np.searchsorted(n[others], n[a] * 100 // percent, "right"))]
+                    others = others[root[others] != root[a]]
+                    for start in range(0, len(others), 4096):
+                        b = others[start : start + 4096]
+                        apart = np.abs(fold[at[b]].astype(np.int32) - fold[at[a]].astype(np.int32)).sum(1)
+                        b = node[b[apart * (100 + percent) <= (100 - percent) * (n[b] + n[a])]]
+                        found.update(zip(np.minimum(b, node[a]).tolist(), np.maximum(b, node[a]).tolist()))
+            out = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    parts = max(1, -(-rows.count() // part_rows))
+    dealt = rows.select(F.pmod("sign", F.lit(parts)).alias("_part"), "sign", "node", "root", "n")
+    folds = dealt.select("_part", "node").toDF("_part", "node").distinct().join(sets.select("node", "fold"), "node").select("node", "_part", "fold").toDF("node", "_part", "fold")
+    return dealt.groupBy("_part").cogroup(folds.groupBy("_part")).applyInArrow(run, "a long, b long").distinct()
+
+
+def _rooted(signs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """signs with each node's component so far."""
+    if roots is None:
+        return signs.withColumn("root", F.col("node"))
+    return signs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, depth: int = 2, group_bytes: int = 16 << 20, rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to), n_links of its set to others
     that were compared, and carried columns."""
     carry, bands = carry or [], Bands(percent)
     total, groups = sizes(docs, group_bytes)
     rows = settle(_sets(docs, k, bands, carry))
     x = rows.where("text is not null").select(F.pmod("node", F.lit(groups)).alias("_group"), "node", "text")
-    found = settle(_candidates(x, k, bands, Sketch(total // 12, min(groups, 4096), depth)))
+    found = settle(_candidates(x, k, bands, Sketch(total // 8, min(groups, 4096), depth, 0.125)))
     signs = found.select("node", "n", F.explode("signatures").alias("sign"))
-    centre = signs.groupBy("sign").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
-    size_of = found.select(F.col("node").alias("a"), F.col("n").alias("_m"))
-    shared = signs.join(centre, "sign").where("a <> node").groupBy("a", F.col("node").alias("b"), "n").agg(F.count("*").alias("c")).join(size_of, "a").where(f"100 * least(n, _m) >= {percent} * greatest(n, _m)")
-    best = shared.groupBy("b").agg(F.min(F.struct(-F.col("c"), F.col("a"))).alias("_best")).select(F.col("_best.a").alias("a"), "b")
-    links = settle(_verified(best, found, percent))
-    first = components(links)
-    rooted = found.select("node", "n", "fold", F.explode("signatures").alias("sign")).join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # estimates are exact from here on: signatures that one node alone has go
+    several = signs.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1")
+    signs = settle(signs.join(several, "sign"))
+    # how many others a node shares signatures with, for its size: the original of many copies comes first
+    middle = settle(signs.groupBy("node").agg((F.sum(F.col("c") - 1) / F.max("n")).alias("shares")))
+    sets = settle(_sets_of(x, signs.select("node").distinct(), k, groups))
+    links = tried = first = None
+    for turn in range(rounds):
+        rooted = _rooted(signs, first) if turn else _rooted(signs, first).join(middle, "node")
+        order = F.struct(-F.col("shares") if not turn else F.lit(0.0), F.xxhash64(F.lit(turn), "node"))
+        centre = rooted.groupBy("sign").agg(F.min(F.struct(order.alias("h"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("top"))).alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sign", "c.*")
+        asked = rooted.join(centre, "sign").where(f"root <> top AND 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c")).groupBy("b").agg(F.min(F.struct(-F.col("c"), F.col("a")))["a"].alias("a"))
+        asked = settle(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found_links = settle(_verified(asked, sets, percent))
+        links = found_links if links is None else links.unionByName(found_links)
+        tried = asked if tried is None else tried.unionByName(asked)
+        if not found_links.take(1) and turn:
+            break
+        first = components(links)
+    rooted = _rooted(signs, first)
     open_ = rooted.groupBy("sign").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sign")
-    parts = max(8, groups)
-    more = _across(rooted.join(open_, "sign").select("sign", "node", "root", "n", "fold"), percent, parts)
-    known = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = settle(_verified(more.join(known, ["a", "b"], "left_anti"), found, percent))
+    more = _across(settle(rooted.join(open_, "sign").select("sign", "node", "root", "n")), sets, percent)
+    more = settle(_verified(more.join(tried, ["a", "b"], "left_anti"), sets, percent))
     every = links.unionByName(more)
     final = components(every) if more.take(1) else first
     degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
