@@ -1,38 +1,14 @@
-"""Session helpers: the shared folder, written tables that cut lineage, and parts of documents."""
+"""What the operators share: written tables, input tables and the choice of training rows."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.plans.tables import settle, shared_dir, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: its lineage ends there, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of earlier plans that nothing refers to
-    at = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+__all__ = ["settle", "shared_dir", "table", "train_rows"]
 
 
 def train_rows(doc_id: str, out: int) -> object:
     """True for rows whose crc32(doc_id as text) mod 5 is not `out`; rows without an id never train."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != out, F.lit(False))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
