@@ -6,10 +6,11 @@ shorter context predicts among the symbols that the longer one has not seen (sym
 bytes never seen. An end symbol closes every text, so probabilities of texts sum up to one. adaptive() learns from each document
 alone as it goes.
 
-Counting: each task counts the four-byte events of its texts and sends one row per distinct event; contexts of at most two bytes are
-always kept (there are at most 65,793), of the three-byte ones the `contexts` most frequent (the trie's memory bound; the others fall
-back to their two-byte suffix). The broadcast table has (contexts + 65,793) * 257 numbers at most. Word counts are a distributed table; the
-frequent part of it, at most `head` words, is broadcast as hashes, and what is not in it meets the rest of the table in a join.
+Counting: each task counts the four-byte events of its texts and sends one row per distinct event. All contexts count. Those of at
+most two bytes (there are at most 65,793) and the `contexts` most frequent of three bytes are broadcast as a table of (contexts + 65,793) * 257
+numbers at most; the other three-byte ones are a written table, which the events that need them meet in a join (a bitmap of 2 MB tells
+which do). Word counts are a distributed table; the frequent part of it, at most `head` words, is broadcast as hashes, and what is
+not in it meets the rest of the table in a join.
 
 Defined cases. Null text: the empty text, of one end. Null doc_id: scored, never trained on, held_out false. Repeated rows: each is
 scored, and trained on. No training rows: every symbol is uniform and base_score is 0. Empty table: no rows. Very long texts:
@@ -101,23 +102,49 @@ def event_counts(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "event long, n long").groupBy("event").agg(F.sum("n").alias("n"))
 
 
-def trie(counts: DataFrame, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Events and counts of all contexts up to two bytes and of the most frequent three-byte ones, sorted by event."""
+def trie(counts: DataFrame, contexts: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """Events and counts of all contexts up to two bytes and of the most frequent three-byte ones, sorted by event; and a written table
+    (context, symbols, counts) of the other three-byte ones, if there are any."""
     order, context, symbol = F.shiftright("event", 36), F.shiftright("event", 9).bitwiseAND((1 << 24) - 1), F.col("event").bitwiseAND(511)
     shorter = [F.when(order >= k, F.lit(k << 36).bitwiseOR(F.shiftleft(context.bitwiseAND((1 << 8 * k) - 1), 9)).bitwiseOR(symbol)) for k in range(ORDER)]
     low = counts.select("n", F.explode(F.array(*shorter)).alias("event")).where("event is not null").groupBy("event").agg(F.sum("n").alias("n"))
     deep = counts.where(order == ORDER).withColumn("context", context)
     kept = deep.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(contexts).select("context")
+    rest = None
+    if deep.select("context").distinct().count() > contexts:
+        kept = settle(kept)
+        other = deep.join(F.broadcast(kept), "context", "left_anti").groupBy("context")
+        rest = settle(other.agg(F.collect_list(F.struct(symbol.alias("s"), "n")).alias("_all")).select("context", F.col("_all.s").alias("symbols"), F.col("_all.n").alias("counts")))
     rows = low.select("event", "n").unionByName(deep.join(F.broadcast(kept), "context").select("event", "n")).toArrow()
     keys, n = rows.column("event").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.int64)
     sort = np.argsort(keys)
-    return keys[sort], n[sort]
+    return keys[sort], n[sort], rest
+
+
+def _level(c: np.ndarray, up_c: np.ndarray, up_u: np.ndarray, lowest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of all symbols after contexts of counts c, and those of unseen ones after the escape; up_c and up_u are the next shorter
+    contexts' counts and the latter probabilities."""
+    seen = c > 0
+    new = (up_c > 0) & ~seen
+    left, kinds = (up_c * new).sum(1, keepdims=True), new.sum(1, keepdims=True)
+    whole = np.maximum(left + kinds, 1)
+    if lowest:  # below the empty context: uniform among what was never seen
+        unseen = np.repeat(1 / np.maximum((~seen).sum(1, keepdims=True), 1), SYMBOLS, 1)
+    else:
+        open_ = ((up_c == 0) & ~seen).any(1, keepdims=True)
+        # without a symbol left further down, this level takes all of what remains
+        unseen = np.where(new, up_c / np.where(open_, whole, np.maximum(left, 1)), np.where(kinds > 0, kinds / whole, 1.0) * up_u)
+    total, distinct = c.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+    full = distinct == SYMBOLS
+    p = np.where(seen, c / np.where(full, np.maximum(total, 1), np.maximum(total + distinct, 1)), np.where(distinct > 0, distinct / np.maximum(total + distinct, 1), 1.0) * unseen)
+    return p, unseen
 
 
 class Table:
-    """Log10 probabilities of every symbol after every context of a trie, and where to find a context's row."""
+    """Log10 probabilities of every symbol after every context of a trie, and where to find a context's row; `rest` are the three-byte
+    contexts that the trie leaves to a join."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, rest: np.ndarray | None = None) -> None:
         node, symbol = keys >> 9, (keys & 511).astype(np.int64)
         ids = np.unique(np.append(node, 0))  # the empty context is there in any case; shorter contexts come first
         row = np.searchsorted(ids, node)
@@ -141,20 +168,7 @@ class Table:
                 c = np.zeros((len(part), SYMBOLS))
                 lo, hi = edges[part[0]], edges[part[-1] + 1]
                 c[row[lo:hi] - part[0], symbol[lo:hi]] = counts[lo:hi]
-                seen = c > 0
-                up_c, up_u = lower[1][parent[a : a + 2048]], lower[2][parent[a : a + 2048]]
-                new = (up_c > 0) & ~seen
-                left, kinds = (up_c * new).sum(1, keepdims=True), new.sum(1, keepdims=True)
-                whole = np.maximum(left + kinds, 1)
-                if k == 0:  # below the empty context: uniform among what was never seen
-                    unseen = np.repeat(1 / np.maximum((~seen).sum(1, keepdims=True), 1), SYMBOLS, 1)
-                else:
-                    open_ = ((up_c == 0) & ~seen).any(1, keepdims=True)
-                    # without a symbol left further down, this level takes all of what remains
-                    unseen = np.where(new, up_c / np.where(open_, whole, np.maximum(left, 1)), np.where(kinds > 0, kinds / whole, 1.0) * up_u)
-                total, distinct = c.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-                full = distinct == SYMBOLS
-                p = np.where(seen, c / np.where(full, np.maximum(total, 1), np.maximum(total + distinct, 1)), np.where(distinct > 0, distinct / np.maximum(total + distinct, 1), 1.0) * unseen)
+                p, unseen = _level(c, lower[1][parent[a : a + 2048]], lower[2][parent[a : a + 2048]], k == 0)
                 self.logs[part] = np.log10(np.maximum(p, 1e-300))
                 if k < ORDER:
                     kept[0].append(c)
@@ -167,9 +181,28 @@ class Table:
             at = tuple(int(self.kind[context[i] >> 8 * j & 255]) for j in range(k - 1, -1, -1))
             if k:
                 whole[(..., *at)] = i
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log10 probability of each lower-cased text and its end."""
+        self.rest = None
+        if rest is not None:
+            bits = np.zeros(1 << 24, bool)
+            bits[rest] = True
+            self.rest = np.packbits(bits)
+            mine = slice(*np.searchsorted(keys, [np.int64(ORDER - 1) << 36, np.int64(ORDER) << 36]))
+            self.keys, self.counts, self.ids = keys[mine], counts[mine], ids
+
+    def deep(self, context: int, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log10 probabilities of all symbols after a three-byte context that the trie leaves out, from its counts."""
+        node = (np.int64(ORDER - 1) << 27) | (context & ((1 << 8 * (ORDER - 1)) - 1))
+        lo, hi = np.searchsorted(self.keys, [node << 9, (node + 1) << 9])
+        c, up_c = np.zeros((1, SYMBOLS)), np.zeros((1, SYMBOLS))
+        c[0, symbols], up_c[0, self.keys[lo:hi] & 511] = counts, self.counts[lo:hi]
+        # the shorter context's unseen symbols have its escape's probability times the one asked for
+        total, distinct = up_c.sum(), hi - lo
+        up_u = 10.0 ** self.logs[np.searchsorted(self.ids, node)].astype(np.float64)[None] * ((total + distinct) / distinct)
+        return np.log10(np.maximum(_level(c, up_c, up_u)[0][0], 1e-300))
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Log10 probability of each lower-cased text and its end but for the events after contexts left to the join, and these: lists of
+        distinct events (context << 9 | symbol) and their counts."""
         n = len(offsets) - 1
         symbol = np.full(len(data) + n, END, np.int32)
         slot = np.ones(len(symbol), bool)
@@ -178,7 +211,18 @@ class Table:
         kind = np.concatenate([np.zeros(ORDER, np.int32), self.kind[symbol]])
         at = (kind[:-3] * self.kinds + kind[1:-2]) * self.kinds + kind[2:-1]
         logs = self.logs.ravel()[self.first[0][at].astype(np.int64) * SYMBOLS + symbol]
-        return np.add.reduceat(logs, offsets[:-1] + np.arange(n), dtype=np.float64) if n else np.zeros(0)
+        if self.rest is None or not n:
+            events = times = pa.nulls(n, pa.list_(pa.int64()))
+        else:
+            context = (symbol[:-3] << 16) | (symbol[1:-2] << 8) | symbol[2:-1]
+            context[(symbol[:-3] == END) | (symbol[1:-2] == END) | (symbol[2:-1] == END)] = -1
+            hit = np.flatnonzero((context >= 0) & ((self.rest[context >> 3] >> (7 - (context & 7)).astype(np.uint8)) & 1 == 1))
+            logs[hit + ORDER] = 0.0
+            text = np.searchsorted(offsets[1:] + np.arange(n), hit + ORDER)
+            found, count = np.unique((text << 33) | (context[hit].astype(np.int64) << 9) | symbol[hit + ORDER], return_counts=True)
+            edges = pa.array(np.searchsorted(found >> 33, np.arange(n + 1)), pa.int32())
+            events, times = pa.ListArray.from_arrays(edges, pa.array(found & ((1 << 33) - 1))), pa.ListArray.from_arrays(edges, pa.array(count.astype(np.int64)))
+        return np.add.reduceat(logs, offsets[:-1] + np.arange(n), dtype=np.float64) if n else np.zeros(0), events, times
 
 
 def adaptive(text: bytes, order: int = ORDER) -> float:
@@ -285,6 +329,22 @@ def _head(vocabulary: DataFrame, most: int, longest: int) -> tuple[np.ndarray, n
 # --- scores -----------------------------------------------------------------------------------------------------------
 
 
+def _deep(held):
+    """Log10 probabilities of the symbols asked for after contexts of the written table: rows of context, symbols, counts, asked."""
+
+    def run(batches):
+        table = held.value[0]
+        for batch in batches:
+            events, logs = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for context, symbols, counts, asked in zip(batch.column("context").to_pylist(), batch.column("symbols"), batch.column("counts"), batch.column("asked")):
+                asked = asked.values.to_numpy()
+                events.append((context << 9) | asked)
+                logs.append(table.deep(context, symbols.values.to_numpy(), counts.values.to_numpy())[asked])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(events)), pa.array(np.concatenate(logs))], ["event", "log"])
+
+    return run
+
+
 def score(docs: DataFrame, *, fold: int = 1, contexts: int = 1 << 15, head: int = 1 << 20, longest: int = 64) -> DataFrame:
     """Scores of every row, learned from rows outside fold `fold` of five: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -293,7 +353,9 @@ def score(docs: DataFrame, *, fold: int = 1, contexts: int = 1 << 15, head: int
     sums = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("ends")).first()
     total, distinct, ends = sums.n or 0, sums.v or 0, sums.ends or 0
     hashes, counts, every = _head(vocabulary, head, longest)
-    held = spark.sparkContext.broadcast((Table(*trie(settle(event_counts(train)), contexts)), hashes, np.log10(counts + 0.5)))
+    keys, n, rest = trie(settle(event_counts(train)), contexts)
+    table = Table(keys, n, None if rest is None else rest.select("context").toArrow().column("context").to_numpy())
+    held = spark.sparkContext.broadcast((table, hashes, np.log10(counts + 0.5)))
     base = math.log10(total + 0.5 * (distinct + 1))
     end_log = math.log10(ends + 0.5)
 
@@ -320,16 +382,23 @@ def score(docs: DataFrame, *, fold: int = 1, contexts: int = 1 << 15, head: int
                 size = np.diff(at)
                 # sums of each text by themselves, not as differences of long running sums
                 own = np.add.reduceat(np.append(log[which], 0.0), at[:-1]) * (size > 0) if n else per[:0]
+                own_score, events, times = table.score(data, offsets)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(first + rows + np.arange(n)), batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(size + 1), pa.array(hits[at[1:]] - hits[at[:-1]] + int(ends > 0)),
-                    pa.array(own + end_log), pa.array(table.score(data, offsets)), tail,
-                ], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "tail"])
+                    pa.array(own + end_log), pa.array(own_score), tail, events, times,
+                ], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "events", "times"])
                 rows += n
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<string>")
-    if not every:
+    scored = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, tail array<string>, events array<long>, times array<long>")
+    if not every or rest is not None:
         scored = settle(scored)
+    if not every:
         rare = scored.select("row", F.explode("tail").alias("word")).join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("known"))
         scored = scored.drop("tail").join(rare, "row", "left").withColumns({"base": F.col("base") + F.coalesce("more", F.lit(0.0)), "n_known": F.col("n_known") + F.coalesce("known", F.lit(0))})
+    if rest is not None:
+        asked = scored.select("row", F.explode(F.arrays_zip("events", "times")).alias("x")).select("row", F.col("x.events").alias("event"), F.col("x.times").alias("times"))
+        symbols = asked.select("event").distinct().groupBy(F.shiftright("event", 9).alias("context")).agg(F.collect_list(F.col("event").bitwiseAND(511)).alias("asked"))
+        more = asked.join(rest.join(symbols, "context").mapInArrow(_deep(held), "event long, log double"), "event").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("deep"))
+        scored = scored.drop("events", "times").join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == fold, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score")

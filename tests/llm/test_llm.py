@@ -206,6 +206,16 @@ def test_op4_probabilities_sum_to_one():
     assert np.abs((10.0 ** t.logs.astype(float)).sum(1) - 1).max() < 1e-5
 
 
+def test_op4_all_contexts_count(docs):
+    """Contexts outside the broadcast table score the same, met in the join."""
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score, r.score)
+    want = sorted(ppm.score(docs).collect(), key=key)
+    for contexts, head in ((60, 1 << 20), (0, 40)):
+        got = sorted(ppm.score(docs, contexts=contexts, head=head).collect(), key=key)
+        assert [r.doc_id for r in got] == [r.doc_id for r in want]
+        assert np.allclose([r.score for r in got], [r.score for r in want], rtol=1e-5, atol=1e-3)
+
+
 def test_op5_pieces_tile_and_fill(docs, none):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
