@@ -249,9 +249,62 @@ def _rooted(signs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return signs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, depth: int = 2, group_bytes: int = 16 << 20, rounds: int = 2) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to), n_links of its set to others
-    that were compared, and carried columns."""
+def _degrees(members: DataFrame, percent: int, block: int = 1024, elements: int = 1 << 20, part_bytes: int = 16 << 20) -> DataFrame:
+    """(node, links): how many rows of other nodes each node is similar enough to. Members: node, root, copies, elements.
+
+    Links are within components. A component is cut into blocks of about `block` sets or `elements` shingles; every two blocks meet in one group,
+    where shared shingles of all pairs are counted at once, and only sums by node leave it."""
+
+    def degrees(own, sizes_, weights, n_left):
+        """Links of the first n_left sets to the rest, and back; among all of them where n_left is 0."""
+        whose = np.repeat(np.arange(len(own)), sizes_)
+        _, of, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = times[of] > 1
+        whose, of = whose[shared], np.unique(of[shared], return_inverse=True)[1]
+        order = np.argsort(of, kind="stable")
+        whose, of = whose[order], of[order]
+        a, b = (slice(None), slice(None)) if not n_left else (slice(0, n_left), slice(n_left, None))
+        common = np.zeros((len(sizes_[a]), len(sizes_[b])), np.float32)
+        width = 2048
+        for lo in range(0, int(of[-1]) + 1 if len(of) else 0, width):
+            x, y = np.searchsorted(of, [lo, lo + width])
+            held = np.zeros((len(own), width), np.float32)
+            held[whose[x:y], of[x:y] - lo] = 1
+            common += held[a] @ held[b].T
+        common = common.astype(np.int64)
+        ok = 100 * common >= percent * (sizes_[a][:, None] + sizes_[b][None, :] - common)
+        if not n_left:
+            np.fill_diagonal(ok, False)
+            return ok @ weights
+        return np.concatenate([ok @ weights[b], weights[a] @ ok])
+
+    def run(key, table):
+        i, j, root, side, weights = (table.column(c).to_numpy() for c in ("i", "j", "root", "block", "copies"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
+        sizes_, links = np.array([len(x) for x in sets]), np.zeros(len(sets), np.int64)
+        order = np.lexsort((side, j, i, root))
+        new = np.any([np.diff(x[order], prepend=x[order[0]] - 1) != 0 for x in (root, i, j)], 0)
+        edges = np.append(np.flatnonzero(new), len(order))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            mine = order[lo:hi]
+            n_left = int((side[mine] == i[mine]).sum()) if i[mine[0]] != j[mine[0]] else 0
+            if i[mine[0]] == j[mine[0]] or 0 < n_left < len(mine):
+                links[mine] = degrees([sets[x] for x in mine.tolist()], sizes_[mine], weights[mine], n_left)
+        return pa.table([table.column("node"), pa.array(links)], names=["node", "links"])
+
+    size = F.octet_length("elements") / 8
+    cut = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(size) / elements)).alias("_blocks"))
+    parts = max(1, int((members.agg(F.sum(8 * size)).first()[0] or 0) // part_bytes))
+    dealt = members.join(cut, "root").withColumn("block", F.pmod(F.xxhash64("node"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")})
+    dealt = dealt.withColumn("_part", F.when(F.col("_blocks") == 1, F.pmod("root", F.lit(parts))).otherwise(F.xxhash64("root", "i", "j")))
+    found = dealt.select("_part", "root", "i", "j", "block", "node", "copies", "elements").groupBy("_part").applyInArrow(run, "node long, links long")
+    return found.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, depth: int = 2, group_bytes: int = 16 << 20, rounds: int = 2, links_too: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to), n_links where asked for (how many
+    other rows have an equal set or one similar enough), and carried columns."""
     carry, bands = carry or [], Bands(percent)
     total, groups = sizes(docs, group_bytes)
     rows = settle(_sets(docs, k, bands, carry))
@@ -283,11 +336,15 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str]
     more = settle(_verified(more.join(tried, ["a", "b"], "left_anti"), sets, percent))
     every = links.unionByName(more)
     final = components(every) if more.take(1) else first
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = rows.drop("text").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     name = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(name, "root", "left").join(degree, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *carry)
+    out, counted = named.join(name, "root", "left"), []
+    if links_too:
+        copies = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
+        degree = settle(_degrees(final.join(copies, "node").join(sets.select("node", "elements"), "node"), percent))
+        own = copies.join(degree, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"))
+        out, counted = out.join(own, "node", "left"), [F.coalesce("_links", F.lit(0)).alias("n_links")]
+    return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *counted, *carry)
 
 
 ORACLE = r"""

@@ -35,7 +35,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near.similar(table(spark, sf_dir, "documents"), links_too=False).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_jaccard_join with every document's number of links, which its SQL doesn't have."""
+    return near.similar(table(spark, sf_dir, "documents"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +57,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_avi_media, op2_vector_search, op3_substring_dedup, op4_ppm_scores, op5_packing, op6_url_filter, op7_jaccard_join, op8_source_mixing, op9_license_scan, op10_quality)}
+MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_jaccard_links": op7_jaccard_links}
 ORACLES: dict[str, str] = {"op3_substring_dedup": substrings.ORACLE, "op6_url_filter": urls.oracle(), "op7_jaccard_join": near.ORACLE}

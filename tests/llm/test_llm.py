@@ -309,6 +309,22 @@ def test_op7_families_of_edits(spark):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows, k, percent)
 
 
+def test_op7_counts_every_link(spark, docs):
+    """n_links is the number of other rows that are similar enough, copies included, in one block and over several."""
+    base = [f"b{i}" for i in range(60)]
+    family = [(200 + i, " ".join([*base, f"x{i}"])) for i in range(30)] + [(300, " ".join([*base, "x3"]))]
+    rows = family + [(i, t) for i, t, *_ in DOCS]
+    sets = [(lambda w: {tuple(w[a : a + 4]) for a in range(max(1, len(w) - 3))} if w else set())(words(t, True)) for _, t in rows]
+    want = [sum(bool(x) and a != b and 100 * len(x & y) >= 85 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+    assert want[0] == 30
+    got = near.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_links) for r in got.collect()) == Counter((r[0], n) for r, n in zip(rows, want))
+    parts = [(i, 7, 1 + i % 3, np.unique(textkit.mix(np.array([hash(w) % 2**63 for w in s], np.uint64))).tobytes()) for i, s in enumerate(sets[:31])]
+    members = spark.createDataFrame(parts, "node long, root long, copies long, elements binary")
+    several = {r.node: r.links for r in near._degrees(members, 85, block=8).collect()}
+    assert several == {i: sum(1 + j % 3 for j in range(31) if j != i) for i in range(31)}
+
+
 @pytest.fixture(scope="module")
 def mixed(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
