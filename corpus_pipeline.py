@@ -34,8 +34,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that bring poor and toxic text down to their weights; likely good ones all stay."""
-    return mixing.drawn(mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), weights=MIX, keep="good")).select(*COLUMNS)
+    """Documents drawn at the rates that bring poor and toxic text down to their weights; likely good ones all stay, and none is copied."""
+    return mixing.drawn(mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), weights=MIX, keep="good", most=1)).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Domains come from a labelled table (good, poor, toxic). A naive Bayes classifier over a small learnt vocabulary and a few shape marks
 predicts every document's domain posteriors p. Rates r minimise the squared distance of the totals sum(r * tokens * p_k) from the
-targets, subject to r >= 0 (or >= 1 for documents likeliest of a domain that is to be kept whole), by projected gradient steps scaled with the
+targets, subject to r >= 0 (or >= 1 for documents likeliest of a domain that is to be kept whole; and r <= `most` where it is given), by projected gradient steps scaled with the
 domains' second-moment matrix. A document's step depends on its posteriors and a few numbers, so every iteration is one
 aggregation of a narrow table. All of it is DataFrame functions; the driver solves systems of as many unknowns as domains.
 
@@ -111,19 +111,20 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] for i in range(n)]
 
 
-def _rate(steps: list[list[float]], least: Column) -> Column:
+def _rate(steps: list[list[float]], least: Column, most: float | None = None) -> Column:
     """The rate after steps from 1 on, each projected to what is allowed."""
     r = F.lit(1.0)
     for g in steps:
-        r = _step(r, g, least)
+        r = _step(r, g, least, most)
     return r
 
 
-def _step(r: Column, g: list[float], least: Column) -> Column:
-    return F.greatest(least, r - sum((F.lit(x) * F.col(f"p_{d}") for x, d in zip(g, DOMAINS)), F.lit(0.0)))
+def _step(r: Column, g: list[float], least: Column, most: float | None = None) -> Column:
+    r = F.greatest(least, r - sum((F.lit(x) * F.col(f"p_{d}") for x, d in zip(g, DOMAINS)), F.lit(0.0)))
+    return r if most is None else F.least(r, F.lit(float(most)))
 
 
-def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None, rounds: int = 12, close: float = 1e-4) -> tuple[list[list[float]], Column]:
+def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None, rounds: int = 12, close: float = 1e-4, most: float | None = None) -> tuple[list[list[float]], Column]:
     """The steps that fit the rates, and the least rate of a document. known: n_tokens and posteriors.
 
     Targets are weights of all tokens; given a domain to keep, of as many tokens as make its weight what it has."""
@@ -141,7 +142,7 @@ def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None,
     steps: list[list[float]] = []
     best, plain = None, False
     for _ in range(rounds):
-        trial = at if step is None else at.withColumn("r", _step(F.col("r"), step, F.col("_least")))
+        trial = at if step is None else at.withColumn("r", _step(F.col("r"), step, F.col("_least"), most))
         share = F.col("n_tokens") / F.lit(float(mass.n))
         free = F.when(F.col("r") > F.col("_least"), share).otherwise(0.0)
         sums = trial.agg(
@@ -167,20 +168,19 @@ def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None,
     return steps, least
 
 
-def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, keep: str | None = None, with_text: bool = True, **options) -> DataFrame:
-    """docs (without the text, if it isn't asked for) with n_tokens, p_<domain> and rate: how often each document is to be read, in expectation."""
+def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, keep: str | None = None, with_text: bool = True, most: float | None = None, **options) -> DataFrame:
+    """docs (without the text, if it isn't asked for) with n_tokens, p_<domain> and rate: how often each document is to be read, in expectation,
+    and at most `most` times, where that is given."""
     if clash := {"n_tokens", "rate", *(f"p_{d}" for d in DOMAINS)} & set(docs.columns):
         raise ValueError(f"docs has columns {sorted(clash)}")
     scored = with_posteriors(docs, fit(docs, labels, **options))
     scored = settle(scored if with_text else scored.drop("text"))  # the texts are read once; every iteration reads four numbers a row
-    steps, least = rates(scored, weights or WEIGHTS, keep)
-    return scored.withColumn("rate", F.round(_rate(steps, least), 6))
+    steps, least = rates(scored, weights or WEIGHTS, keep, most=most)
+    return scored.withColumn("rate", F.round(_rate(steps, least, most), 6))
 
 
-def drawn(mixed: DataFrame, most: int = 1) -> DataFrame:
-    """Rows of mix() drawn at their rates, by a hash of id and text: a rate's whole part, and one more with its fraction's chance;
-    at most `most` copies of a row."""
+def drawn(mixed: DataFrame) -> DataFrame:
+    """Rows of mix() drawn at their rates, by a hash of id and text: a rate's whole part, and one more with its fraction's chance."""
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.least(F.floor(F.col("rate") + chance).cast("int"), F.lit(most))
-    out = mixed.where(copies > 0)
-    return out if most == 1 else out.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+    copies = F.floor(F.col("rate") + chance).cast("int")
+    return mixed.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")

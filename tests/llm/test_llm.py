@@ -349,6 +349,24 @@ def test_op8_targets_and_bounds(mixed):
     assert low == 0 and set(docs.columns) <= set(kept.columns)
 
 
+def test_op8_drawn_meets_the_rates(spark, mixed):
+    """Whole parts of rates are copies; rates with an upper bound are fitted under it, not cut afterwards."""
+    rows = [(i, f"t{i}", 2.7 if i % 2 else 0.4) for i in range(2000)]
+    n = Counter(r.doc_id for r in mixing.drawn(spark.createDataFrame(rows, "doc_id long, text string, rate double")).collect())
+    assert {n[i] for i in range(1, 2000, 2)} == {2, 3} and {n[i] for i in range(0, 2000, 2)} == {0, 1}
+    assert abs(sum(n.values()) / 1000 - 3.1) < 0.1
+    docs, labels = mixed
+    aim = np.array([0.6, 0.25, 0.15])
+    got = mixing.mix(docs.select("doc_id", "text"), labels, weights=dict(zip(mixing.DOMAINS, aim)), with_text=False, most=1).toPandas()
+    assert got.rate.between(0, 1).all()
+    share, p = got.n_tokens.to_numpy() / got.n_tokens.sum(), got[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    off = lambda r: (r * share) @ p - aim
+    best = np.ones(len(got))
+    for _ in range(3000):
+        best = np.clip(best - p @ off(best), 0, 1)
+    assert (off(got.rate.to_numpy()) ** 2).sum() <= 1.2 * (off(best) ** 2).sum() + 1e-4
+
+
 def test_op8_edge_cases(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 1), (None, 1, 0), (1, None, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert {(r.doc_id, r.domain) for r in mixing.domains(labels).collect()} == {(0, "toxic"), (2, "good")}
