@@ -6,7 +6,8 @@ targets, subject to r >= 0 (or >= 1 for documents likeliest of a domain that is
 domains' second-moment matrix. A document's step depends on its posteriors and a few numbers, so every iteration is one
 aggregation of a narrow table. All of it is DataFrame functions; the driver solves systems of as many unknowns as domains.
 
-The classifier is fitted on at most `sample_rows` labelled rows a domain (those with the smallest hash of their id); tokens, posteriors, totals
+The classifier is fitted on at most `sample_rows` labelled rows a domain (of those that are among the documents, the ones with the smallest hash of
+their id), its priors on all labelled documents; tokens, posteriors, totals
 and rates cover all documents. Broadcast are these ids and the vocabulary of at most `vocabulary` words, of fixed bounds.
 
 Defined cases. Null text: empty, no tokens: its rate is 1 moved by its posteriors, it adds nothing to totals. Null doc_id: never a training
@@ -56,7 +57,8 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1500, vocabulary: int = 96, least: float = 25.0, calm: float = 5.0) -> dict:
     """Priors and word weights (log ratios to the average rate) of the domains; a word needs a likelihood ratio of `least`."""
-    named = domains(labels)
+    # labels of documents that earlier stages dropped say nothing about these
+    named = settle(domains(labels).join(docs.select("doc_id"), "doc_id", "left_semi"))
     share = {r.domain: r["count"] for r in named.groupBy("domain").count().collect()}
     total = sum(share.values())
     prior = {d: math.log((share.get(d, 0) + 1) / (total + len(DOMAINS))) for d in DOMAINS}

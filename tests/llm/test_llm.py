@@ -367,6 +367,15 @@ def test_op8_drawn_meets_the_rates(spark, mixed):
     assert (off(got.rate.to_numpy()) ** 2).sum() <= 1.2 * (off(best) ** 2).sum() + 1e-4
 
 
+def test_op8_fits_on_the_documents_there(spark):
+    """Labels of documents that are gone count neither as priors nor as sampled rows."""
+    docs = spark.createDataFrame([(i, "bad stuff here" if i % 4 == 0 else "fine words here") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(400)] + [(i, 0, 0) for i in range(1000, 4000)], "doc_id long, quality int, toxic int")
+    model = mixing.fit(docs, labels, sample_rows=60)
+    assert np.allclose([math.exp(model["prior"][d]) for d in mixing.DOMAINS], [301 / 403, 101 / 403, 1 / 403])
+    assert model == mixing.fit(docs, labels.where("doc_id < 1000"), sample_rows=60) and "bad" in model["weights"]
+
+
 def test_op8_edge_cases(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 1), (None, 1, 0), (1, None, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert {(r.doc_id, r.domain) for r in mixing.domains(labels).collect()} == {(0, "toxic"), (2, "good")}
