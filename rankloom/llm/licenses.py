@@ -1,8 +1,9 @@
 """Licence scan by a generalised suffix automaton over the words of licence templates.
 
 Every text is streamed once through the automaton, which yields its matching statistics: at each word, the length of the longest
-run of words ending there that some template holds. Maximal matches of `least` words or more are chained, per template, in text
-and template order into spans; a span's share of the template's words is its coverage. Phrases stand among the templates, so
+run of words ending there that some template holds; the suffix links from there give the longest one at every place of every template.
+Matches of `least` words or more that can't be made longer at their place are chained, per template, in text
+and template order into spans, one for each occurrence; a span's share of the template's words is its coverage. Phrases stand among the templates, so
 their places are read from the automaton's states too. Words that are in no template, and neighbours that no template has,
 end a match; they are sorted out with array operations before the automaton runs.
 
@@ -44,9 +45,11 @@ class Automaton:
     """A suffix automaton of several word sequences. Word 0 is no template's word."""
 
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]) -> None:
+        self.texts = [t.split() for t in templates.values()]
         self.names, self.sizes = list(templates), [len(t.split()) for t in templates.values()]
         sequences = [t.split() for t in templates.values()] + [p.split() for p in phrases]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for s in sequences for w in s}))}
+        self.texts = [[self.vocabulary[w] for w in t] for t in self.texts]
         self.next, self.link, self.length, self.ends = [{}], [-1], [0], [[]]
         self.pairs = np.zeros((len(self.vocabulary) + 1,) * 2, bool)
         for k, sequence in enumerate(sequences):
@@ -131,20 +134,38 @@ class Automaton:
             yield state, length
 
 
-def chain(matches: list[tuple[int, int, int, int]], gap: int) -> tuple[int, int, int]:
-    """(covered words, first, last word) of the best chain of matches (first word, length, template start), sorted by first word:
-    a chain goes forward in text and template, with at most `gap` words between its matches."""
-    best = (0, 0, 0)
-    first = last = covered = upto = 0
-    for at, size, start, _ in matches:
-        over = max(0, last + 1 - at, upto - start) if covered else 0
-        if covered and start + over >= upto and size > over and at - last - 1 <= gap:
-            covered += size - over
-        else:
-            first, covered = at, size
-        last, upto = at + size - 1, start + size
-        best = max(best, (covered, -first, last))
-    return best[0], -best[1], best[2]
+def chains(matches: list[tuple[int, int, int]], gap: int, least: int) -> list[tuple[int, int, int]]:
+    """(covered words, first, last word) of every chain of matches (first word, length, template start): chains go forward in text and
+    template, with at most `gap` words between their matches. The best come first; a match with fewer than `least` words outside better
+    chains is part of them."""
+    out, left = [], sorted(matches)
+    while left:
+        longest, best, back = max(size for _, size, _ in left), [], []
+        for j, (at, size, start) in enumerate(left):
+            covered, before = size, -1
+            for i in range(j - 1, -1, -1):
+                at_i, size_i, start_i = left[i]
+                if at - at_i - longest > gap:
+                    break
+                over = max(0, at_i + size_i - at, start_i + size_i - start)
+                if at_i < at and start_i < start and size > over and at - at_i - size_i <= gap and best[i] + size - over > covered:
+                    covered, before = best[i] + size - over, i
+            best.append(covered)
+            back.append(before)
+        used, taken = set(), {}
+        for j in sorted(range(len(left)), key=lambda j: (-best[j], left[j])):
+            path, i = [], j
+            while i >= 0 and i not in used:
+                path.append(i)
+                i = back[i]
+            first, last = left[path[-1]][0] if path else 0, left[j][0] + left[j][1] - 1
+            if i >= 0 or not path or any(w in taken for w in range(first, last + 1)):
+                continue
+            used.update(path)
+            taken.update(dict.fromkeys(range(first, last + 1)))
+            out.append((best[j], first, last))
+        left = [m for x, m in enumerate(left) if x not in used and sum(w not in taken for w in range(m[0], m[0] + m[1])) >= least]
+    return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
 def _scan(ids: np.ndarray, at: np.ndarray, auto: Automaton, least: int) -> tuple[dict, dict]:
@@ -160,6 +181,32 @@ def _scan(ids: np.ndarray, at: np.ndarray, auto: Automaton, least: int) -> tuple
     heads = np.concatenate([[0], np.cumsum(auto.heads[ids[:-1], ids[1:]] & good)])
     use = (stops - begins >= least) | (heads[stops - 1] > heads[begins])
     begins, stops = begins[use], stops[use]
+    for a, b, doc in zip(begins.tolist(), stops.tolist(), (np.searchsorted(at, begins, "right") - 1).tolist()):
+        base, run = a - int(at[doc]), ids[a:b].tolist()
+        states = list(auto.stream(run))
+        for i, (state, length) in enumerate(states):
+            for k, m in auto.phrases[state]:
+                if m <= length:
+                    places[doc].append((k, base + i + 1 - m))
+            seen = set()
+            while length >= least:
+                for template, end in auto.ends[state]:
+                    if (template, end) not in seen:
+                        seen.add((template, end))
+                        words_ = auto.texts[template]
+                        if i + 1 == len(run) or end == len(words_) or words_[end] != run[i + 1]:
+                            matches[doc][template].append((base + i + 1 - length, length, end - length))
+                state = auto.link[state]
+                length = auto.length[state]
+    return places, matches
+    good = auto.pairs[ids[:-1], ids[1:]]
+    edge = at[1:-1] - 1
+    good[edge[(edge >= 0) & (edge < len(good))]] = False  # no match goes on from one text to the next
+    step = np.diff(np.concatenate([[0], good.view(np.int8), [0]]))
+    begins, stops = np.flatnonzero(step == 1), np.flatnonzero(step == -1) + 1  # of words: begins .. stops - 1
+    heads = np.concatenate([[0], np.cumsum(auto.heads[ids[:-1], ids[1:]] & good)])
+    use = (stops - begins >= least) | (heads[stops - 1] > heads[begins])
+    begins, stops = begins[use], stops[use]
     for a, b, doc in zip(begins.tolist(), stops.tolist(), (np.searchsorted(at, begins, "right") - 1).tolist()):
         base, run = a - int(at[doc]), ids[a:b].tolist()
         states = list(auto.stream(run))
@@ -188,9 +235,8 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, phrases: d
                 for i, n in enumerate(np.diff(at).tolist()):
                     mine, spans = places.get(i, []), []
                     for template, found in matches.get(i, {}).items():
-                        covered, first, last = chain(sorted(found), gap)
-                        spans.append({"template": auto.names[template], "first_word": first, "last_word": last, "covered": covered, "coverage": min(1.0, covered / auto.sizes[template])})
-                    spans.sort(key=lambda x: (-x["coverage"], x["template"]))
+                        spans += [{"template": auto.names[template], "first_word": first, "last_word": last, "covered": covered, "coverage": min(1.0, covered / auto.sizes[template])} for covered, first, last in chains(found, gap, least)]
+                    spans.sort(key=lambda x: (-x["coverage"], x["template"], x["first_word"]))
                     base = {auto.labels[k] for k, _ in mine}
                     more = {x["template"] for x in spans if x["coverage"] >= coverage}
                     at_words = [x for _, x in mine]

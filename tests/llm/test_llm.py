@@ -399,6 +399,19 @@ def test_op9_base_and_templates(spark, docs, none):
     assert licenses.scan(docs).count() == len(DOCS) and licenses.scan(none).count() == 0
 
 
+def test_op9_every_template_and_occurrence(spark):
+    """Templates inside longer ones, and each occurrence in a document, have spans of their own."""
+    notice, mit = "Licensed under the Apache License, Version 2.0", licenses.TEMPLATES["mit-permission"]
+    texts = [f"{notice} (the License) is here", " ".join(["x " * 12 + mit] * 3), licenses.TEMPLATES["apache-2.0"], f"{mit} {mit}"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    found = [[(x.template, x.first_word, x.last_word, x.coverage) for x in r.spans if x.coverage == 1] for r in got]
+    assert got[0].score == 1 and "apache-2.0-notice" in got[0].labels.split(",") and found[0] == [("apache-2.0-notice", 0, 7, 1.0)]
+    n = len(mit.split())
+    assert found[1] == [("mit-permission", a, a + n - 1, 1.0) for a in range(12, 12 + 3 * (n + 12), n + 12)]
+    assert {x[0] for x in found[2]} == {"apache-2.0", "apache-2.0-notice"} and len(found[3]) == 2
+    assert licenses.chains([(0, 4, 0), (2, 9, 20), (6, 8, 6)], 8, 4)[0] == (12, 0, 13)
+
+
 def test_op9_matching_statistics():
     auto, rnd = licenses.Automaton(licenses.TEMPLATES, licenses.PHRASES), np.random.default_rng(7)
     sequences = [t.split() for t in licenses.TEMPLATES.values()] + [p.split() for p in licenses.PHRASES]
