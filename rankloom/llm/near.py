@@ -6,17 +6,21 @@ elements in them. With (h + 1) / 2 first-level partitions, one of them holds one
 equal: similar sets share a signature, always. A few first-level partitions more let sets leave out the empty pairs, which say nothing (a set with more empty
 ones than that many partitions keeps them).
 
-Equal sets are one node from the start. Signatures go through count-min sketches (see sketch), so that only nodes with a signature that may be
-repeated go on, and of these only signatures that two nodes do have. In a few rounds each node is compared exactly with one neighbour of another
+Texts are read once for this. Every task cuts its rows into chunks of bounded size and, chunk by chunk, writes the set's size and 128-bit hash of
+each row, and its new sets' signatures, as messages to ranges of signature cells (gap-coded cells and row numbers, about four bytes a
+signature). A range gives back the rows of the cells that several have. A cell that many rows of one chunk have goes out as rows of its
+own, with one mark in the message, so that no range grows with a hot signature. Equal sets are one node, the row of smallest number.
+
+In a few rounds each node is compared exactly with one neighbour of another
 component: of the centres of its signatures (first the member that shares most with others, then random ones), the one that most of them share; the links found give components. Then, signature by
 signature, all pairs of different components are held against an exact lower bound of their difference, and those that pass are compared
-exactly. So a large group of near copies costs a few comparisons a member, and every pair that shares a signature is linked, in one
-component already, or shown not to be similar.
+exactly; a large signature is cut into blocks, each two of which are a task's work. So a large group of near copies costs a few comparisons a
+member, and every pair that shares a signature is linked, in one component already, or shown not to be similar.
 
 Defined cases. Null or empty text, or one without words: n_shingles 0, alone, component_id its own id. Fewer than k words: the whole
 sequence is one shingle. Null doc_id: takes part, never names a component (one of null ids alone has a null component_id). Repeated rows: equal
 texts are in one component; rows of one id with different texts are different nodes. Empty table: no rows. Very long texts: whole.
-Carried columns may have any name that isn't doc_id or a result's.
+Carried columns may have any name; one that a result has too gets `_given` behind it.
 """
 
 from __future__ import annotations
@@ -24,19 +28,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.shared import settle
-from rankloom.llm.sketch import CELLS, Sketch, cell_table, merged, received
-from rankloom.llm.substrings import sizes
-from rankloom.llm.textkit import LOWER, SPACED, mix, spans, text_pieces, window_hashes, word_hashes, words
+from rankloom.llm.shared import beside, release, settle
+from rankloom.llm.sketch import squeeze, unsqueeze
+from rankloom.llm.textkit import LOWER, SPACED, mix, spans, text_pieces, window_hashes, word_pairs, words
 from rankloom.operators.graph import components
 
 _C1, _C2 = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F)
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 _FOLD = 256
+#: As many rows of a chunk in one cell are sent as rows of their own.
+_HOT = 16
+_SENT = "ref long, doc_id long, n long, hi long, lo long, k1 long, k2 long, block int, cell long, cells binary, refs binary"
 
 
 class Bands:
@@ -60,33 +67,39 @@ class Bands:
         return self.differences[self.of(size) + 1] == 0
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle hashes of each text, and the n + 1 offsets of them."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, the n + 1 offsets of them, and a 128-bit hash of each set (0 of an empty one)."""
     data = LOWER[data]
     starts, stops, at = words(data, offsets, SPACED)
-    hashes = word_hashes(data, starts, stops)
-    keys, of = window_hashes(hashes, at, k)
-    count = np.diff(at)
-    sets = [np.unique(keys[a:b]) for a, b in zip(of[:-1].tolist(), of[1:].tolist())]
-    for i in np.flatnonzero((count > 0) & (count < k)).tolist():
-        mine = hashes[at[i] : at[i + 1]]
-        sets[i] = mix(window_hashes(mine, np.array([0, len(mine)]), len(mine))[0] ^ np.uint64(len(mine)))
-    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-
-
-def nodes_of(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each set as a whole; of an empty one, 0."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ _C1))])
-    return mix((total[at[1:]] - total[at[:-1]]) ^ (np.diff(at).astype(np.uint64) * _C2)).astype(np.int64)
-
-
-def signatures(elements: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of sets, and the set that each is of."""
+    pairs = word_pairs(data, starts, stops)
+    one, two, of = window_hashes(pairs, at, k)
+    sets, nodes = [], np.zeros((len(at) - 1, 2), np.uint64)
+    for i, (a, b) in enumerate(zip(of[:-1].tolist(), of[1:].tolist())):
+        if a < b:
+            order = np.argsort(one[a:b])
+            mine, other = one[a:b][order], two[a:b][order]
+            new = np.ones(b - a, bool)
+            np.not_equal(mine[1:], mine[:-1], out=new[1:])
+            mine, other = mine[new], other[new]
+        else:
+            lo, hi = int(at[i]), int(at[i + 1])
+            mine = other = np.zeros(0, np.uint64)
+            if lo < hi:  # fewer than k words: all of them
+                mine, other, _ = window_hashes((pairs[0][lo:hi], pairs[1][lo:hi]), np.array([0, hi - lo]), hi - lo)
+                mine, other = mix(mine ^ np.uint64(hi - lo)), mix(other + np.uint64(hi - lo))
+        if len(mine):
+            nodes[i] = mix(mine ^ _C1).sum(dtype=np.uint64) + np.uint64(len(mine)), mix(other ^ _C2).sum(dtype=np.uint64)
+        sets.append(mine)
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64), nodes
+
+
+def signatures(elements: np.ndarray, at: np.ndarray, bands: Bands, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of the sets to use, and the set that each is of."""
     size, band, out, whose = np.diff(at), bands.of(np.diff(at)), [], []
     for tag in np.unique(np.concatenate([band, band + 1])).tolist():
         if not bands.differences[tag]:
             continue
-        mine = np.flatnonzero((size > 0) & ((band == tag) | (band + 1 == tag)))
+        mine = np.flatnonzero(use & ((band == tag) | (band + 1 == tag)))
         if not len(mine):
             continue
         parts, spare = int(bands.parts[tag]), int(bands.spare[tag])
@@ -110,81 +123,143 @@ def _fold(elements: np.ndarray) -> bytes:
     return np.minimum(np.bincount((elements >> np.uint64(56)).astype(np.int64), minlength=_FOLD), 65535).astype(np.uint16).tobytes()
 
 
-def _sets(docs: DataFrame, k: int, bands: Bands, carry: list[str]) -> DataFrame:
-    """doc_id, n_shingles, node and carried columns of every row; the text where a set comes first in its task and may have similar ones."""
-    schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_shingles long, node long, text string").fields, *[T.StructField(c, docs.schema[c].dataType) for c in carry]])
+class Cells:
+    """The cells that signatures fall into and the ranges that cells are merged by."""
+
+    def __init__(self, keys: int, block_keys: int = 2 << 20) -> None:
+        """For about `keys` signatures in all: 256 cells for each, `block_keys` signatures to a range, or fewer for 64 ranges."""
+        self.bits = min(62, max(16, int(np.ceil(np.log2(max(1, keys) * 256)))))
+        self.blocks = max(1, min(64, keys >> 14), -(-keys // block_keys))
+
+    def edge(self, block):
+        """The first cell of a range."""
+        return (int(block) << self.bits) // self.blocks
+
+
+class _Chunk:
+    """Signatures of one chunk's new sets, by cells, until they are sent."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.seen, self.bytes = base, set(), 0
+        self.cells: list[np.ndarray] = []
+        self.refs: list[np.ndarray] = []
+
+    def messages(self, cells: Cells) -> list[tuple[int, int, bytes | None, bytes]]:
+        """(block, cell, cells, refs); block -1 for the rows of a hot cell."""
+        if not self.cells:
+            return []
+        cell, ref = np.concatenate(self.cells), np.concatenate(self.refs)
+        order = np.lexsort((ref, cell))
+        cell, ref = cell[order], ref[order]
+        new = np.ones(len(cell), bool)  # a set with two signatures in one cell is there once
+        new[1:] = (cell[1:] != cell[:-1]) | (ref[1:] != ref[:-1])
+        cell, ref = cell[new], ref[new]
+        first = np.flatnonzero(np.diff(cell, prepend=~cell[:1]))
+        times = np.diff(np.append(first, len(cell)))
+        out, stay = [], np.ones(len(cell), bool)
+        wide = int(ref.max()) >= 0xFFFF
+        mark = np.uint32(0xFFFFFFFF) if wide else np.uint16(0xFFFF)
+        sent = ref.astype(np.uint32 if wide else np.uint16)
+        for a, n in zip(first[times > _HOT].tolist(), times[times > _HOT].tolist()):
+            out.append((-1, int(cell[a]), None, (self.base + ref[a : a + n]).tobytes()))
+            sent[a], stay[a + 1 : a + n] = mark, False
+        cell, sent = cell[stay], sent[stay]
+        edges = np.array([cells.edge(b) for b in range(cells.blocks + 1)], np.int64)
+        at = np.searchsorted(cell, edges)
+        head = np.array([self.base], np.int64).tobytes()
+        out += [(b, None, squeeze(cell[at[b] : at[b + 1]] - edges[b]), head + sent[at[b] : at[b + 1]].tobytes()) for b in range(cells.blocks) if at[b + 1] > at[b]]
+        return out
+
+
+def _sent(docs: DataFrame, k: int, bands: Bands, cells: Cells, carry: list[str], chunk_bytes: int) -> DataFrame:
+    """One pass over the texts: a row for every document (ref: a number of its own; n, hi and lo of its set) and messages of its signatures."""
+    schema = T.StructType([*T.StructType.fromDDL(_SENT).fields, *[T.StructField(c, docs.schema[c].dataType) for c in carry]])
 
     def run(batches):
-        seen: set[int] = set()
+        base, shape = TaskContext.get().partitionId() << 36, pa.schema([])
+        row, chunk = 0, _Chunk(base)
+
+        def flush(chunk):
+            found = chunk.messages(cells)
+            for lo in range(0, len(found), 4096):
+                part = found[lo : lo + 4096]
+                columns = [pa.nulls(len(part), pa.int64()) for _ in range(7)]
+                columns += [pa.array([m[i] for m in part], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(part), shape.field(c).type) for c in carry)], schema.names)
+
         for batch in batches:
-            texts = batch.column("text")
-            for lo, data, offsets in text_pieces(texts):
-                elements, at = shingle_sets(data, offsets, k)
-                size, node = np.diff(at), nodes_of(elements, at)
+            shape = batch.schema
+            for lo, data, offsets in text_pieces(batch.column("text")):
+                elements, at, nodes = shingle_sets(data, offsets, k)
+                size, n = np.diff(at), len(offsets) - 1
                 use = (size > 0) & ~bands.alone(np.maximum(size, 1))
                 for i in np.flatnonzero(use).tolist():
-                    if (n := int(node[i])) in seen:
+                    if (key := nodes[i].tobytes()) in chunk.seen:
                         use[i] = False
-                    seen.add(n)
-                part = texts.slice(lo, len(size))
-                text = part.take(pa.array(np.arange(len(size)), mask=~use))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(size)).cast(pa.int64()), pa.array(size), pa.array(node, mask=size == 0), text.cast(pa.string()), *(batch.column(c).slice(lo, len(size)) for c in carry)], schema.names)
-
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
-
-
-def _group_sets(table: pa.Table, k: int):
-    """(nodes, elements, offsets) of a group's distinct nodes, piece by piece."""
-    order = np.unique(table.column("node").to_numpy(), return_index=True)[1]
-    nodes, texts = table.column("node").to_numpy()[order], table.column("text").take(pa.array(order)).combine_chunks()
-    for lo, data, offsets in text_pieces(texts):
-        elements, at = shingle_sets(data, offsets, k)
-        yield nodes[lo : lo + len(at) - 1], elements, at
-
-
-def _candidates(x: DataFrame, k: int, bands: Bands, sketch: Sketch) -> DataFrame:
-    """Nodes with a signature that may be repeated: node, n and those signatures."""
-
-    def sets(table):
-        for nodes, elements, at in _group_sets(table, k):
-            yield nodes, at, *signatures(elements, at, bands)
-
-    def first(key, table):
-        return cell_table(key[0].as_py(), sketch.send(np.concatenate([s for *_, s, _ in sets(table)])))
-
-    def second(key, left, right):
-        rows = []
-        if left.num_rows:
-            every = list(sets(left))
-            tables = sketch.receive(np.concatenate([s for *_, s, _ in every]), received(right))
-            for nodes, at, signs, whose in every:
-                hit = sketch.repeated(signs, tables)
-                signs, whose = signs[hit], whose[hit]
-                order = np.argsort(whose, kind="stable")
-                signs, upto = signs[order].view(np.int64), np.searchsorted(whose[order], np.arange(len(nodes) + 1))
-                for i in np.flatnonzero(np.diff(upto)).tolist():
-                    rows.append((int(nodes[i]), int(at[i + 1] - at[i]), signs[upto[i] : upto[i + 1]]))
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["node", "n", "signatures"])
-
-    bits = merged(x.groupBy("_group").applyInArrow(first, CELLS))
-    return x.groupBy("_group").cogroup(bits.groupBy("_group")).applyInArrow(second, "node long, n long, signatures array<long>")
-
-
-def _sets_of(x: DataFrame, nodes: DataFrame, k: int, groups: int) -> DataFrame:
-    """The sets of some nodes and their folds."""
-
-    def run(key, left, right):
-        rows = []
-        if left.num_rows and right.num_rows:
-            asked = left.filter(pa.compute.is_in(left.column("node"), right.column("node").combine_chunks()))
-            for mine, elements, at in _group_sets(asked, k):
+                    chunk.seen.add(key)
+                signs, whose = signatures(elements, at, bands, use)
+                if len(signs):
+                    chunk.cells.append((signs >> np.uint64(64 - cells.bits)).astype(np.int64))
+                    chunk.refs.append(whose + (base + row - chunk.base))
+                none, nodes = size == 0, nodes.view(np.int64)
+                columns = [pa.array(base + row + np.arange(n)), batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(size), pa.array(nodes[:, 0].copy(), mask=none), pa.array(nodes[:, 1].copy(), mask=none)]
+                columns += [batch.column(c).slice(lo, n) for c in ("k1", "k2")] + [pa.nulls(n, kind) for kind in (pa.int32(), pa.int64(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).slice(lo, n) for c in carry)], schema.names)
+                row += n
+                chunk.bytes += len(data)
+                if chunk.bytes >= chunk_bytes:
+                    yield from flush(chunk)
+                    chunk = _Chunk(base + row)
+        if chunk.cells:
+            yield from flush(chunk)
+
+    return docs.select("doc_id", "text", "k1", "k2", *carry).mapInArrow(run, schema)
+
+
+def _shared_cells(sent: DataFrame, cells: Cells) -> DataFrame:
+    """(sign, node): rows whose cells several rows have."""
+
+    def merge(table):
+        edge = cells.edge(table.column("block")[0].as_py())
+        cell, ref = [], []
+        for a, b in zip(table.column("cells"), table.column("refs")):
+            raw = b.as_buffer()
+            mine, base = unsqueeze(a.as_buffer().to_pybytes()), int(np.frombuffer(raw, np.int64, 1)[0])
+            kind = np.uint16 if len(raw) - 8 == 2 * len(mine) else np.uint32
+            got = np.frombuffer(raw, kind, len(mine), 8)
+            cell.append(mine)
+            ref.append(np.where(got == np.iinfo(kind).max, -1, base + got.astype(np.int64)))
+        cell, ref = np.concatenate(cell), np.concatenate(ref)
+        order = np.argsort(cell, kind="stable")
+        cell, ref = cell[order], ref[order]
+        again, hit = cell[1:] == cell[:-1], ref < 0
+        hit[1:] |= again
+        hit[:-1] |= again
+        hit &= ref >= 0
+        return pa.table([pa.array(edge + cell[hit]), pa.array(ref[hit])], names=["sign", "node"])
+
+    def split(batches):
+        for batch in batches:
+            refs = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("refs")]
+            cell = np.repeat(batch.column("cell").to_numpy(), [len(x) for x in refs])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate(refs) if refs else np.zeros(0, np.int64))], ["sign", "node"])
+
+    found = sent.where("block >= 0").select("block", "cells", "refs").groupBy("block").applyInArrow(merge, "sign long, node long")
+    return found.unionByName(sent.where("block = -1").select("cell", "refs").mapInArrow(split, "sign long, node long"))
+
+
+def _sets_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The sets of some nodes and their folds. Asked: node and its row's keys."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, data, offsets in text_pieces(batch.column("text")):
+                elements, at, _ = shingle_sets(data, offsets, k)
                 sets = [elements[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                rows += [(int(node), e.tobytes(), _fold(e)) for node, e in zip(mine, sets)]
-        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "elements", "fold"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([_fold(x) for x in sets], pa.binary())], ["node", "elements", "fold"])
 
-    asked = nodes.select(F.pmod("node", F.lit(groups)).alias("_group"), "node")
-    return x.groupBy("_group").cogroup(asked.groupBy("_group")).applyInArrow(run, "node long, elements binary, fold binary")
+    texts = docs.select("k1", "k2", "text").join(asked, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("node").alias("node"))
+    return texts.select("node", "text").mapInArrow(run, "node long, elements binary, fold binary")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -205,41 +280,58 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, sets: DataFrame, percent: int, part_rows: int = 100_000) -> DataFrame:
+def _across(rows: DataFrame, sets: DataFrame, percent: int, part_rows: int = 50_000, block: int = 2048) -> DataFrame:
     """Pairs of nodes of one signature but different components that the sizes and folds can't tell apart.
 
-    Rows: sign, node, root, n. Signatures are dealt out over parts of about `part_rows` rows; a part gets each of its nodes' folds once, and
-    blocks of each signature's nodes are compared."""
+    Rows: sign, node, root, n. Signatures are dealt out over parts of about `part_rows` rows; one of more than `block` rows is cut into blocks,
+    and every two of them are a part. A part gets each of its nodes' folds once."""
+
+    def pairs(left, right, node, root, n, fold):
+        """Pairs of the places in left with those in right (or after their own, in the same array)."""
+        out = []
+        for i, a in enumerate(left.tolist()):
+            others = right[i + 1 :] if right is left else right
+            low, high = np.searchsorted(n[others], [-(-n[a] * percent // 100), n[a] * 100 // percent + 1])
+            others = others[low:high]
+            b = others[root[others] != root[a]]
+            if len(b):
+                apart = np.abs(fold[b].astype(np.int32) - fold[a].astype(np.int32)).sum(1)
+                b = node[b[apart * (100 + percent) <= (100 - percent) * (n[b] + n[a])]]
+                out.append(np.stack([np.minimum(b, node[a]), np.maximum(b, node[a])], 1))
+        return out
 
     def run(key, table, folds):
-        out = np.zeros((0, 2), np.int64)
+        out = [np.zeros((0, 2), np.int64)]
         if table.num_rows and folds.num_rows:
-            sign, node, root, n = (table.column(c).to_numpy() for c in ("sign", "node", "root", "n"))
+            sign, node, root, n, side, i, j = (table.column(c).to_numpy() for c in ("sign", "node", "root", "n", "side", "i", "j"))
             order = np.argsort(folds.column("node").to_numpy())
             known = folds.column("node").to_numpy()[order]
-            fold = np.frombuffer(b"".join(folds.column("fold").to_pylist()), np.uint16).reshape(-1, _FOLD)[order]
-            at = np.searchsorted(known, node)
-            order = np.lexsort((n, sign))
-            edges = np.append(np.flatnonzero(np.diff(sign[order], prepend=~sign[order[0]])), len(order))
-            found: set[tuple[int, int]] = set()
+            at = order[np.searchsorted(known, node)]
+            fold = np.frombuffer(b"".join(folds.column("fold").to_pylist()), np.uint16).reshape(-1, _FOLD)
+            order = np.lexsort((n, side, j, i, sign))
+            new = np.any([np.diff(x[order], prepend=x[order[0]] - 1) != 0 for x in (sign, i, j)], 0)
+            edges = np.append(np.flatnonzero(new), len(order))
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 mine = order[lo:hi]
-                for i, a in enumerate(mine[:-1].tolist()):
-                    others = mine[i + 1 :]
-                    others = others[: int(np.searchsorted(n[others], n[a] * 100 // percent, "right"))]
-                    others = others[root[others] != root[a]]
-                    for start in range(0, len(others), 4096):
-                        b = others[start : start + 4096]
-                        apart = np.abs(fold[at[b]].astype(np.int32) - fold[at[a]].astype(np.int32)).sum(1)
-                        b = node[b[apart * (100 + percent) <= (100 - percent) * (n[b] + n[a])]]
-                        found.update(zip(np.minimum(b, node[a]).tolist(), np.maximum(b, node[a]).tolist()))
-            out = np.array(sorted(found), np.int64).reshape(-1, 2)
+                own = (node[mine], root[mine], n[mine], fold[at[mine]])
+                places = np.arange(len(mine))
+                if i[mine[0]] == j[mine[0]]:
+                    out += pairs(places, places, *own)
+                else:
+                    cut = int((side[mine] == i[mine]).sum())
+                    out += pairs(places[:cut], places[cut:], *own)
+                if len(out) > 4096:
+                    out = [np.unique(np.concatenate(out), axis=0)]
+        out = np.unique(np.concatenate(out), axis=0)
         return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
     parts = max(1, -(-rows.count() // part_rows))
-    dealt = rows.select(F.pmod("sign", F.lit(parts)).alias("_part"), "sign", "node", "root", "n")
-    folds = dealt.select("_part", "node").toDF("_part", "node").distinct().join(sets.select("node", "fold"), "node").select("node", "_part", "fold").toDF("node", "_part", "fold")
-    return dealt.groupBy("_part").cogroup(folds.groupBy("_part")).applyInArrow(run, "a long, b long").distinct()
+    blocks = rows.groupBy("sign").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    dealt = rows.join(blocks, "sign").withColumn("side", F.pmod(F.xxhash64("node"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("side", "_other"), "j": F.greatest("side", "_other")})
+    dealt = dealt.select(F.when(F.col("_blocks") == 1, F.pmod("sign", F.lit(parts))).otherwise(F.xxhash64("sign", "i", "j")).alias("part"), "sign", "node", "root", "n", "side", "i", "j")
+    folds = dealt.select("part", "node").toDF("part", "node").distinct().join(sets.select("node", "fold"), "node").select("part", "node", "fold").toDF("part", "node", "fold")
+    return dealt.groupBy("part").cogroup(folds.groupBy("part")).applyInArrow(run, "a long, b long").distinct()
 
 
 def _rooted(signs: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -302,49 +394,76 @@ def _degrees(members: DataFrame, percent: int, block: int = 1024, elements: int
     return found.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, depth: int = 2, group_bytes: int = 16 << 20, rounds: int = 2, links_too: bool = True) -> DataFrame:
+def _keys(doc_id: str = "doc_id", text: str = "text") -> list:
+    """Two 64-bit hashes of id and text, by which a row's text is found again."""
+    return [F.xxhash64(doc_id, text), F.xxhash64(F.lit("row"), text, doc_id)]
+
+
+def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, chunk_bytes: int = 8 << 20, block_keys: int = 2 << 20, rounds: int = 2, links_too: bool = True, keys_too: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to), n_links where asked for (how many
-    other rows have an equal set or one similar enough), and carried columns."""
+    other rows have an equal set or one similar enough), and carried columns; where asked for, is_first (one row of each component: the one
+    of smallest id) and the row's keys."""
     carry, bands = carry or [], Bands(percent)
-    total, groups = sizes(docs, group_bytes)
-    rows = settle(_sets(docs, k, bands, carry))
-    x = rows.where("text is not null").select(F.pmod("node", F.lit(groups)).alias("_group"), "node", "text")
-    found = settle(_candidates(x, k, bands, Sketch(total // 8, min(groups, 4096), depth, 0.125)))
-    signs = found.select("node", "n", F.explode("signatures").alias("sign"))
-    # estimates are exact from here on: signatures that one node alone has go
-    several = signs.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1")
-    signs = settle(signs.join(several, "sign"))
+    inner = {c: f"_c{i}" for i, c in enumerate(carry)}
+    docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in inner.items()], *[x.alias(f"k{i + 1}") for i, x in enumerate(_keys())])
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = Cells(total // 7, block_keys)
+    sent = settle(_sent(docs, k, bands, cells, list(inner.values()), chunk_bytes))
+    rows = settle(sent.where("block IS NULL").drop("block", "cell", "cells", "refs"))
+    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "ref")
+    nodes = settle(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("ref").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"), F.min(first).alias("first"), F.min(F.struct("ref", "k1", "k2")).alias("key")))
+    # rows that are not their set's node go, then cells that one node alone has
+    found = settle(_shared_cells(sent, cells).join(nodes.select("node", "n"), "node"))
+    release(sent)
+    several = found.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1")
+    signs = settle(found.join(several, "sign"))
+    release(found)
     # how many others a node shares signatures with, for its size: the original of many copies comes first
     middle = settle(signs.groupBy("node").agg((F.sum(F.col("c") - 1) / F.max("n")).alias("shares")))
-    sets = settle(_sets_of(x, signs.select("node").distinct(), k, groups))
-    links = tried = first = None
+    sets = settle(_sets_of(docs, nodes.join(middle, "node", "left_semi").select("node", "key.k1", "key.k2"), k))
+    links = tried = roots = None
     for turn in range(rounds):
-        rooted = _rooted(signs, first) if turn else _rooted(signs, first).join(middle, "node")
+        rooted = _rooted(signs, roots) if turn else _rooted(signs, roots).join(middle, "node")
         order = F.struct(-F.col("shares") if not turn else F.lit(0.0), F.xxhash64(F.lit(turn), "node"))
         centre = rooted.groupBy("sign").agg(F.min(F.struct(order.alias("h"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("top"))).alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sign", "c.*")
         asked = rooted.join(centre, "sign").where(f"root <> top AND 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c")).groupBy("b").agg(F.min(F.struct(-F.col("c"), F.col("a")))["a"].alias("a"))
         asked = settle(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found_links = settle(_verified(asked, sets, percent))
-        links = found_links if links is None else links.unionByName(found_links)
+        found = settle(_verified(asked, sets, percent))
+        links = found if links is None else links.unionByName(found)
         tried = asked if tried is None else tried.unionByName(asked)
-        if not found_links.take(1) and turn:
+        if not found.take(1) and turn:
             break
-        first = components(links)
-    rooted = _rooted(signs, first)
+        roots = components(links)
+    rooted = _rooted(signs, roots)
     open_ = rooted.groupBy("sign").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sign")
     more = _across(settle(rooted.join(open_, "sign").select("sign", "node", "root", "n")), sets, percent)
     more = settle(_verified(more.join(tried, ["a", "b"], "left_anti"), sets, percent))
-    every = links.unionByName(more)
-    final = components(every) if more.take(1) else first
-    named = rows.drop("text").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    name = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out, counted = named.join(name, "root", "left"), []
+    if more.take(1):
+        roots = components(links.unionByName(more))
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("top")), "root").select("node", "hi", "lo", "top")
+    extra = ["top"]
     if links_too:
-        copies = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
-        degree = settle(_degrees(final.join(copies, "node").join(sets.select("node", "elements"), "node"), percent))
-        own = copies.join(degree, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"))
-        out, counted = out.join(own, "node", "left"), [F.coalesce("_links", F.lit(0)).alias("n_links")]
-    return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *counted, *carry)
+        degree = settle(_degrees(roots.join(nodes, "node").join(sets, "node").select("node", "root", "copies", "elements"), percent))
+        own = nodes.join(degree, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+        named, extra = named.join(own, "node"), ["top", "links"]
+    out = rows.join(named.select("hi", "lo", *extra), ["hi", "lo"], "left")
+    result = {"doc_id": F.col("doc_id"), "n_shingles": F.col("n"), "component_id": F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))}
+    result |= {"n_links": F.coalesce("links", F.lit(0).cast("long"))} if links_too else {}
+    result |= {"is_first": F.col("hi").isNull() | (F.col("ref") == F.col("top.ref")), "k1": F.col("k1"), "k2": F.col("k2")} if keys_too else {}
+    return out.select(*[x.alias(c) for c, x in result.items()], *[F.col(x).alias(c) for x, c in zip(inner.values(), beside(carry, result))])
+
+
+def first_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, **options) -> DataFrame:
+    """The rows of docs, whole, of which one stays for each component of near copies: the one of smallest id. Of rows equal in id and text one
+    stays; rows without words all stay."""
+    found = similar(docs.select("doc_id", "text"), k=k, percent=percent, links_too=False, keys_too=True, **options)
+    keep = found.where("is_first").groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.max("n_shingles").alias("_size"))
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    keys = _keys(*[names[docs.columns.index(c)] for c in ("doc_id", "text")])
+    mine = docs.toDF(*names).withColumns({f"_k{i + 1}": x for i, x in enumerate(keys)})
+    kept = mine.join(settle(keep), ["_k1", "_k2"]).withColumn("_row", F.when(F.col("_size") == 0, F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["_k1", "_k2", "_row"]).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 ORACLE = r"""

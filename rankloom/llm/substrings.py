@@ -1,15 +1,16 @@
 """Substring dedup: every word covered by a window of k words that also starts in a document with a smaller id is removed.
 
-Count-min prefilter: groups of documents count their windows in sketches, which are merged by ranges of cells (see sketch); only windows
-estimated repeated go on. A second pass groups these exactly: each group sends its distinct candidates (96-bit hashes)
+Count-min prefilter: groups of documents count their windows in sketches, which are merged by ranges of cells (see sketch; counts stop at two, which
+is all that the estimate is asked for); only windows
+estimated repeated go on. A second pass groups these exactly: each group sends its distinct candidates (128-bit hashes)
 with the smallest id that has them, by ranges of hashes, and gets a bit back for each: whether a smaller id has it elsewhere. A third pass over
 the texts marks the covered words. What is shuffled are the texts (by group), about two bytes a window and sketch row, and
-twenty bytes a distinct candidate of a group; no window's documents ever meet in one place, however many they are.
+24 bytes a distinct candidate of a group; no window's documents ever meet in one place, however many they are.
 
 Defined cases. Null or empty text: no words; the kept text is empty. Null doc_id: counts as the largest id: its words are removed
 where a document with an id has them, and it removes nothing. Repeated rows: rows of one id don't remove each other's words. Texts
 of fewer than k words: nothing is removed. Empty table: no rows. Very long texts: whole. A window repeated within one document only
-stays. Carried columns may have any name that isn't doc_id, text or a result's.
+stays. Carried columns may have any name; one that a result has too gets `_given` behind it.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.shared import settle
+from rankloom.llm.shared import beside, settle
 from rankloom.llm.sketch import BITS, CELLS, Sketch, cell_table, merged, received
-from rankloom.llm.textkit import SPACED, spans, text_pieces, window_hashes, word_hashes, words
+from rankloom.llm.textkit import SPACED, spans, text_pieces, window_hashes, word_pairs, words
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _KEYS = "_block int, _group long, _keys binary"
@@ -37,7 +38,7 @@ def grouped(docs: DataFrame, carry: list[str], groups: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("_group"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
 
 
-def sizes(docs: DataFrame, group_bytes: int = 16 << 20, least: int = 64) -> tuple[int, int]:
+def sizes(docs: DataFrame, group_bytes: int, least: int = 64) -> tuple[int, int]:
     """The bytes of all texts, and a number of groups: at least `least` unless they'd be under 32 kB, at most `group_bytes` each."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return total, max(min(least, total >> 15), -(-total // group_bytes), 1)
@@ -50,13 +51,12 @@ def _in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return table.take(pa.array(order)), ids[order]
 
 
-def _windows(table: pa.Table, k: int, second: bool = False):
-    """(first row, words' pieces, window hashes, offsets of windows) of each piece of a group's texts."""
+def _windows(table: pa.Table, k: int):
+    """(first row, words' pieces, window hashes, offsets of windows, other window hashes) of each piece of a group's texts."""
     for lo, data, offsets in text_pieces(table.column("text").combine_chunks()):
         starts, stops, at = words(data, offsets, SPACED)
-        hashes = word_hashes(data, starts, stops)
-        keys, of = window_hashes(hashes, at, k)
-        yield lo, (data, offsets, starts, stops, at), keys, of, window_hashes(hashes, at, k, True)[0] if second else None
+        one, two, of = window_hashes(word_pairs(data, starts, stops), at, k)
+        yield lo, (data, offsets, starts, stops, at), one, of, two
 
 
 def _join(parts: list[np.ndarray]) -> np.ndarray:
@@ -81,14 +81,13 @@ class _Group:
     def __init__(self, table: pa.Table, bits: pa.Table, sketch: Sketch, k: int, blocks: int) -> None:
         self.table, self.ids = _in_order(table)
         keys, found, self.pieces = [], [], []
-        for lo, piece, one, of, two in _windows(self.table, k, True):
+        for lo, piece, one, of, two in _windows(self.table, k):
             keys.append(one)
             self.pieces.append((lo, piece, of))
             found.append((one, two, np.repeat(self.ids[lo : lo + len(of) - 1], np.diff(of))))
         tables = sketch.receive(_join(keys), received(bits))
         self.chosen = [np.flatnonzero(sketch.repeated(one, tables)) for one, _, _ in found]
         one, two, ids = (_join([f[i][c] for f, c in zip(found, self.chosen)]) for i in range(3))
-        two = (two >> np.uint64(32)).astype(np.uint32)
         ids = ids.astype(np.int64)
         self.order, self.begins = _sort(one, two, ids)
         self.window_ids, first = ids, self.order[self.begins]
@@ -102,10 +101,10 @@ def _second_merge(table: pa.Table) -> pa.Table:
     block, groups, raws = table.column("_block")[0].as_py(), table.column("_group").to_pylist(), table.column("_keys").to_pylist()
     ones, twos, ids, sizes = [], [], [], []
     for raw in raws:
-        n = len(raw) // 20
+        n = len(raw) // 24
         ones.append(np.frombuffer(raw, np.uint64, n))
-        twos.append(np.frombuffer(raw, np.uint32, n, 8 * n))
-        ids.append(np.frombuffer(raw[12 * n :], np.int64, n))
+        twos.append(np.frombuffer(raw, np.uint64, n, 8 * n))
+        ids.append(np.frombuffer(raw, np.int64, n, 16 * n))
         sizes.append(n)
     one, two, every = np.concatenate(ones), np.concatenate(twos), np.concatenate(ids)
     order, begins = _sort(one, two, every)
@@ -136,12 +135,14 @@ def _fields(docs: DataFrame, names: list[str]) -> list[T.StructField]:
     return [T.StructField(n, docs.schema[n].dataType) for n in names]
 
 
-def remove_repeats(docs: DataFrame, *, k: int = 13, carry: list[str] | None = None, with_text: bool = False, depth: int = 2, group_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, k: int = 13, carry: list[str] | None = None, with_text: bool = False, depth: int = 2, group_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, carried columns and, if asked, the kept text:
     the text as it was if nothing was removed, else the kept words joined by one space."""
-    carry = carry or []
+    given = carry or []
+    carry = [f"_c{i}" for i in range(len(given))]
+    docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(given, carry)])
     total, groups = sizes(docs, group_bytes)
-    blocks = min(groups, 4096)
+    blocks = max(min(groups, 64), -(-total // (12 << 20)))
     sketch = Sketch(total // 6, blocks, depth)
     x = grouped(docs, carry, groups)
 
@@ -197,7 +198,8 @@ def remove_repeats(docs: DataFrame, *, k: int = 13, carry: list[str] | None = No
         columns = [g.table.column("doc_id").cast(pa.int64()), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds[1:]))]
         return pa.table(columns + [g.table.column(c) for c in carry], names=names + carry)
 
-    return x.groupBy("_group").cogroup(bits.unionByName(elsewhere).groupBy("_group")).applyInArrow(third, schema)
+    out = x.groupBy("_group").cogroup(bits.unionByName(elsewhere).groupBy("_group")).applyInArrow(third, schema)
+    return out.toDF(*schema.names[: -len(carry) or None], *beside(given, schema.names[: -len(carry) or None]))
 
 
 ORACLE = r"""

@@ -6,11 +6,13 @@ stay small whatever the batch size. A single text is never cut; a piece holds on
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 
 #: Word bytes of `[^\x20\x09-\x0D]+`.
 SPACED = np.ones(256, bool)
@@ -22,28 +24,11 @@ ALNUM[list(range(0x30, 0x3A)) + list(range(0x61, 0x7B)) + list(range(0x80, 0x100
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_POWERS: dict[int, list[np.ndarray]] = {}
-
-
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
-
-
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _POWERS.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = max(n, PIECE_BYTES + 1024)
-        have = []
-        for b in (base, np.uint64(_inverse(int(base)))):
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            have.append(np.multiply.accumulate(out))
-        if size > 8 * PIECE_BYTES:  # for one very long text only: not kept
-            return have[0][:n], have[1][:n]
-        _POWERS[int(base)] = have
-    return have[0][:n], have[1][:n]
+_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Words of more bytes go through a cryptographic hash, one by one.
+_LONG = 256
+#: The low bytes of an eight-byte word, by their number.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,24 +85,62 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, stops, np.searchsorted(starts, offsets)
 
 
+def _stir(x: np.ndarray) -> np.ndarray:
+    """Another 64-bit finaliser, unrelated to mix()."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def word_pairs(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two unrelated 64-bit hashes of each word's bytes, eight bytes at a time, each step a bijection of the eight; no polynomial of the
+    bytes, whose collisions could be written down."""
+    size = stops - starts
+    padded = np.zeros(len(data) // 8 * 8 + 24, np.uint8)
+    padded[: len(data)] = data
+    wide = padded.view("<u8")
+    one, two = mix(size.astype(np.uint64) * _K1 + _K2), _stir(size.astype(np.uint64) * _K3 + _K1)
+    live, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(live):
+        begin, left = starts[live] + at, size[live] - at
+        shift, place = (begin & 7).astype(np.uint64) << np.uint64(3), begin >> 3
+        part = wide[place] >> shift | (wide[place + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        part &= _LOW[np.minimum(left, 8)]
+        one[live], two[live] = mix(one[live] ^ part * _K1), _stir((two[live] + part) * _K3)
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        one[i], two[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : stops[i]].tobytes(), digest_size=16).digest(), np.uint64)
+    return one, two
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    up, down = powers(_B1, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts])
+    one, two = word_pairs(data, starts, stops)
+    return one ^ two * _K2
 
 
-def window_hashes(hashes: np.ndarray, offsets: np.ndarray, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every run of k words within one text, and the n + 1 offsets of each text's windows; second: an independent one."""
+def window_hashes(words_: tuple[np.ndarray, np.ndarray], offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes, from both hashes of its words, of every run of k words within one text, and the n + 1 offsets of each text's windows."""
     counts = np.maximum(np.diff(offsets) - (k - 1), 0)
     at = np.zeros(len(offsets), np.int64)
     np.cumsum(counts, out=at[1:])
-    up, down = powers(_B2, len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum((mix(hashes ^ _B2) if second else hashes) * up[: len(hashes)], out=total[1:])
+    n = max(len(words_[0]) - k + 1, 0)
+    if not at[-1]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), at
+    sums = []
+    for hashes, by in zip(words_, (_K1, _K2)):
+        total = hashes[:n].copy()
+        for j in range(1, k):
+            total *= by
+            total += hashes[j : n + j]
+        sums.append(total)
     first = np.repeat(offsets[:-1] - at[:-1], counts) + np.arange(at[-1])
-    return mix((total[first + k] - total[first]) * down[first]), at
+    a, b = sums[0][first], sums[1][first]
+    return mix(a ^ (b << np.uint64(32) | b >> np.uint64(32))), _stir(b + a * _K3), at
 
 
 def word_array(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, kind: np.ndarray) -> pa.Array:

@@ -80,7 +80,9 @@ def test_words_and_hashes():
     starts, stops, at = textkit.words(data, offsets, textkit.SPACED)
     assert [data[a:b].tobytes().decode() for a, b in zip(starts, stops)] == [w for t in texts for w in words(t)]
     assert at.tolist() == [0, 3, 3, 3, 4, 6]
+    one, two = textkit.word_pairs(data, starts, stops)
     h = textkit.word_hashes(data, starts, stops)
+    assert one[1] == one[3] == one[5] and two[1] == two[3] == two[5] and len(set(one.tolist())) == len(set(two.tolist())) == 4
     assert h[1] == h[3] == h[5] and len(set(h.tolist())) == 4
 
 
@@ -159,7 +161,9 @@ def brute_substrings(rows, k=13):
 
 def test_op3_brute_force(docs, none):
     for bytes_ in (16 << 20, 2000):
-        got = substrings.remove_repeats(docs.drop("_group"), group_bytes=bytes_, carry=["node", "row"]).collect()
+        got = substrings.remove_repeats(docs.withColumn("n_words", F.lit(-1)), group_bytes=bytes_, carry=["_group", "row", "n_words"])
+        assert got.columns[4:] == ["_group", "row", "n_words_given"]
+        got = got.collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substrings(DOCS)
     kept = substrings.remove_repeats(docs, with_text=True).where("n_removed = 0 AND doc_id = 0").first()
     assert kept.text == DOCS[0][1]
@@ -292,6 +296,52 @@ def test_op7_brute_force(docs, none):
     assert near.similar(none).count() == 0
 
 
+def test_op7_names_blocks_and_first_rows(spark, docs):
+    """Columns named like inner or result columns, many chunks and ranges, and the row that stays of each component."""
+    names = ["node", "root", "sign", "k1", "n", "component_id", "copies"]
+    clash = docs.select("doc_id", "text", *[F.concat("lang", F.lit(c)).alias(c) for c in names])
+    got = near.similar(clash, carry=names, chunk_bytes=3000, block_keys=100)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links", *[c + "_given" * (c == "component_id") for c in names]]
+    rows = got.collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute_near(DOCS, 4, 85) and {r.root for r in rows} == {"enroot"}
+    kept = near.first_of_each(clash, k=4, percent=85)
+    assert kept.columns == clash.columns
+    # one more: rows of id 3 with different texts name two components
+    groups = Counter((c if n else object()) for (_, n, c), m in brute_near(DOCS, 4, 85).items() for _ in range(m))
+    assert kept.count() == len(groups) + 1 and near.first_of_each(clash.limit(0)).count() == 0
+
+
+def test_op7_hot_signature_in_blocks(spark):
+    """A signature of many sets that are not similar is compared block by block, and every link is found."""
+    rnd = np.random.default_rng(11)
+    rows = [(i, i, int(rnd.integers(40, 60))) for i in range(300)]
+    sets = [(i, np.sort(rnd.integers(0, 2**63, n).astype(np.uint64)), n) for i, _, n in rows]
+    sets[7] = (7, sets[200][1][:-2], len(sets[200][1]) - 2)
+    rows[7] = (7, 7, sets[7][2])
+    known = spark.createDataFrame([(i, s.tobytes(), near._fold(s)) for i, s, _ in sets], "node long, elements binary, fold binary")
+    signs = spark.createDataFrame([(5, i, r, n) for i, r, n in rows], "sign long, node long, root long, n long")
+    for block in (16, 4096):
+        found = near._across(signs, known, 80, block=block)
+        assert [(r.a, r.b) for r in near._verified(found, known, 80).collect()] == [(7, 200)]
+
+
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w
+
+
+def test_op3_op7_words_made_to_collide(spark):
+    """Long words that collide under any polynomial hash modulo 2**64 are told apart."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(0, f"{same} {a}"), (1, f"{same} {b}"), (2, f"x y z {a}"), (3, f"x y z {b}"), (4, " ".join([a, b] * 20)), (5, " ".join([b, a] * 20))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 40}
+    assert {r.doc_id: r.component_id for r in near.similar(df).collect() if r.doc_id < 4} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
 def test_op7_families_of_edits(spark):
     """Chains and families of edits around the threshold, where most pairs that share signatures are no links."""
     rnd = np.random.default_rng(6)
