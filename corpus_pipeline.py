@@ -22,9 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of near copies: five-word shingles, similarity of 0.8 or more."""
-    found = near.similar(docs.select(*COLUMNS), k=5, percent=80, carry=["lang", "source", "n_chars"], links_too=False)
-    kept = found.where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    return near.first_of_each(docs.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
