@@ -7,7 +7,7 @@ equal: similar sets share a signature, always. A few first-level partitions more
 ones than that many partitions keeps them).
 
 Texts are read once for this. Every task cuts its rows into chunks of bounded size and, chunk by chunk, writes the set's size and 128-bit hash of
-each row, and its new sets' signatures, as messages to ranges of signature cells (gap-coded cells and row numbers, about four bytes a
+each row, and its new sets' signatures, as messages to ranges of signature cells (gap-coded cells and row numbers, about five bytes a
 signature). A range gives back the rows of the cells that several have. A cell that many rows of one chunk have goes out as rows of its
 own, with one mark in the message, so that no range grows with a hot signature. Equal sets are one node, the row of smallest number.
 
@@ -127,8 +127,9 @@ class Cells:
     """The cells that signatures fall into and the ranges that cells are merged by."""
 
     def __init__(self, keys: int, block_keys: int = 2 << 20) -> None:
-        """For about `keys` signatures in all: 256 cells for each, `block_keys` signatures to a range, or fewer for 64 ranges."""
-        self.bits = min(62, max(16, int(np.ceil(np.log2(max(1, keys) * 256)))))
+        """For about `keys` signatures in all: 65,536 cells for each, so that hardly any two meet by chance; `block_keys` signatures to a range, or
+        fewer for 64 ranges."""
+        self.bits = min(62, max(16, int(np.ceil(np.log2(max(1, keys) * 65536)))))
         self.blocks = max(1, min(64, keys >> 14), -(-keys // block_keys))
 
     def edge(self, block):
@@ -334,11 +335,11 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int, part_rows: int = 50_
     return dealt.groupBy("part").cogroup(folds.groupBy("part")).applyInArrow(run, "a long, b long").distinct()
 
 
-def _rooted(signs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """signs with each node's component so far."""
-    if roots is None:
-        return signs.withColumn("root", F.col("node"))
-    return signs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _open(signs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of signatures whose nodes are in several components, each with its node's root."""
+    rooted = signs.select("sign", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("sign").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sign")
+    return settle(rooted.join(several, "sign").select("sign", "node", "root", "n"))
 
 
 def _degrees(members: DataFrame, percent: int, block: int = 1024, elements: int = 1 << 20, part_bytes: int = 16 << 20) -> DataFrame:
@@ -423,21 +424,18 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str]
     sets = settle(_sets_of(docs, nodes.join(middle, "node", "left_semi").select("node", "key.k1", "key.k2"), k))
     links = tried = roots = None
     for turn in range(rounds):
-        rooted = _rooted(signs, roots) if turn else _rooted(signs, roots).join(middle, "node")
+        rooted = signs if turn else signs.withColumn("root", F.col("node")).join(middle, "node")
         order = F.struct(-F.col("shares") if not turn else F.lit(0.0), F.xxhash64(F.lit(turn), "node"))
-        centre = rooted.groupBy("sign").agg(F.min(F.struct(order.alias("h"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("top"))).alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sign", "c.*")
+        centre = rooted.groupBy("sign").agg(F.min(F.struct(order.alias("h"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("top"))).alias("c")).select("sign", "c.*")
         asked = rooted.join(centre, "sign").where(f"root <> top AND 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c")).groupBy("b").agg(F.min(F.struct(-F.col("c"), F.col("a")))["a"].alias("a"))
         asked = settle(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = settle(_verified(asked, sets, percent))
         links = found if links is None else links.unionByName(found)
         tried = asked if tried is None else tried.unionByName(asked)
-        if not found.take(1) and turn:
-            break
         roots = components(links)
-    rooted = _rooted(signs, roots)
-    open_ = rooted.groupBy("sign").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sign")
-    more = _across(settle(rooted.join(open_, "sign").select("sign", "node", "root", "n")), sets, percent)
-    more = settle(_verified(more.join(tried, ["a", "b"], "left_anti"), sets, percent))
+        before, signs = signs, _open(signs, roots)  # most signatures are within components now
+        release(before)
+    more = settle(_verified(_across(signs, sets, percent).join(tried, ["a", "b"], "left_anti"), sets, percent))
     if more.take(1):
         roots = components(links.unionByName(more))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

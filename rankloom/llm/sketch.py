@@ -20,24 +20,27 @@ _LOCAL = 24
 
 
 def squeeze(cells: np.ndarray) -> bytes:
-    """Sorted distinct numbers as gaps: one type byte, then gaps of one, two or four bytes; a full gap goes on in the next."""
+    """Sorted numbers as gaps: one type byte, then gaps of one to four bytes; a full gap goes on in the next."""
     if not len(cells):
         return b""
     gaps = np.diff(cells.astype(np.int64), prepend=0)
     mean = float(cells[-1]) / len(cells)
-    kind = np.uint8 if mean < 120 else np.uint16 if mean < 30_000 else np.uint32
-    top = int(np.iinfo(kind).max)
+    size = 1 if mean < 120 else 2 if mean < 30_000 else 3 if mean < 8_000_000 else 4
+    top = (1 << 8 * size) - 1
     more = gaps // top
-    out = np.full(len(gaps) + int(more.sum()), top, kind)
+    out = np.full(len(gaps) + int(more.sum()), top, "<u4")
     out[np.cumsum(more + 1) - 1] = gaps % top
-    return bytes([out.itemsize]) + out.tobytes()
+    return bytes([size]) + out.view(np.uint8).reshape(-1, 4)[:, :size].tobytes()
 
 
 def unsqueeze(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros(0, np.int64)
-    gaps = np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[raw[0]], offset=1)
-    return np.cumsum(gaps, dtype=np.int64)[gaps != np.iinfo(gaps.dtype).max]
+    size = raw[0]
+    wide = np.zeros(((len(raw) - 1) // size, 4), np.uint8)
+    wide[:, :size] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, size)
+    gaps = wide.view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.int64)[gaps != (1 << 8 * size) - 1]
 
 
 class Sketch:
