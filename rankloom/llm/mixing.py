@@ -1,32 +1,48 @@
 """Soft-membership mixing: document rates whose expected token totals per domain match targets.
 
-Domains come from a labelled table (good, poor, toxic). A naive Bayes classifier over a small learnt vocabulary and a few shape marks
-predicts every document's domain posteriors p. Rates r minimise the squared distance of the totals sum(r * tokens * p_k) from the
-targets, subject to r >= 0 (or >= 1 for documents likeliest of a domain that is to be kept whole; and r <= `most` where it is given), by projected gradient steps scaled with the
-domains' second-moment matrix. A document's step depends on its posteriors and a few numbers, so every iteration is one
-aggregation of a narrow table. All of it is DataFrame functions; the driver solves systems of as many unknowns as domains.
+Domains come from a labelled table (good, poor, toxic). A logistic classifier predicts every document's domain posteriors p from all its
+distinct words and a few shape marks; words are hashed to `buckets` weights, so that none is left out and the model has a fixed size. A bucket
+counts the less, the more likely its counts are chance. The driver fits the weights on the bounded sample below; everything else is DataFrame functions.
+
+Rates r minimise the squared distance of the totals sum(r * tokens * p_k) from the
+targets, subject to r >= 0 (or >= 1 for documents likeliest of a domain that is to be kept whole; and r <= `most` where it is given), by
+accelerated projected gradient steps, scaled document by document with the inverse masses of its domains, a metric in which the projection is
+still a plain clip. The step length is safe (the inverse of a bound on the largest curvature); momentum starts anew when the error rises. Steps go
+on until the error is `close` to nothing or hasn't fallen by a part of `slow` in `patience` steps. A document's rate depends on its posteriors and the steps so far, so every iteration is one
+aggregation of a narrow table, of which the driver gets as many numbers as domains.
 
 The classifier is fitted on at most `sample_rows` labelled rows a domain (of those that are among the documents, the ones with the smallest hash of
-their id), its priors on all labelled documents; tokens, posteriors, totals
-and rates cover all documents. Broadcast are these ids and the vocabulary of at most `vocabulary` words, of fixed bounds.
+their id), each domain weighing what it has of all labelled documents; tokens, posteriors, totals and rates cover all documents. Broadcast are these
+ids; the driver gets at most `buckets` numbers of each sampled row.
 
 Defined cases. Null text: empty, no tokens: its rate is 1 moved by its posteriors, it adds nothing to totals. Null doc_id: never a training
 row. Repeated rows: each has its rate. Labels that contradict each other: toxic if one says so, good only if all do. No labels: all
-posteriors are equal. Empty table: no rows. Added columns replace none of the given: clashing names raise.
+posteriors are equal. Empty table: no rows. A given column that has a result's name gets `_given` behind it.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import settle
+from rankloom.llm.shared import beside, release, settle
 
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
 _SPLIT = r"[\s.,;:|]+"
+_P = [f"p_{d}" for d in DOMAINS]
+
+
+@dataclasses.dataclass
+class Model:
+    """Biases of the domains, and each domain's bucket weights but the first's, which are 0."""
+
+    bias: list[float]
+    weights: list[list[float]]
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -48,137 +64,192 @@ def _marks(text: Column, words: Column, distinct: Column) -> Column:
     )
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens (white-space words) and _distinct: distinct lower-cased words and shape marks."""
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_words", F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")).withColumn("_set", F.array_distinct("_words"))
-    return out.withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_distinct", F.concat("_set", _marks(text, F.col("_words"), F.col("_set")))).drop("_words", "_set")
+def _words(text: Column) -> tuple[Column, Column]:
+    """The number of a text's words, and its distinct lower-cased words with its shape marks."""
+    words = F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
+    distinct = F.array_distinct(words)
+    return F.size(words).cast("long"), F.concat(distinct, _marks(text, words, distinct))
+
+
+def _logits(buckets: Column, model: Model) -> list[Column]:
+    def total(w: list[float]) -> Column:
+        table = F.split(F.lit(",".join(f"{x:g}" for x in w)), ",").cast("array<float>")  # folded to one constant
+        return F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(table, b))
+
+    return [F.lit(b) + total(w) if w else F.lit(b) for b, w in zip(model.bias, [None, *model.weights])]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1500, vocabulary: int = 96, least: float = 25.0, calm: float = 5.0) -> dict:
-    """Priors and word weights (log ratios to the average rate) of the domains; a word needs a likelihood ratio of `least`."""
+def _posteriors(logits: list[Column]) -> list[Column]:
+    top = F.greatest(*logits)
+    terms = [F.exp(z - top) for z in logits]
+    return [t / sum(terms[1:], terms[0]) for t in terms]
+
+
+def _buckets(words: Column, buckets: int) -> Column:
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+
+
+def _minimise(f, x: np.ndarray, rounds: int = 80, memory: int = 10) -> np.ndarray:
+    """A quasi-Newton descent (limited memory, backtracking) of f, which gives value and gradient."""
+    value, slope = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        way, scales = -slope, []
+        for s, y in reversed(past):
+            scales.append((s * way).sum() / (s * y).sum())
+            way = way - scales[-1] * y
+        way = way * ((past[-1][0] * past[-1][1]).sum() / (past[-1][1] ** 2).sum() if past else 1 / max(1.0, np.sqrt((slope**2).sum())))
+        for (s, y), scale in zip(past, reversed(scales)):
+            way = way + s * (scale - (y * way).sum() / (s * y).sum())
+        step, down = 1.0, (slope * way).sum()
+        while True:
+            new, new_slope = f(x + step * way)
+            if new <= value + 1e-4 * step * down or step < 1e-9:
+                break
+            step /= 2
+        if new >= value * (1 - 1e-6):
+            break
+        s, y = step * way, new_slope - slope
+        if (s * y).sum() > 1e-12:
+            past = [*past, (s, y)][-memory:]
+        x, value, slope = x + s, new, new_slope
+    return x
+
+
+def _train(rows: list[tuple[int, list[int]]], share: np.ndarray, buckets: int, steady: float, ridge: float) -> Model:
+    """A ridge logistic model of rows (domain, buckets), in which domain d weighs share[d] in all."""
+    kinds, size = len(share), np.bincount([d for d, _ in rows], minlength=len(share))
+    y = np.array([d for d, _ in rows])
+    at, cell = np.repeat(np.arange(len(rows)), [len(b) for _, b in rows]), np.concatenate([np.array(b, np.int64) for _, b in rows])
+    count = np.stack([np.bincount(cell[y[at] == d], minlength=buckets) for d in range(kinds)]).astype(float)
+    every = count.sum(0)
+    mean = every[None] * size[:, None] / len(rows)
+    # the likelihood-ratio statistic of bucket against domain: what may be chance counts little
+    told = 2 * (count * np.log(np.where(count > 0, count, 1) / np.where((count > 0) & (mean > 0), mean, 1))).sum(0)
+    trust = np.maximum(told, 0) / (np.maximum(told, 0) + steady)
+    use, v = trust[cell] > 0, trust[cell]
+    at, cell, v = at[use], cell[use], v[use]
+    weigh = (share / np.maximum(size, 1))[y] / (share * (size > 0)).sum()
+    one = np.eye(kinds)[y]
+
+    def loss(x):
+        w, b = x[:, :-1], x[:, -1]
+        z = np.stack([np.bincount(at, v * w[d][cell], len(rows)) for d in range(kinds)], 1) + b
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(1, keepdims=True)
+        g = (p - one) * weigh[:, None]
+        grad = np.stack([np.bincount(cell, v * g[at, d], buckets) for d in range(kinds)]) + ridge * w
+        return -(np.log(p[np.arange(len(rows)), y] + 1e-300) * weigh).sum() + ridge / 2 * (w**2).sum(), np.concatenate([grad, g.sum(0)[:, None]], 1)
+
+    start = np.zeros((kinds, buckets + 1))
+    start[:, -1] = np.log(share)
+    x = _minimise(loss, start)
+    x -= x[:1]
+    return Model(x[:, -1].tolist(), [np.round(w * trust, 4).tolist() for w in x[1:, :-1]])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1500, buckets: int = 1 << 16, steady: float = 25.0, ridge: float = 3e-4) -> Model:
     # labels of documents that earlier stages dropped say nothing about these
     named = settle(domains(labels).join(docs.select("doc_id"), "doc_id", "left_semi"))
     share = {r.domain: r["count"] for r in named.groupBy("domain").count().collect()}
     total = sum(share.values())
-    prior = {d: math.log((share.get(d, 0) + 1) / (total + len(DOMAINS))) for d in DOMAINS}
+    prior = np.array([(share.get(d, 0) + 1) / (total + len(DOMAINS)) for d in DOMAINS])
+    if not total:
+        return Model(np.log(prior).tolist(), [[] for _ in DOMAINS[1:]])
     ids = None
     for d in DOMAINS:
         part = named.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         ids = part if ids is None else ids.unionByName(part)
-    sample = settle(with_words(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")).select("domain", "_distinct"))
-    size = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
-    count = [F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
-    rows = sample.select("domain", F.explode("_distinct").alias("word")).groupBy("word").agg(*count, F.count("*").alias("c")).where("c >= 8")
-    n = max(1, sum(size.values()))
-    # a word's rate in a domain, pulled towards its rate in all as if `calm` more documents were average
-    ratio = {d: F.log((F.col(d) + calm * F.col("c") / n) / (size.get(d, 0) + calm) / (F.col("c") / n)) for d in DOMAINS}
-    # the likelihood-ratio statistic of word against domain: small ones are chance
-    told = 2 * sum((F.when(F.col(d) > 0, F.col(d) * F.log(F.col(d) / (F.col("c") * size.get(d, 0) / n))).otherwise(0.0) for d in DOMAINS), F.lit(0.0))
-    rows = rows.withColumn("_told", told).where(F.col("_told") >= least).select("word", "_told", *[ratio[d].alias(f"w_{d}") for d in DOMAINS])
-    best = rows.orderBy(F.desc(F.round("_told", 6)), "word").limit(vocabulary).collect()
-    return {"prior": prior, "weights": {r.word: tuple(round(r[f"w_{d}"], 6) for d in DOMAINS) for r in best}}
-
-
-def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with n_tokens and p_<domain>. Evidence of many words is damped by the root of their number."""
-    out = with_words(docs)
-    if model["weights"]:
-        table = F.create_map(*[x for w, v in model["weights"].items() for x in (F.lit(w), F.array(*map(F.lit, v)))])
-        known = F.array(*map(F.lit, model["weights"]))
-        out = out.withColumn("_hits", F.transform(F.array_intersect("_distinct", known), lambda w: F.element_at(table, w)))
-    else:
-        out = out.withColumn("_hits", F.lit(None).cast("array<array<double>>"))
-    damp = F.sqrt(F.greatest(F.coalesce(F.size("_hits"), F.lit(0)), F.lit(1)).cast("double")) / 2
-    add = lambda i: lambda s, v: s + F.element_at(v, i + 1)
-    logit = [F.lit(model["prior"][d]) + F.coalesce(F.aggregate("_hits", F.lit(0.0), add(i)), F.lit(0.0)) / damp for i, d in enumerate(DOMAINS)]
-    out = out.withColumns({f"_z{i}": z for i, z in enumerate(logit)})
-    top = F.greatest(*[f"_z{i}" for i in range(len(DOMAINS))])
-    out = out.withColumns({f"_e{i}": F.exp(F.col(f"_z{i}") - top) for i in range(len(DOMAINS))})
-    every = sum((F.col(f"_e{i}") for i in range(len(DOMAINS))), F.lit(0.0))
-    out = out.withColumns({f"p_{d}": F.col(f"_e{i}") / every for i, d in enumerate(DOMAINS)})
-    return out.drop("_hits", "_distinct", *[f"{x}{i}" for x in ("_z", "_e") for i in range(len(DOMAINS))])
-
-
-def _solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """Gaussian elimination with pivots."""
-    n, m = len(b), [[*r, x] for r, x in zip(a, b)]
-    for i in range(n):
-        p = max(range(i, n), key=lambda r: abs(m[r][i]))
-        m[i], m[p] = m[p], m[i]
-        for r in range(n):
-            if r != i:
-                f = m[r][i] / m[i][i]
-                m[r] = [x - f * y for x, y in zip(m[r], m[i])]
-    return [m[i][n] / m[i][i] for i in range(n)]
-
-
-def _rate(steps: list[list[float]], least: Column, most: float | None = None) -> Column:
-    """The rate after steps from 1 on, each projected to what is allowed."""
-    r = F.lit(1.0)
-    for g in steps:
-        r = _step(r, g, least, most)
-    return r
-
-
-def _step(r: Column, g: list[float], least: Column, most: float | None = None) -> Column:
-    r = F.greatest(least, r - sum((F.lit(x) * F.col(f"p_{d}") for x, d in zip(g, DOMAINS)), F.lit(0.0)))
-    return r if most is None else F.least(r, F.lit(float(most)))
-
-
-def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None, rounds: int = 12, close: float = 1e-4, most: float | None = None) -> tuple[list[list[float]], Column]:
-    """The steps that fit the rates, and the least rate of a document. known: n_tokens and posteriors.
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "domain", _buckets(_words(F.coalesce("text", F.lit("")))[1], buckets).alias("b"))
+    rows = sorted((r.doc_id, DOMAINS.index(r.domain), sorted(r.b)) for r in sample.collect())  # an order of their own, so that equal input gives an equal model
+    release(named)
+    return _train([(d, b) for _, d, b in rows], prior, buckets, steady, ridge)
+
+
+def _after(state: Column, steps: list[list[float]], most: float | None) -> Column:
+    """(r, before) after steps of (momentum, gradient by domain), each projected to what is allowed."""
+    if not steps:
+        return state
+
+    def step(s: Column, g: Column) -> Column:
+        at = s["r"] + F.get(g, 0) * (s["r"] - s["before"])
+        pull = sum((F.get(g, i + 1) * F.col(p) for i, p in enumerate(_P)), F.lit(0.0)) * F.col("_d")
+        r = F.greatest(F.col("_least"), at - pull)
+        return F.struct((r if most is None else F.least(r, F.lit(float(most)))).alias("r"), s["r"].alias("before"))
+
+    return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), state, step)
+
+
+def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None, *, rounds: int = 200, close: float = 1e-5, slow: float = 0.01, patience: int = 6, deep: int = 12, most: float | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """known (a written table of n_tokens, posteriors and what else is there) with rates, and what is left: expected less targeted token
+    totals as shares of the target.
 
     Targets are weights of all tokens; given a domain to keep, of as many tokens as make its weight what it has."""
     least = F.lit(0.0)
     if keep:
-        least = F.when(F.col(f"p_{keep}") >= F.greatest(*[f"p_{d}" for d in DOMAINS]), 1.0).otherwise(0.0)
-    mass = known.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
+        least = F.when(F.col(f"p_{keep}") >= F.greatest(*_P), 1.0).otherwise(0.0)
+    mass = known.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col(p)).alias(p) for p in _P]).first()
     if not mass.n:
-        return [], least
+        return known.withColumn("rate", F.lit(1.0) if most is None else F.lit(min(1.0, float(most)))), {}
     norm = sum(weights.values())
-    whole = mass[keep] / (weights[keep] / norm) if keep else mass.n
+    whole = mass[f"p_{keep}"] / (weights[keep] / norm) if keep else mass.n
     target = [weights[d] / norm * whole / mass.n for d in DOMAINS]
-    at = known.select("n_tokens", *[f"p_{d}" for d in DOMAINS], F.lit(1.0).alias("r"), least.alias("_least"))
-    step: list[float] | None = None
-    steps: list[list[float]] = []
-    best, plain = None, False
+    scale = [max(mass[p] / mass.n, 1e-9) for p in _P]
+    start = F.greatest(least, F.lit(1.0) if most is None else F.lit(min(1.0, float(most))))
+    at = known.withColumns({"_d": sum((F.col(p) / F.lit(x) for p, x in zip(_P, scale)), F.lit(0.0)), "_share": F.col("n_tokens") / F.lit(float(mass.n)), "_least": least, "rate": start})
+    narrow = ["_d", "_share", "_least", *_P]
+    work = at.select(*narrow, F.struct(F.col("rate").alias("r"), F.col("rate").alias("before")).alias("_s"))
+    bound = work.agg(*[F.sum(F.col("_share") * F.col("_d") * F.col(a) * F.col(b)).alias(f"{i}{j}") for i, a in enumerate(_P) for j, b in enumerate(_P)]).first()
+    step = 1 / max(sum(bound[f"{i}{j}"] for j in range(len(_P))) for i in range(len(_P)))
+
+    written, steps, recent, best, since, turn = None, [], [], math.inf, 0, 1.0
     for _ in range(rounds):
-        trial = at if step is None else at.withColumn("r", _step(F.col("r"), step, F.col("_least"), most))
-        share = F.col("n_tokens") / F.lit(float(mass.n))
-        free = F.when(F.col("r") > F.col("_least"), share).otherwise(0.0)
-        sums = trial.agg(
-            *[F.sum(F.col("r") * share * F.col(f"p_{d}")).alias(f"m{i}") for i, d in enumerate(DOMAINS)],
-            *[F.sum(free * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"g{i}{j}") for i, a in enumerate(DOMAINS) for j, b in enumerate(DOMAINS) if i <= j],
-        ).first()
-        off = [sums[f"m{i}"] - t for i, t in enumerate(target)]
+        momentum = (turn - 1) / ((1 + math.sqrt(1 + 4 * turn * turn)) / 2)
+        now = work.withColumn("_s", _after(F.col("_s"), recent, most))
+        ahead = F.col("_s.r") + F.lit(momentum) * (F.col("_s.r") - F.col("_s.before"))
+        sums = now.agg(*[F.sum(F.col("_s.r") * F.col("_share") * F.col(p)).alias(p) for p in _P], *[F.sum(ahead * F.col("_share") * F.col(p)).alias(f"a_{p}") for p in _P]).first()
+        off = [sums[p] - t for p, t in zip(_P, target)]
         error = sum(x * x for x in off)
-        if best is None or error < best[0] * (1 - 1e-4):
-            ridge = 1e-6 + 1e-3 * max(sums[f"g{i}{i}"] for i in range(len(DOMAINS)))
-            g = [[sums[f"g{min(i, j)}{max(i, j)}"] + (ridge if i == j else 0.0) for j in range(len(DOMAINS))] for i in range(len(DOMAINS))]
-            if step is not None:
-                steps, at = [*steps, step], settle(trial)
-            best, plain = (error, off, g), False
-        elif plain:  # a plain step never makes it worse: what is left can't be reached
+        since = 0 if error < best * (1 - slow) else since + 1
+        if error <= close**2 * sum(t * t for t in target) or since >= patience:
             break
+        if error > best:  # too much momentum: a plain step comes next
+            turn, momentum, there = 1.0, 0.0, off
         else:
-            plain = True
-        if best[0] <= close**2 * sum(t * t for t in target):
-            break
-        # shares of tokens times posteriors' products sum up to less than 1, so a plain gradient step of 1 is safe
-        step = best[1] if plain else _solve(best[2], best[1])
-    return steps, least
+            there = [sums[f"a_{p}"] - t for p, t in zip(_P, target)]
+            turn = (1 + math.sqrt(1 + 4 * turn * turn)) / 2
+        best = min(best, error)
+        steps.append([momentum, *[step * x for x in there]])
+        recent.append(steps[-1])
+        if len(recent) == deep:  # a written table keeps the work of a step small
+            work, recent = settle(work.select(*narrow, _after(F.col("_s"), recent, most).alias("_s"))), []
+            if written is not None:
+                release(written)
+            written = work
+    at = at.withColumn("rate", _after(F.struct(F.col("rate").alias("r"), F.col("rate").alias("before")), steps, most)["r"])
+    if written is not None:
+        release(written)
+    return at.drop("_d", "_share", "_least").withColumn("rate", F.round("rate", 6)), {d: x / t if t else x for d, x, t in zip(DOMAINS, off, target)}
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, keep: str | None = None, with_text: bool = True, most: float | None = None, **options) -> DataFrame:
     """docs (without the text, if it isn't asked for) with n_tokens, p_<domain> and rate: how often each document is to be read, in expectation,
-    and at most `most` times, where that is given."""
-    if clash := {"n_tokens", "rate", *(f"p_{d}" for d in DOMAINS)} & set(docs.columns):
-        raise ValueError(f"docs has columns {sorted(clash)}")
-    scored = with_posteriors(docs, fit(docs, labels, **options))
-    scored = settle(scored if with_text else scored.drop("text"))  # the texts are read once; every iteration reads four numbers a row
-    steps, least = rates(scored, weights or WEIGHTS, keep, most=most)
-    return scored.withColumn("rate", F.round(_rate(steps, least, most), 6))
+    and at most `most` times, where that is given. The result's attribute `left` says what is left to the targets."""
+    model = fit(docs, labels, **options)
+    given = [c for c in docs.columns if with_text or c != "text"]
+    inner = [f"_g{i}" for i in range(len(given))]
+    count, distinct = _words(F.coalesce("text", F.lit("")))
+    cells = len(model.weights[0])
+    known = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(given, inner)], count.alias("n_tokens"), *([_buckets(distinct, cells).alias("_b")] if cells else []))
+    known = known.select(*inner, "n_tokens", *[x.alias(f"_z{i}") for i, x in enumerate(_logits(F.col("_b"), model))])
+    known = known.select(*inner, "n_tokens", *[x.alias(p) for p, x in zip(_P, _posteriors([F.col(f"_z{i}") for i in range(len(DOMAINS))]))])
+    known = settle(known)  # the texts are read once; every iteration reads a few numbers a row
+    out, left = rates(known, weights or WEIGHTS, keep, most=most)
+    results = ["n_tokens", *_P, "rate"]
+    out = out.select(*[F.col(x).alias(c) for x, c in zip(inner, beside(given, results))], *results)
+    out.left = left
+    return out
 
 
 def drawn(mixed: DataFrame) -> DataFrame:
