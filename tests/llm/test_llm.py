@@ -473,8 +473,8 @@ def test_op9_base_and_templates(spark, docs, none):
 
 def test_op9_every_template_and_occurrence(spark):
     """Templates inside longer ones, and each occurrence in a document, have spans of their own."""
-    notice, mit = "Licensed under the Apache License, Version 2.0", licenses.TEMPLATES["mit-permission"]
-    texts = [f"{notice} (the License) is here", " ".join(["x " * 12 + mit] * 3), licenses.TEMPLATES["apache-2.0"], f"{mit} {mit}"]
+    notice, mit = "Licensed under the Apache License, Version 2.0", licenses.NOTICES["mit-permission"]
+    texts = [f"{notice} (the License) is here", " ".join(["x " * 12 + mit] * 3), licenses.NOTICES["apache-2.0"], f"{mit} {mit}"]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     found = [[(x.template, x.first_word, x.last_word, x.coverage) for x in r.spans if x.coverage == 1] for r in got]
     assert got[0].score == 1 and "apache-2.0-notice" in got[0].labels.split(",") and found[0] == [("apache-2.0-notice", 0, 7, 1.0)]
@@ -485,8 +485,8 @@ def test_op9_every_template_and_occurrence(spark):
 
 
 def test_op9_matching_statistics():
-    auto, rnd = licenses.Automaton(licenses.TEMPLATES, licenses.PHRASES), np.random.default_rng(7)
-    sequences = [t.split() for t in licenses.TEMPLATES.values()] + [p.split() for p in licenses.PHRASES]
+    auto, rnd = licenses.Automaton(licenses.NOTICES, licenses.PHRASES), np.random.default_rng(7)
+    sequences = [t.split() for t in licenses.NOTICES.values()] + [p.split() for p in licenses.PHRASES]
     inner = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
     for _ in range(300):
         s = [w for _ in range(3) for w in sequences[int(rnd.integers(0, len(sequences)))][int(rnd.integers(0, 4)) :][: int(rnd.integers(1, 9))]]
@@ -494,6 +494,45 @@ def test_op9_matching_statistics():
         assert [n for _, n in auto.stream([auto.vocabulary[w] for w in s])] == want
 
 
+def brute_chain(matches, gap):
+    """Most words that any chain covers: the best of all increasing subsets."""
+    best = 0
+    for bits in range(1, 1 << len(matches)):
+        chain = [m for j, m in enumerate(sorted(matches)) if bits >> j & 1]
+        total, good = chain[0][1], True
+        for (a, n, x), (b, m, y) in zip(chain, chain[1:]):
+            over = max(0, a + n - b, x + n - y)
+            good &= a < b and x < y and m > over and b - a - n <= gap
+            total += m - over
+        best = max(best, total if good else 0)
+    return best
+
+
+def test_op9_best_chain():
+    assert licenses.chains([(0, 6, 0), (7, 4, 2), (12, 6, 6)], 8, 4)[0][0] == 12
+    rnd = np.random.default_rng(8)
+    for _ in range(150):
+        matches = list({tuple(int(x) for x in (rnd.integers(0, 30), rnd.integers(3, 9), rnd.integers(0, 30))) for _ in range(int(rnd.integers(1, 9)))})
+        got = licenses.chains(matches, 5, 3)
+        assert got[0][0] == brute_chain(matches, 5)
+        spans_ = sorted((a, b) for _, a, b in got)
+        assert all(b < a for (_, b), (a, _) in zip(spans_, spans_[1:]))
+
+
+def test_op9_whole_licences_and_short_phrases(spark):
+    text = licenses.TEMPLATES["mit-full"]
+    cut = text.split()
+    texts = [text, "intro words " + " ".join(cut[:60] + ["zz", "yy"] + cut[62:]) + " tail", licenses.TEMPLATES["gpl-3.0-full"], "nolicence at all"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan(df).orderBy("doc_id").collect()
+    assert got[0].score == 1 and "mit-full" in got[0].labels.split(",") and "mit-full" in got[1].labels.split(",") and "gpl-3.0-full" in got[2].labels.split(",") and got[3].labels == ""
+    found = {x.template: x for x in got[1].spans}["mit-full"]
+    assert (found.first_word, found.last_word, found.covered) == (2, 1 + len(cut), len(cut) - 2)
+    one = licenses.scan(df, templates={"none": "", "x": "at"}, phrases={"licence": "l", "": "e", "nolicence": "n"}).orderBy("doc_id").collect()
+    assert [r.base_labels for r in one] == [",".join(sorted({"l"} & {"l" for w in t.split() if w == "licence"} | {"n" for w in t.split() if w == "nolicence"})) for t in texts]
+    assert licenses.scan(df, templates={}, phrases={}).where("score = 0 AND n_base = 0").count() == 4
+
+
 def test_op10_held_out_accuracy_and_edges(spark, docs, none):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality_scores(d, labels).join(labels, "doc_id").where("held_out").toPandas()
