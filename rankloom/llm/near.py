@@ -3,8 +3,10 @@
 Sets of one size band, or of the next, that are similar enough differ in a bounded number h of elements. The feature domain is hashed
 into first-level partitions, each into three second-level ones, and every pair of those three gives a signature: the hash of the set's
 elements in them. With (h + 1) / 2 first-level partitions, one of them holds one difference at most, so one of its pairs is
-equal: similar sets share a signature, always. A few first-level partitions more let sets leave out the empty pairs, which say nothing (a set with more empty
-ones than that many partitions keeps them).
+equal: similar sets share a signature, always. With e first-level partitions more they share signatures in e + 1 partitions, so that every set may leave
+out its e commonest: one of those that both have, the rarest, is left by neither. Empty pairs, which say nothing, go first (a set with empty ones in more
+than e partitions keeps them), then those signatures that most sets have. What many documents share by a common passage alone is
+so mostly gone before any two sets are compared.
 
 Texts are read once for this. Every task cuts its rows into chunks of bounded size and, chunk by chunk, writes the set's size and 128-bit hash of
 each row, and its new sets' signatures, as messages to ranges of signature cells (gap-coded cells and row numbers, about five bytes a
@@ -13,8 +15,8 @@ own, with one mark in the message, so that no range grows with a hot signature.
 
 In a few rounds each node is compared exactly with one neighbour of another
 component: of the centres of its signatures (first the member that shares most with others, then random ones), the one that most of them share; the links found give components. Then, signature by
-signature, all pairs of different components are held against an exact lower bound of their difference, and those that pass are compared
-exactly; a large signature is cut into blocks, each two of which are a task's work. So a large group of near copies costs a few comparisons a
+signature, all pairs of different components are held against an exact lower bound of their difference (of bits that each element flips, as many as differ), and those that
+pass are compared exactly; a large signature is cut into blocks, each two of which are a task's work. So a large group of near copies costs a few comparisons a
 member, and every pair that shares a signature is linked, in one component already, or shown not to be similar.
 
 Defined cases. Null or empty text, or one without words: n_shingles 0, alone, component_id its own id. Fewer than k words: the whole
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,10 +42,9 @@ from rankloom.operators.graph import components
 
 _C1, _C2 = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F)
 _PAIRS = ((0, 1), (0, 2), (1, 2))
-_FOLD = 256
 #: As many rows of a chunk in one cell are sent as rows of their own.
 _HOT = 16
-_SENT = "ref long, doc_id long, n long, hi long, lo long, k1 long, k2 long, block int, cell long, cells binary, refs binary"
+_SENT = "ref long, doc_id long, n long, hi long, lo long, spare0 int, spare1 int, k1 long, k2 long, block int, cell long, cells binary, refs binary"
 
 
 class Bands:
@@ -56,7 +57,7 @@ class Bands:
         self.low = np.array(self.low)
         high = self.low[1:] - 1
         self.differences = (100 - percent) * 2 * high // (100 + percent)
-        self.spare = np.where(self.differences < 4, 0, np.where(self.differences < 10, 1, 2))
+        self.spare = np.select([self.differences < x for x in (4, 10, 24, 48)], [0, 1, 2, 3], self.differences // 12)
         self.parts = (self.differences + 2) // 2 + self.spare
 
     def of(self, size: np.ndarray) -> np.ndarray:
@@ -93,9 +94,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64), nodes
 
 
-def signatures(elements: np.ndarray, at: np.ndarray, bands: Bands, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets to use, and the set that each is of."""
+def signatures(elements: np.ndarray, at: np.ndarray, bands: Bands, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of the sets to use, the last bit being their band's, and the set that each is of; and, for even and odd bands, how many more
+    of its signatures a set may leave out."""
     size, band, out, whose = np.diff(at), bands.of(np.diff(at)), [], []
+    left = np.zeros((len(size), 2), np.int32)
     for tag in np.unique(np.concatenate([band, band + 1])).tolist():
         if not bands.differences[tag]:
             continue
@@ -112,15 +115,29 @@ def signatures(elements: np.ndarray, at: np.ndarray, bands: Bands, use: np.ndarr
         place = mix(np.arange(3 * parts, dtype=np.uint64) + np.uint64(tag << 32)).reshape(parts, 3)
         signs = np.stack([mix(total[:, :, a] * _C1 + total[:, :, b] * _C2 ^ place[:, j]) for j, (a, b) in enumerate(_PAIRS)], 2)
         empty = np.stack([~(filled[:, :, a] | filled[:, :, b]) for a, b in _PAIRS], 2)
-        keep = ~empty | (empty.any(2).sum(1) > spare)[:, None, None]
-        out.append(signs[keep])
+        empties = empty.any(2).sum(1)
+        keep = ~empty | (empties > spare)[:, None, None]
+        left[mine, tag & 1] = np.maximum(spare - empties, 0)
+        out.append(signs[keep] & ~np.uint64(1) | np.uint64(tag & 1))
         whose.append(np.broadcast_to(mine[:, None, None], signs.shape)[keep])
-    return (np.concatenate(out), np.concatenate(whose)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (np.concatenate(out), np.concatenate(whose), left) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), left)
 
 
-def _fold(elements: np.ndarray) -> bytes:
-    """How many elements fall into each of 256 parts: sets differ in at least the sum of differences of these."""
-    return np.minimum(np.bincount((elements >> np.uint64(56)).astype(np.int64), minlength=_FOLD), 65535).astype(np.uint16).tobytes()
+def _parities(elements: np.ndarray) -> bytes:
+    """Bits that each element flips one of, eight times as many as elements or more: sets differ in as many elements as bits, at least."""
+    bits = 1 << max(12, int(8 * len(elements) - 1).bit_length())
+    return np.packbits(np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def _folded(parities: list[bytes]) -> np.ndarray:
+    """Parities of several sets, halved until all have the size of the least, as rows of 64-bit words."""
+    least, out = min(map(len, parities)), []
+    for raw in parities:
+        x = np.frombuffer(raw, np.uint64)
+        while len(x) * 8 > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.stack(out)
 
 
 class Cells:
@@ -184,7 +201,7 @@ def _sent(docs: DataFrame, k: int, bands: Bands, cells: Cells, carry: list[str],
             found = chunk.messages(cells)
             for lo in range(0, len(found), 4096):
                 part = found[lo : lo + 4096]
-                columns = [pa.nulls(len(part), pa.int64()) for _ in range(7)]
+                columns = [pa.nulls(len(part), kind) for kind in [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()] * 2]
                 columns += [pa.array([m[i] for m in part], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(part), shape.field(c).type) for c in carry)], schema.names)
 
@@ -198,12 +215,13 @@ def _sent(docs: DataFrame, k: int, bands: Bands, cells: Cells, carry: list[str],
                     if (key := nodes[i].tobytes()) in chunk.seen:
                         use[i] = False
                     chunk.seen.add(key)
-                signs, whose = signatures(elements, at, bands, use)
+                signs, whose, left = signatures(elements, at, bands, use)
                 if len(signs):
-                    chunk.cells.append((signs >> np.uint64(64 - cells.bits)).astype(np.int64))
+                    cell = signs >> np.uint64(64 - cells.bits)
+                    chunk.cells.append((cell & ~np.uint64(1) | signs & np.uint64(1)).astype(np.int64))
                     chunk.refs.append(whose + (base + row - chunk.base))
                 none, nodes = size == 0, nodes.view(np.int64)
-                columns = [pa.array(base + row + np.arange(n)), batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(size), pa.array(nodes[:, 0].copy(), mask=none), pa.array(nodes[:, 1].copy(), mask=none)]
+                columns = [pa.array(base + row + np.arange(n)), batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(size), pa.array(nodes[:, 0].copy(), mask=none), pa.array(nodes[:, 1].copy(), mask=none), pa.array(left[:, 0].copy()), pa.array(left[:, 1].copy())]
                 columns += [batch.column(c).slice(lo, n) for c in ("k1", "k2")] + [pa.nulls(n, kind) for kind in (pa.int32(), pa.int64(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).slice(lo, n) for c in carry)], schema.names)
                 row += n
@@ -250,17 +268,17 @@ def _shared_cells(sent: DataFrame, cells: Cells) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The sets of some nodes and their folds. Asked: node and its row's keys."""
+    """The sets of some nodes and their parities. Asked: node and its row's keys."""
 
     def run(batches):
         for batch in batches:
             for lo, data, offsets in text_pieces(batch.column("text")):
                 elements, at, _ = shingle_sets(data, offsets, k)
                 sets = [elements[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([_fold(x) for x in sets], pa.binary())], ["node", "elements", "fold"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([_parities(x) for x in sets], pa.binary())], ["node", "elements", "parities"])
 
     texts = docs.select("k1", "k2", "text").join(asked, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("node").alias("node"))
-    return texts.select("node", "text").mapInArrow(run, "node long, elements binary, fold binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, elements binary, parities binary")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -282,12 +300,12 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(rows: DataFrame, sets: DataFrame, percent: int, part_rows: int = 50_000, block: int = 2048) -> DataFrame:
-    """Pairs of nodes of one signature but different components that the sizes and folds can't tell apart.
+    """Pairs of nodes of one signature but different components that the sizes and parities can't tell apart.
 
     Rows: sign, node, root, n. Signatures are dealt out over parts of about `part_rows` rows; one of more than `block` rows is cut into blocks,
-    and every two of them are a part. A part gets each of its nodes' folds once."""
+    and every two of them are a part. A part gets each of its nodes' parities once."""
 
-    def pairs(left, right, node, root, n, fold):
+    def pairs(left, right, node, root, n, bits):
         """Pairs of the places in left with those in right (or after their own, in the same array)."""
         out = []
         for i, a in enumerate(left.tolist()):
@@ -296,25 +314,24 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int, part_rows: int = 50_
             others = others[low:high]
             b = others[root[others] != root[a]]
             if len(b):
-                apart = np.abs(fold[b].astype(np.int32) - fold[a].astype(np.int32)).sum(1)
+                apart = np.bitwise_count(bits[b] ^ bits[a]).sum(1, dtype=np.int64)
                 b = node[b[apart * (100 + percent) <= (100 - percent) * (n[b] + n[a])]]
                 out.append(np.stack([np.minimum(b, node[a]), np.maximum(b, node[a])], 1))
         return out
 
-    def run(key, table, folds):
+    def run(key, table, held):
         out = [np.zeros((0, 2), np.int64)]
-        if table.num_rows and folds.num_rows:
+        if table.num_rows and held.num_rows:
             sign, node, root, n, side, i, j = (table.column(c).to_numpy() for c in ("sign", "node", "root", "n", "side", "i", "j"))
-            order = np.argsort(folds.column("node").to_numpy())
-            known = folds.column("node").to_numpy()[order]
-            at = order[np.searchsorted(known, node)]
-            fold = np.frombuffer(b"".join(folds.column("fold").to_pylist()), np.uint16).reshape(-1, _FOLD)
+            order = np.argsort(held.column("node").to_numpy())
+            at = order[np.searchsorted(held.column("node").to_numpy()[order], node)]
+            parities = held.column("parities").to_pylist()
             order = np.lexsort((n, side, j, i, sign))
             new = np.any([np.diff(x[order], prepend=x[order[0]] - 1) != 0 for x in (sign, i, j)], 0)
             edges = np.append(np.flatnonzero(new), len(order))
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 mine = order[lo:hi]
-                own = (node[mine], root[mine], n[mine], fold[at[mine]])
+                own = (node[mine], root[mine], n[mine], _folded([parities[x] for x in at[mine].tolist()]))
                 places = np.arange(len(mine))
                 if i[mine[0]] == j[mine[0]]:
                     out += pairs(places, places, *own)
@@ -331,8 +348,8 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int, part_rows: int = 50_
     dealt = rows.join(blocks, "sign").withColumn("side", F.pmod(F.xxhash64("node"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("side", "_other"), "j": F.greatest("side", "_other")})
     dealt = dealt.select(F.when(F.col("_blocks") == 1, F.pmod("sign", F.lit(parts))).otherwise(F.xxhash64("sign", "i", "j")).alias("part"), "sign", "node", "root", "n", "side", "i", "j")
-    folds = dealt.select("part", "node").toDF("part", "node").distinct().join(sets.select("node", "fold"), "node").select("part", "node", "fold").toDF("part", "node", "fold")
-    return dealt.groupBy("part").cogroup(folds.groupBy("part")).applyInArrow(run, "a long, b long").distinct()
+    held = dealt.select("part", "node").toDF("part", "node").distinct().join(sets.select("node", "parities"), "node").select("part", "node", "parities").toDF("part", "node", "parities")
+    return dealt.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(run, "a long, b long").distinct()
 
 
 def _open(signs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -412,19 +429,24 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str]
     sent = settle(_sent(docs, k, bands, cells, list(inner.values()), chunk_bytes))
     rows = settle(sent.where("block IS NULL").drop("block", "cell", "cells", "refs"))
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "ref")
-    nodes = settle(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("ref").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"), F.min(first).alias("first"), F.min(F.struct("ref", "k1", "k2")).alias("key")))
+    nodes = settle(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("ref").alias("node"), F.max("n").alias("n"), F.max("spare0").alias("spare0"), F.max("spare1").alias("spare1"), F.count("*").alias("copies"), F.min(first).alias("first"), F.min(F.struct("ref", "k1", "k2")).alias("key")))
     # rows that are not their set's node go, then cells that one node alone has
-    found = settle(_shared_cells(sent, cells).join(nodes.select("node", "n"), "node"))
+    found = settle(_shared_cells(sent, cells).join(nodes.select("node", "n", "spare0", "spare1"), "node"))
     release(sent)
-    several = found.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1")
-    signs = settle(found.join(several, "sign"))
+    counted = found.join(found.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1"), "sign")
+    # every node leaves out its commonest signatures of a band, as many as it may; c - 1 over its size says how many others it shares how much with, so
+    # that the original of many copies comes first
+    of_node = Window.partitionBy("node")
+    at = F.row_number().over(Window.partitionBy("node", F.col("sign").bitwiseAND(1)).orderBy(F.desc("c"), "sign"))
+    spare = F.when(F.col("sign").bitwiseAND(1) == 0, F.col("spare0")).otherwise(F.col("spare1"))
+    kept = settle(counted.withColumns({"at": at, "shares": F.sum(F.col("c") - 1).over(of_node) / F.col("n")}).where(F.col("at") > spare).select("sign", "node", "n", "shares"))
     release(found)
-    # how many others a node shares signatures with, for its size: the original of many copies comes first
-    middle = settle(signs.groupBy("node").agg((F.sum(F.col("c") - 1) / F.max("n")).alias("shares")))
-    sets = settle(_sets_of(docs, nodes.join(middle, "node", "left_semi").select("node", "key.k1", "key.k2"), k))
+    signs = settle(kept.join(kept.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1").select("sign"), "sign"))
+    release(kept)
+    sets = settle(_sets_of(docs, nodes.join(signs.select("node").distinct(), "node", "left_semi").select("node", "key.k1", "key.k2"), k))
     links = tried = roots = None
     for turn in range(rounds):
-        rooted = signs if turn else signs.withColumn("root", F.col("node")).join(middle, "node")
+        rooted = signs if turn else signs.withColumn("root", F.col("node"))
         order = F.struct(-F.col("shares") if not turn else F.lit(0.0), F.xxhash64(F.lit(turn), "node"))
         centre = rooted.groupBy("sign").agg(F.min(F.struct(order.alias("h"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("top"))).alias("c")).select("sign", "c.*")
         asked = rooted.join(centre, "sign").where(f"root <> top AND 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c")).groupBy("b").agg(F.min(F.struct(-F.col("c"), F.col("a")))["a"].alias("a"))

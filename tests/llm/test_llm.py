@@ -123,7 +123,7 @@ def test_op2_recall_ties_and_bad_vectors(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, None, 0), (2020, [0.0] * 64, 0), (2040, [float("nan")] * 64, 0), (2060, [None] * 64, 0), (2080, [1.0], 0), (None, [1.0] * 64, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, part int").repartition(4)
     got = {}
-    for r in vectors.search(df, segment_rows=400, group_rows=30).collect():
+    for r in vectors.search(df, segment_rows=400, block_queries=30).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     assert sorted(got) == list(range(0, 1500, 20))
     y, hit = x.astype(float), 0
@@ -140,6 +140,53 @@ def test_op2_recall_ties_and_bad_vectors(spark):
     assert vectors.search(df.limit(0)).count() == 0
 
 
+def test_op2_recall_with_little_reranked(spark):
+    """Under 5 % of a segment is reranked: recall against brute force on the driver's table, and with one vector in a third of all rows."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").coalesce(1)
+    hot = df.withColumn("embedding", F.when(F.col("vec_id") % 3 == 1, F.lit(np.full(64, 0.125).tolist()).cast("array<float>")).otherwise(F.col("embedding")))
+    for rows, rerank in ((df, 99), (hot, 60)):
+        pdf = rows.orderBy("vec_id").toPandas()
+        x, ids, hit, n = np.stack(pdf["embedding"]).astype(float), pdf["vec_id"].to_numpy(), 0, 0
+        got = {}
+        for r in vectors.search(rows, rerank=rerank).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q in ids[ids % 20 == 0].tolist():
+            s = (x * x[np.flatnonzero(ids == q)[0]]).sum(1)
+            s[ids == q] = -np.inf
+            best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+            assert [a for a, _, _ in sorted(got[q])] == list(range(1, 21))
+            hit, n = hit + len(best & {v for _, v, _ in got[q]}), n + 20
+        assert hit / n >= 0.95
+
+
+def brute_plan(lengths, size, linear=1.0, quadratic=1 / 1024):
+    """The method word by word: always the cheapest of all sequences with room for the whole piece."""
+    total = sum(lengths)
+    room = [size] * (total // size) + [1 << b for b in range(11, -1, -1) if total % size >> b & 1]
+    capacity, cost, out = list(room), [0.0] * len(room), []
+    queue = sorted((-min(n, size), i, 0, n) for i, n in enumerate(lengths) if n)
+    while queue:
+        _, i, start, n = queue.pop(0)
+        want = min(n, size)
+        fits = [s for s in range(len(room)) if room[s] >= want] or [s for s in range(len(room)) if room[s]]
+        s = min(fits, key=lambda s: (cost[s], s))
+        took = min(want, room[s])
+        out.append((i, start, took, s, capacity[s] - room[s]))
+        room[s] -= took
+        cost[s] += linear * took + quadratic * took * took
+        if n > took:
+            queue = sorted([*queue, (-min(n - took, size), i, start + took, n - took)])
+    return out
+
+
+def test_op5_cheapest_of_all_with_room():
+    rnd = np.random.default_rng(12)
+    for size in (16, 64):
+        for _ in range(40):
+            lengths = sorted(rnd.integers(1, 2 * size, int(rnd.integers(1, 90))).tolist(), reverse=True)
+            assert packing.plan(lengths, size)[0] == brute_plan(lengths, size)
+
+
 def brute_substrings(rows, k=13):
     first = {}
     key = lambda i: math.inf if i is None else i
@@ -318,13 +365,42 @@ def test_op7_hot_signature_in_blocks(spark):
     sets = [(i, np.sort(rnd.integers(0, 2**63, n).astype(np.uint64)), n) for i, _, n in rows]
     sets[7] = (7, sets[200][1][:-2], len(sets[200][1]) - 2)
     rows[7] = (7, 7, sets[7][2])
-    known = spark.createDataFrame([(i, s.tobytes(), near._fold(s)) for i, s, _ in sets], "node long, elements binary, fold binary")
+    known = spark.createDataFrame([(i, s.tobytes(), near._parities(s)) for i, s, _ in sets], "node long, elements binary, parities binary")
     signs = spark.createDataFrame([(5, i, r, n) for i, r, n in rows], "sign long, node long, root long, n long")
     for block in (16, 4096):
         found = near._across(signs, known, 80, block=block)
         assert [(r.a, r.b) for r in near._verified(found, known, 80).collect()] == [(7, 200)]
 
 
+def test_op7_parities_bound_the_difference():
+    rnd = np.random.default_rng(13)
+    for n, m in ((300, 310), (2000, 900), (5, 4000)):
+        a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rnd.integers(0, 2**63, m).astype(np.uint64)]))
+        x = near._folded([near._parities(a), near._parities(b)])
+        apart, true = int(np.bitwise_count(x[0] ^ x[1]).sum()), len(np.setxor1d(a, b))
+        assert apart <= true and (n < 10 or apart > 0.8 * true)
+
+
+def test_op7_common_passages(spark):
+    """Documents that share passages with many others: each leaves out its commonest signatures, and no link is lost."""
+    rnd = np.random.default_rng(14)
+    common = [[f"p{p}w{i}" for i in range(60)] for p in range(3)]
+    rows = []
+    for f in range(150):
+        own = [f"d{f}w{int(x)}" for x in rnd.integers(0, 10**6, int(rnd.integers(30, 160)))]
+        base = own + common[f % 3] * int(f % 2)
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(2 * (f % 5 == 0)):
+            w = list(base)
+            for _ in range(int(rnd.integers(0, 6))):
+                w[int(rnd.integers(0, len(w)))] = f"x{int(rnd.integers(0, 10**6))}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.similar(df, k=5, percent=80, links_too=False, chunk_bytes=9000).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows, 5, 80)
+
+
 def thue_morse(n):
     w = "a"
     while len(w) < n:
