@@ -1,7 +1,7 @@
 """Cost-balanced packing of token sequences.
 
 A piece's cost is linear * length + quadratic * length ** 2, as attention within the piece costs. Documents go in descending
-order of cost to the sequence of lowest cost that has room left; where no cheap sequence holds a piece whole, it is cut at the room
+order of cost to the sequence of lowest cost of all that have room for the whole; where none has, the piece is cut at the room
 of the cheapest. A pool's sequences hold exactly its tokens: full ones of `size`, and for the rest one of each power of two in
 it, which needs no padding. A pool is at most `pool_tokens` tokens of one input partition (a longer document is a pool of its
 own), so nothing is shuffled and memory is bounded; its documents are ordered by cost, id and content, not by arrival.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import zlib
 
 import numpy as np
@@ -121,34 +122,74 @@ class Encoder:
         return out, upto + np.arange(n + 1)
 
 
-def plan(lengths: list[int], size: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, tries: int = 16) -> tuple[list[tuple[int, int, int, int, int]], int]:
+class _Open:
+    """Sequences with room, from which the cheapest of at least some room is taken: a heap for each room and a tree of their tops."""
+
+    def __init__(self, rooms: list[int], size: int) -> None:
+        self.half = 1 << size.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
+        for s, room in enumerate(rooms):
+            self.heaps[room].append((0.0, s))  # in order: heaps already
+        self.tops = [_NONE] * (2 * self.half)
+        for room, heap in enumerate(self.heaps):
+            if heap:
+                self.tops[self.half + room] = heap[0]
+        for i in range(self.half - 1, 0, -1):
+            self.tops[i] = min(self.tops[2 * i], self.tops[2 * i + 1])
+
+    def _renew(self, room: int) -> None:
+        i = self.half + room
+        self.tops[i] = self.heaps[room][0] if self.heaps[room] else _NONE
+        while i > 1:
+            i >>= 1
+            self.tops[i] = min(self.tops[2 * i], self.tops[2 * i + 1])
+
+    def put(self, cost: float, s: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, s))
+        self._renew(room)
+
+    def cheapest(self, want: int) -> tuple[float, int]:
+        """The least (cost, sequence) with room for `want`; (inf, -1) if there is none."""
+        best, i, stop = _NONE, self.half + want, 2 * self.half
+        while i < stop:
+            if i & 1:
+                best = min(best, self.tops[i])
+                i += 1
+            i, stop = i >> 1, stop >> 1
+        return best if best != _NONE else (math.inf, -1)
+
+    def take(self, room: int) -> None:
+        """Removes the cheapest sequence of exactly this room."""
+        heapq.heappop(self.heaps[room])
+        self._renew(room)
+
+
+_NONE = (math.inf, 1 << 62)
+
+
+def plan(lengths: list[int], size: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Pieces (document, start, length, sequence, offset) of documents in the order given, which should be of descending cost, and the number of sequences."""
     total = sum(lengths)
     rest = total % size
     room = [size] * (total // size) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-    capacity = list(room)
-    open_, out = [(0.0, s) for s in range(len(room))], []
-    heapq.heapify(open_)
+    capacity, cost = list(room), [0.0] * len(room)
+    open_, out = _Open(room, size), []
     queue = [(-min(n, size), i, 0, n) for i, n in enumerate(lengths) if n]
     # a document over the size fills whole sequences first; what is left of it goes on as a shorter piece
     heapq.heapify(queue)
     while queue:
         _, i, start, n = heapq.heappop(queue)
-        want, aside = min(n, size), []
-        cost, s = heapq.heappop(open_)
-        while room[s] < want and len(aside) < tries and open_:
-            aside.append((cost, s))
-            cost, s = heapq.heappop(open_)
-        if room[s] < want and aside:  # none of the cheap ones holds it whole: the cheapest takes what it can
-            aside.append((cost, s))
-            cost, s = aside.pop(0)
+        want = min(n, size)
+        s = open_.cheapest(want)[1]
+        if s < 0:  # no sequence holds it whole: the cheapest takes what it can
+            s = open_.cheapest(1)[1]
         took = min(want, room[s])
         out.append((i, start, took, s, capacity[s] - room[s]))
+        open_.take(room[s])
         room[s] -= took
+        cost[s] += linear * took + quadratic * took * took
         if room[s]:
-            heapq.heappush(open_, (cost + linear * took + quadratic * took * took, s))
-        for x in aside:
-            heapq.heappush(open_, x)
+            open_.put(cost[s], s, room[s])
         if n > took:
             heapq.heappush(queue, (-min(n - took, size), i, start + took, n - took))
     return out, len(capacity)
@@ -156,9 +197,9 @@ def plan(lengths: list[int], size: int = 1024, linear: float = 1.0, quadratic: f
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, end: int = 0, size: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, pool_tokens: int = 4 << 20) -> DataFrame:
     """The pieces of all documents: which ids, with their checksum, and where they stand in which sequence."""
-    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches):
+        path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")  # where this worker has it
         encoder, partition, pools = Encoder(path, end), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0

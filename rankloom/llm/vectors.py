@@ -2,12 +2,14 @@
 
 Every two dimensions have 16 centroids. Codebooks and codes minimise a loss in which the part of a residual that is parallel to its
 vector weighs `eta` times the rest, (d - 1) t**2 / (1 - t**2) for scores above t of the norm: that part decides large inner products. Codebooks are
-fitted on at most `sample_rows` vectors, those with the smallest hash of their id; every vector is coded. Queries then scan the codes by tables
-of their products with the centroids, two codes to a byte, in segments of about `segment_rows` vectors; of each segment the best
-`rerank` go through an exact double-precision product, and its best `k` on to the merge.
+fitted on at most `sample_rows` vectors, those with the smallest hash of their id; every vector is coded. Equal vectors are one candidate, which stands
+for the k + 1 smallest ids among them (no query can have more of them as its k nearest), so that copies of one vector never crowd out others.
 
-A segment meets the queries in groups of at most about `group_rows`; both are packed into one row each, so that a task holds one of either.
-What is broadcast is the codebook alone. Equal vectors have equal codes and scores, and ties go to smaller ids at every step.
+Codes and vectors are a written table, which stays where it is: queries go past it in blocks of at most `block_queries`, broadcast one block after
+the other. Each task scans its codes by tables of the block's products with the centroids, two codes to a byte, in segments of
+`segment_rows` vectors; of each segment the best `rerank` go through an exact double-precision product, and the task's best k + 1 of each
+query on to the merge. So what is shuffled are the vectors once, to find equal ones, and a few rows a query and task. Broadcast are the codebook and a block
+of queries, both of fixed size. Ties go to smaller ids at every step.
 
 Defined cases. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows
 without an id. Repeated rows: each is a candidate; for queries, one row of each id counts (the smallest vector). A query's own id is never its result.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RESULT = "query_id long, vec_id long, score double"
+from rankloom.llm.shared import settle
 
 
 @dataclasses.dataclass
@@ -108,27 +110,14 @@ def usable(table: DataFrame, vector: str, dim: int | None = None) -> DataFrame:
     return rows.where(F.size("v") == dim)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """An array column of equal lengths as a matrix."""
-    flat = column.combine_chunks()
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(flat):
+        return np.zeros((0, 0))
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _packed(rows: DataFrame, groups: int, book=None) -> DataFrame:
-    """One row for each of `groups` parts of the rows: ids in order, vectors and, given a codebook, codes."""
-
-    def run(table):
-        ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("v"))
-        order = np.lexsort((*x.T[::-1], ids)) if book is None else np.argsort(ids, kind="stable")
-        if book is None:  # queries: one row of an id
-            order = order[np.diff(ids[order], prepend=~ids[order[:1]]) != 0]
-        ids, x = ids[order], x[order]
-        codes = b"" if book is None else book.value.packed(x).tobytes()
-        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([codes], pa.binary())], names=["part", "ids", "vectors", "codes"])
-
-    return rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("part").applyInArrow(run, "part long, ids binary, vectors binary, codes binary")
-
-
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores; at the bound, of equal ones the first."""
     if len(scores) <= k:
@@ -138,43 +127,94 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.sort(np.concatenate([over, np.flatnonzero(scores == bound)[: k - len(over)]]))
 
 
-def search(table: DataFrame, *, vector: str = "embedding", every: int = 20, k: int = 20, rerank: int = 400, segment_rows: int = 8192, group_rows: int = 8192, sample_rows: int = 8192, threshold: float = 0.2) -> DataFrame:
+def _coded(rows: DataFrame, book, k: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors with their smallest id (rep) and codes; and (rep, vec_id) of the k + 1 smallest ids of each."""
+    w = Window.partitionBy("v").orderBy("vec_id")
+    ranked = rows.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= k + 1)  # cut in every task, then once more
+    ranked = settle(ranked.withColumn("rep", F.first("vec_id").over(Window.partitionBy("v").orderBy("vec_id"))))
+
+    def run(batches):
+        for batch in batches:
+            x = _matrix(batch.column("v"))
+            codes = book.value.packed(x) if len(x) else np.zeros((0, 0), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["rep", "codes", "vector"])
+
+    return settle(ranked.where("_at = 1").select("rep", "v").mapInArrow(run, "rep long, codes binary, vector binary")), settle(ranked.select("rep", "vec_id"))
+
+
+def _scan(coded: DataFrame, book, asked, k: int, rerank: int, segment_rows: int) -> DataFrame:
+    """(query_id, rep, score): of every task, each broadcast query's k best."""
+
+    def best_of(ids, x, codes, mine, y):
+        """Segment by segment: places of the best, by exact score, then id."""
+        for a in range(0, len(mine), 64):
+            tables = book.value.tables(y[a : a + 64])
+            for i, t in enumerate(tables):
+                score = t[0][codes[0]]
+                for j in range(1, len(codes)):
+                    score += t[j][codes[j]]
+                near = _best(score, rerank)
+                exact = (x[near] * y[a + i]).sum(1)
+                pick = _best(exact, k)
+                yield a + i, ids[near[pick]], exact[pick]
+
+    def run(batches):
+        mine, y = asked.value
+        held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(mine)
+
+        def flush(parts):
+            table = pa.Table.from_batches(parts).sort_by("rep")
+            ids = table.column("rep").to_numpy()
+            x, codes = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(ids), -1) for c, kind in (("vector", np.float64), ("codes", np.uint8)))
+            for q, near, exact in best_of(ids, x, np.ascontiguousarray(codes.T).astype(np.intp), mine, y):
+                if held[q] is not None:
+                    near, exact = np.concatenate([held[q][0], near]), np.concatenate([held[q][1], exact])
+                    order = np.lexsort((near, -exact))[:k]
+                    near, exact = near[order], exact[order]
+                held[q] = near, exact
+
+        parts, n = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, segment_rows):
+                part = batch.slice(lo, segment_rows)
+                parts.append(part)
+                n += part.num_rows
+                if n >= segment_rows:
+                    flush(parts)
+                    parts, n = [], 0
+        if n:
+            flush(parts)
+        for a in range(0, len(mine), 2048):
+            some = [(int(q), *h) for q, h in zip(mine[a : a + 2048], held[a : a + 2048]) if h is not None]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in some], [len(near) for _, near, _ in some])), pa.array(np.concatenate([near for _, near, _ in some])), pa.array(np.concatenate([exact for _, _, exact in some]))], ["query_id", "rep", "score"])
+
+    return coded.select("rep", "codes", "vector").mapInArrow(run, "query_id long, rep long, score double")
+
+
+def search(table: DataFrame, *, vector: str = "embedding", every: int = 20, k: int = 20, rerank: int = 400, segment_rows: int = 16384, block_queries: int = 8192, sample_rows: int = 8192, threshold: float = 0.2) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
-    rows = usable(table, vector)
+    spark, rows = table.sparkSession, usable(table, vector)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
     if not sample.num_rows:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    book = table.sparkSession.sparkContext.broadcast(fit(_matrix(sample.column("v")), threshold))
-    queries = rows.where(F.col("vec_id") % every == 0)
-    n, q = rows.count(), queries.count()
-    segments, groups = -(-n // segment_rows), max(1, -(-q // group_rows))
-    left = _packed(rows, segments, book).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumnRenamed("part", "segment")
-    right = _packed(queries, groups).drop("codes").select(F.col("part").cast("int").alias("queries"), "ids", "vectors").withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long"))))
-
-    def run(key, segment, asked):
-        out = ([], [], [])
-        if segment.num_rows and asked.num_rows:
-            b = book.value
-            ids, mine = (np.frombuffer(t.column("ids")[0].as_py(), np.int64) for t in (segment, asked))
-            x, y = (np.frombuffer(t.column("vectors")[0].as_py(), np.float64).reshape(len(i), -1) for t, i in ((segment, ids), (asked, mine)))
-            codes = np.frombuffer(segment.column("codes")[0].as_py(), np.uint8).reshape(len(ids), -1).T.astype(np.intp)
-            for a in range(0, len(mine), 64):
-                tables = b.tables(y[a : a + 64])
-                for i, t in enumerate(tables):
-                    score = t[0][codes[0]]
-                    for j in range(1, len(codes)):
-                        score += t[j][codes[j]]
-                    score[ids == mine[a + i]] = -np.inf
-                    near = _best(score, rerank)
-                    near = near[ids[near] != mine[a + i]]
-                    exact = (x[near] * y[a + i]).sum(1)
-                    near, exact = (z[_best(exact, k)] for z in (near, exact))
-                    out[0].append(np.full(len(near), mine[a + i]))
-                    out[1].append(ids[near])
-                    out[2].append(exact)
-        columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2])], names=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("segment", "queries").cogroup(right.groupBy("segment", "queries")).applyInArrow(run, RESULT)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    book = spark.sparkContext.broadcast(fit(_matrix(sample.column("v")), threshold))
+    coded, members = _coded(rows, book, k)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    blocks = max(1, -(-queries.count() * 5 // (4 * block_queries)))
+    queries = settle(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
+    found = None
+    for block in range(blocks):
+        mine = queries.where(F.col("block") == block).select("vec_id", "v").toArrow().sort_by("vec_id")
+        if mine.num_rows:
+            asked = spark.sparkContext.broadcast((mine.column("vec_id").to_numpy(), _matrix(mine.column("v"))))
+            one = _scan(coded, book, asked, k + 1, rerank, segment_rows)
+            one = settle(one) if blocks > 1 else one
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+    best = found.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k + 1).drop("_at")
+    near = best.join(members, "rep").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
