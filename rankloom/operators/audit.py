@@ -70,7 +70,12 @@ def verdict_problems(rows: DataFrame, labels: list[str], tolerance: float = 0.00
     ])
 
 
-def longest_runs(words: DataFrame) -> DataFrame:
-    """(doc_id, pos, word) to each document's longest run of one word: gaps and islands."""
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "word").orderBy("pos"))
-    return words.withColumn("_island", island).groupBy("doc_id", "word", "_island").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("longest_run"))
+def longest_run(words: Column) -> Column:
+    """The longest run of one word in an array of words: one pass over it, in the row."""
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, w: Column) -> Column:
+        run = F.when(w.eqNullSafe(s["w"]), s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(w.alias("w"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(words, start, step, lambda s: s["best"])

@@ -1,10 +1,12 @@
-"""BM25 over token tables. Postings are cut to the queries' terms before anything is shuffled by document."""
+"""BM25 over token tables, and texts held whole. Postings are cut to the queries' terms before anything is shuffled by document."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.plans.tables import settle
+
 
 def tokens(docs: DataFrame, text: Column, tokenise, key: str = "doc_id") -> DataFrame:
     """(key, token) with repeats."""
@@ -16,23 +18,50 @@ def statistics(docs: DataFrame, text: Column, tokenise) -> DataFrame:
     return docs.select("doc_id", F.size(tokenise(text)).alias("length"))
 
 
-def bm25(docs: DataFrame, text: Column, queries: DataFrame, question: Column, tokenise, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of pairs with a positive score. idf is ln(1 + (N - df + 0.5) / (df + 0.5)); a query's repeated
-    token counts each time. Queries' terms are few: the table of them is joined to the postings first."""
-    asked = tokens(queries, question, tokenise, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    bags = docs.select("doc_id", tokenise(text).alias("_bag"))
-    size = bags.select("doc_id", F.size("_bag").alias("length"))
-    totals = size.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = totals.n, totals.mean or 1.0
-    terms = asked.select("token").distinct()
-    found = bags.select("doc_id", F.size("_bag").alias("length"), F.explode("_bag").alias("token")).join(terms, "token", "left_semi").groupBy("token", "doc_id", "length").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, text: Column, terms: DataFrame, tokenise) -> tuple[DataFrame, int, float]:
+    """(doc_id, length, token, tf) of the given terms (token), as a written table, with the number of documents and their mean length. Every
+    text is tokenised once: the row of token "", which no text holds, stands for the document."""
+    held = docs.select("doc_id", F.explode(F.array(F.struct(tokenise(text).alias("w")))).alias("x"))  # a generator is computed once
+    every = held.select("doc_id", F.size("x.w").alias("length"), F.explode(F.concat("x.w", F.array(F.lit("")))).alias("token"))
+    wanted = terms.select("token").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "token string"))
+    found = settle(every.join(wanted, "token", "left_semi").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf")))
+    totals = found.where("token = ''").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("length")).alias("sum")).first()
+    return found.where("token <> ''"), totals.n or 0, (totals["sum"] or 0) / (totals.n or 1)
+
+
+def bm25_scores(found: DataFrame, n: int, mean: float, asked: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) of pairs with a positive score, from postings and the queries' terms (query_id, token, times)."""
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (mean or 1.0)))
     weighed = found.join(df, "token").select("token", "doc_id", (idf * part).alias("w"))
     return asked.join(weighed, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 6).alias("score")).where("score > 0")
 
 
+def bm25(docs: DataFrame, text: Column, queries: DataFrame, question: Column, tokenise, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) of pairs with a positive score. idf is ln(1 + (N - df + 0.5) / (df + 0.5)); a query's repeated
+    token counts each time. Queries' terms are few: postings are cut to them before anything is shuffled."""
+    asked = tokens(queries, question, tokenise, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    return bm25_scores(*postings(docs, text, asked, tokenise), asked, k1, b)
+
+
+def holders(docs: DataFrame, text: Column, queries: DataFrame, question: Column) -> DataFrame:
+    """(query_id, doc_id): documents that hold a question's text as it is. The longest word inside the question, which stands as a word in any text
+    that holds it, finds candidates by a join; the few questions without an inner word are looked for one by one."""
+    words = F.split(F.col("_q"), r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = queries.select("query_id", question.alias("_q")).where("_q IS NOT NULL").withColumn("token", F.nullif(longest, F.lit("")))
+    held = docs.select("doc_id", text.alias("_t"))
+    found = held.withColumn("token", F.explode(F.array_distinct(F.split("_t", r"\s+")))).join(asked.where("token IS NOT NULL"), "token").where(F.contains("_t", F.col("_q"))).select("query_id", "doc_id")
+    short = asked.where("token IS NULL").select("query_id", "_q").limit(1001).collect()
+    if len(short) > 1000:
+        raise ValueError("more than 1,000 questions of one or two words")
+    for q in short:
+        found = found.unionByName(held.where(F.contains("_t", F.lit(q["_q"]))).select(F.lit(q.query_id).alias("query_id"), "doc_id"))
+    return found
+
+
 def term_statistics(docs: DataFrame, text: Column, tokenise) -> DataFrame:
     """(token, df, cf): documents that hold a token, and its places."""
     return tokens(docs, text, tokenise).groupBy("token", "doc_id").agg(F.count("*").alias("tf")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions import text as X
 from rankloom.operators.ranking import first_seen
 
 
@@ -57,8 +58,16 @@ def binary(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10,
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
+    """Size of the multiset intersection of two arrays: a merge of both in order, each element met once."""
+    both = F.array_sort(F.concat(F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(0).alias("side"))), F.transform(b, lambda w: F.struct(w.alias("w"), F.lit(1).alias("side")))))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("left"), F.lit(0).alias("shared"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = F.when(x["w"].eqNullSafe(s["w"]), s["left"]).otherwise(F.lit(0))  # of this word, those of a not met by one of b
+        pair = (x["side"] == 1) & (left > 0)
+        return F.struct(x["w"].alias("w"), F.when(x["side"] == 0, left + 1).when(pair, left - 1).otherwise(left).alias("left"), (s["shared"] + pair.cast("int")).alias("shared"))
+
+    return F.aggregate(both, start, step, lambda s: s["shared"])
 
 
 def token_f1(prediction: Column, reference: Column) -> Column:
@@ -75,6 +84,18 @@ def answer_metrics(rows: DataFrame, normalise) -> DataFrame:
     return one.groupBy("query_id").agg(F.max((F.col("_p") == F.col("_n")).cast("double")).alias("em"), F.round(F.max(token_f1(F.col("_pt"), F.col("_rt"))), 9).alias("f1"), F.bool_or(F.col("_p") == "").alias("nonanswer"))
 
 
+def lexical_metrics(rows: DataFrame) -> DataFrame:
+    """(query_id, prediction, references, language) to exact match and token F1, each the best over the references. An empty prediction has 0 of
+    both and is no answer; no reference, or an empty one, raises when it is read."""
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    one = rows.select("query_id", X.lexical_answer(F.coalesce("prediction", F.lit("")), F.col("language")).alias("_p"), "language", F.explode_outer("references").alias("_r"))
+    one = one.withColumn("_n", X.lexical_answer(F.col("_r"), F.col("language")))
+    one = one.withColumn("_n", F.when(F.coalesce(F.col("_n"), F.lit("")) == "", F.raise_error(F.lit("references must not be empty")).cast("string")).otherwise(F.col("_n")))
+    answered = F.col("_p") != ""
+    em, f1 = F.when(answered & (F.col("_p") == F.col("_n")), 1.0).otherwise(0.0), F.when(answered, token_f1(words(F.col("_p")), words(F.col("_n")))).otherwise(0.0)
+    return one.groupBy("query_id").agg(F.max(em).alias("em"), F.round(F.max(f1), 9).alias("f1"), F.bool_or(~answered).alias("nonanswer"))
+
+
 def citation_metrics(rows: DataFrame) -> DataFrame:
     """(query_id, cited, gold: arrays) to set precision, recall and hit; nothing cited: precision 0."""
     both = F.size(F.array_intersect("cited", "gold"))
@@ -83,21 +104,38 @@ def citation_metrics(rows: DataFrame) -> DataFrame:
 
 
 def word_errors(reference: list[str], prediction: list[str]) -> tuple[int, int, int, int]:
-    """(errors, substitutions, deletions, insertions) of a least-cost alignment; of equal ones, that with most substitutions, then most deletions."""
-    row = [(j, 0, 0, j) for j in range(len(prediction) + 1)]
-    better = lambda x: (x[0], -x[1], -x[2])
-    for i, word in enumerate(reference, 1):
-        new = [(i, 0, i, 0)]
-        for j, other in enumerate(prediction, 1):
-            e, s, d, n = row[j - 1]
-            options = [(e, s, d, n) if word == other else (e + 1, s + 1, d, n)]
-            e, s, d, n = row[j]
-            options.append((e + 1, s, d + 1, n))
-            e, s, d, n = new[j - 1]
-            options.append((e + 1, s, d, n + 1))
-            new.append(min(options, key=better))
-        row = new
-    return row[-1]
+    """(errors, substitutions, deletions, insertions) of a least-cost alignment; of equal ones, that with most substitutions, then most deletions.
+
+    One number ranks alignments: errors first, then fewer substitutions and deletions count as worse. The table of it is filled along
+    diagonals, a whole diagonal at a time."""
+    n, m = len(reference), len(prediction)
+    if not n or not m:
+        return n + m, 0, n, m
+    base = n + m + 1
+    # an error costs base squared; a substitution gives back base, a deletion 1, so the least sum follows the order stated
+    wide = object if base > 1_000_000 else np.int64
+    swap, drop, add = base * base - base, base * base - 1, base * base
+    kinds: dict[str, int] = {}
+    a, b = (np.array([kinds.setdefault(w, len(kinds)) for w in x]) for x in (reference, prediction))
+    before, last = np.zeros(0, wide), np.zeros(1, wide)  # cells (i, d - i) of the two diagonals before, by i
+    low_before, low_last = 0, 0
+    for d in range(1, n + m + 1):
+        low, high = max(0, d - m), min(n, d)
+        i = np.arange(low, high + 1)
+        cell = np.full(len(i), np.iinfo(np.int64).max // 2, np.int64).astype(wide)
+        up = i >= 1  # from (i - 1, d - i): a deletion
+        cell[up] = last[i[up] - 1 - low_last] + drop
+        left = i <= d - 1  # from (i, d - i - 1): an insertion
+        cell[left] = np.minimum(cell[left], last[i[left] - low_last] + add)
+        both = up & left
+        if both.any():
+            x = i[both]
+            cell[both] = np.minimum(cell[both], before[x - 1 - low_before] + np.where(a[x - 1] == b[d - x - 1], 0, swap))
+        before, low_before, last, low_last = last, low_last, cell, low
+    total = int(last[-1])
+    errors = -(-total // (base * base))
+    given = errors * base * base - total
+    return errors, given // base, given % base, errors - given // base - given % base
 
 
 def alignment(rows: DataFrame) -> DataFrame:

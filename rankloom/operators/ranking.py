@@ -25,12 +25,17 @@ def first_seen(ranking: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataF
 
 def fuse_text(rankings: DataFrame, k: int = 60, top: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, source, rank, doc_id). A repeated id in one source counts at its first rank, its
-    later places still take up a rank; ties go by (source, rank, id) of the first appearance. With one source the ranking is
-    as it was, its duplicates gone."""
-    once = rankings.groupBy("query_id", "source", "doc_id").agg(F.min("rank").alias("rank"))
+    later places still take up a rank; ties go by (source, rank, id) of the first appearance. A query with one source keeps its ranking,
+    duplicates gone, and its scores where the rankings have some."""
+    own = F.min_by("score", "rank") if "score" in rankings.columns else F.lit(None).cast("double")
+    once = rankings.groupBy("query_id", "source", "doc_id").agg(own.alias("_own"), F.min("rank").alias("rank"))
+    alone = once.groupBy("query_id").agg((F.min("source") == F.max("source")).alias("_alone"))
+    once = once.join(alone, "query_id")
     first = F.min(F.struct("source", "rank", "doc_id"))
-    summed = once.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), first.alias("_first"))
-    out = summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_first"))).drop("_first")
+    fused = F.round(F.sum(1.0 / (k + F.col("rank"))), 9)
+    summed = once.groupBy("query_id", "doc_id").agg(fused.alias("_fused"), F.first("_alone").alias("_alone"), F.min("_own").alias("_own"), first.alias("_first"))
+    order = [F.desc(F.when(F.col("_alone"), 0.0).otherwise(F.col("_fused"))), "_first"]  # one source: by its ranks
+    out = summed.select("query_id", "doc_id", F.when(F.col("_alone"), F.coalesce("_own", "_fused")).otherwise(F.col("_fused")).alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank"))
     return out if top is None else out.where(F.col("rank") <= top)
 
 
@@ -61,17 +66,51 @@ def pool_sizes(rankings: DataFrame, channels: list[str], mode: str, budget: int)
 
 
 def rerank(ranking: DataFrame, scores: DataFrame, tie: str = "doc_id", threshold: float | None = None) -> DataFrame:
-    """A candidate list in the order of new scores (query_id, doc_id, new_score): the same documents, ties by id or by position ("rank")."""
-    joined = ranking.join(scores, ["query_id", "doc_id"])
+    """A candidate list in the order of new scores (query_id, doc_id, new_score): the same documents, ties by id or by position ("rank"). A
+    candidate without a finite score raises when it is read."""
+    joined = ranking.join(scores, ["query_id", "doc_id"], "left").withColumn("new_score", _scored("new_score"))
     if threshold is not None:
         joined = joined.where(F.col("new_score") >= threshold)
     out = joined.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("new_score"), tie)))
     return out.select("query_id", "doc_id", F.col("new_score").alias("score"), F.col("new_rank").alias("rank"))
 
 
+def _scored(column: str) -> Column:
+    good = F.coalesce(F.abs(F.col(column)) < float("inf"), F.lit(False))  # not of null, not of a NaN
+    return F.when(good, F.col(column)).otherwise(F.raise_error(F.concat(F.lit("no score for "), F.col("query_id").cast("string"), F.lit(" and "), F.col("doc_id").cast("string"))).cast("double"))
+
+
 def scatter(lists: DataFrame, scores: DataFrame) -> DataFrame:
-    """Scores of distinct (query_id, doc_id) pairs given to every cell's candidate list (cell, query_id, doc_id), ranked in each."""
-    return ranked(lists.join(scores, ["query_id", "doc_id"]), by=("cell", "query_id"))
+    """Scores of distinct (query_id, doc_id) pairs given to every cell's candidate list (cell, query_id, doc_id), ranked in each. A candidate
+    without a finite score raises when it is read."""
+    return ranked(lists.join(scores, ["query_id", "doc_id"], "left").withColumn("score", _scored("score")), by=("cell", "query_id"))
+
+
+def subsets(channels: list[str]) -> list[list[str]]:
+    """All non-empty sets of channels, in the channels' order."""
+    return [[c for i, c in enumerate(channels) if m >> i & 1] for m in range(1, 1 << len(channels))]
+
+
+def every_cell(rankings: DataFrame, channels: list[str], budget: int, cuts: list[int], k: int = 60) -> DataFrame:
+    """(cell, query_id, doc_id, rank) of every set of channels under both budgets, cut at each of `cuts`: one pass over the rankings, each row going
+    to the sets that take it."""
+    plans = []
+    for chosen in subsets(channels):
+        for mode in ("per_channel", "total"):
+            take = allocation(chosen, budget) if mode == "total" else dict.fromkeys(chosen, budget)
+            plans += [("".join(chosen) + "-" + mode, c, n, len(chosen)) for c, n in take.items()]
+    spark = rankings.sparkSession
+    table = F.broadcast(spark.createDataFrame(plans, "family string, channel string, _limit int, _width int"))  # as many rows as sets and channels
+    pool = rankings.join(table, "channel").where(F.col("rank") <= F.col("_limit"))
+    value = F.when(F.col("_width") == 1, F.col("score")).otherwise(1.0 / (k + F.col("rank")))
+    fused = ranked(pool.groupBy("family", "query_id", "doc_id").agg(F.round(F.sum(value), 9).alias("score")), max(cuts), by=("family", "query_id"))
+    at = F.explode(F.array(*map(F.lit, cuts)))
+    return fused.withColumn("_cut", at).where(F.col("rank") <= F.col("_cut")).select(F.concat("family", F.lit("-k"), F.col("_cut").cast("string")).alias("cell"), "query_id", "doc_id", "rank")
+
+
+def score_kind(method: Column) -> Column:
+    """What a method's scores are."""
+    return F.when(method == "bm25", "bm25").when(method.startswith("hybrid"), "rrf").when(method.endswith("_reranked"), "p_relevant").otherwise("cosine_similarity")
 
 
 def contract(ranking: DataFrame, gallery: DataFrame, exclusions: DataFrame, k: int) -> DataFrame:

@@ -28,9 +28,16 @@ def breakdown(rows: DataFrame, variant: str, columns: list[str], aggregates: lis
     return rows.groupingSets(sets, F.col(variant), *map(F.col, columns)).agg(*aggregates)
 
 
-def paired(left: DataFrame, right: DataFrame, key: str = "query_id", value: str = "value") -> DataFrame:
-    """(key, difference right - left) over keys that both have."""
-    return left.select(key, F.col(value).alias("_l")).join(right.select(key, F.col(value).alias("_r")), key).select(key, (F.col("_r") - F.col("_l")).alias("difference"))
+def paired(left: DataFrame, right: DataFrame, key: str = "query_id", value: str = "value", frozen: DataFrame | None = None) -> DataFrame:
+    """(key, difference right - left) over keys that both have. With a frozen set of keys, both must have exactly those: a key that one side or
+    the set lacks raises when it is read."""
+    a, b = left.select(key, F.col(value).alias("_l")), right.select(key, F.col(value).alias("_r"))
+    if frozen is None:
+        return a.join(b, key).select(key, (F.col("_r") - F.col("_l")).alias("difference"))
+    every = a.join(b, key, "full_outer").join(frozen.select(key).distinct().withColumn("_in", F.lit(True)), key, "full_outer")
+    whole = F.col("_l").isNotNull() & F.col("_r").isNotNull() & F.col("_in")
+    difference = F.when(F.coalesce(whole, F.lit(False)), F.col("_r") - F.col("_l")).otherwise(F.raise_error(F.concat(F.lit("not the frozen query set: "), F.col(key).cast("string"))).cast("double"))
+    return every.select(key, difference.alias("difference"))
 
 
 def paired_summary(differences: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def variant_summary(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS variant, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS \"F\", count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS \"O\", count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS \"P\" FROM orders GROUP BY 1")
 def status_counts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("variant")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).fillna(0)
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("variant")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 VERDICTS = "v AS (SELECT doc_id, source, CASE WHEN quality = 1 THEN 'accept' ELSE 'reject' END AS l, CASE WHEN toxic = 0 THEN 'accept' ELSE 'reject' END AS r FROM labels JOIN documents USING (doc_id))"
@@ -143,9 +143,9 @@ def referential_integrity(spark, sf_dir):
     return audit.qrel_violations(q, table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "query_id"), part, out)
 
 
-@query("SELECT url, count(*) AS n FROM pages GROUP BY url HAVING count(*) > 1")
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_keys(spark, sf_dir):
-    return audit.repeated_keys(table(spark, sf_dir, "pages"), ["url"])
+    return audit.repeated_keys(table(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
 @query("SELECT name, expected, actual, expected = actual AS ok FROM (SELECT 'region' AS name, CAST(5 AS BIGINT) AS expected, count(*) AS actual FROM region UNION ALL SELECT 'nation', 25, count(*) FROM nation UNION ALL SELECT 'benchmark', 40, count(*) FROM benchmark)")
@@ -299,6 +299,8 @@ def language_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr")).groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min("doc_id").alias("first_id"))
 
 
-@query("SELECT page_id, regexp_matches(url, '^https://') AS finite, sha256('{\"page_id\":' || page_id || ',\"url\":\"' || url || '\"}') AS identity FROM pages")
+@query("SELECT page_id, page_id % 3 = 0 OR page_id % 5 = 1 AS finite, sha256('{\"page_id\":' || page_id || ',\"url\":\"' || url || '\"}') AS identity FROM pages")
 def content_identity(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.col("url").rlike("^https://").alias("finite"), X.content_key("page_id", "url").alias("identity"))
+    i = F.col("page_id")
+    value = F.when(i % 3 == 0, F.length("url")).when(i % 5 == 1, 0.0).when(i % 5 == 2, float("nan")).when(i % 5 == 3, float("-inf"))
+    return table(spark, sf_dir, "pages").select("page_id", X.finite(value).alias("finite"), X.content_key("page_id", "url").alias("identity"))

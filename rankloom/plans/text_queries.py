@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 TR = r"regexp_extract_all(lower(translate({t}, 'Iİ', 'ıi')), '[\p{{L}}\p{{N}}_]+')"
-DOC_TOKENS = TR.format(t="text")
+DOC_TOKENS = TR.format(t="nfc_normalize(text)")
 PLAIN = r"trim(regexp_replace(regexp_replace(lower(translate({t}, 'Iİ', 'ıi')), '\p{{P}}', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -81,8 +81,8 @@ def bm25_lists(spark, sf_dir, k=50):
 
 
 def gold(spark, sf_dir):
-    """Documents that hold a benchmark text. Benchmark texts are the fixed question set; they go to every task."""
-    return docs(spark, sf_dir).join(F.broadcast(asked(spark, sf_dir)), F.contains(F.col("text"), F.col("question"))).select("query_id", "doc_id")
+    """Documents that hold a benchmark text."""
+    return lexical.holders(docs(spark, sf_dir), F.col("text"), asked(spark, sf_dir), F.col("question"))
 
 
 @query(f"WITH {BM25} SELECT * FROM br WHERE rank <= 20")
@@ -116,10 +116,11 @@ orr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min((source * 100 + rank) * CAST(100000000 AS BIGINT) + doc_id) AS tie FROM (SELECT 0 AS source, query_id, doc_id, rank FROM br UNION ALL SELECT 1, query_id, doc_id, rank FROM orr) GROUP BY 1, 2)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie) AS INTEGER) AS rank FROM f) WHERE rank <= 50""")
 def hybrid_candidates(spark, sf_dir):
-    one = lexical.tokens(asked(spark, sf_dir), F.col("question"), X.turkish_tokens, "query_id").distinct()
-    bags = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(X.turkish_tokens(F.col("text")))).alias("token")).join(one.select("token").distinct(), "token", "left_semi")
-    shared = ranking.ranked(bags.join(one, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("score")), 50)
-    lists = bm25_lists(spark, sf_dir).select("query_id", F.lit(0).alias("source"), "rank", "doc_id").unionByName(shared.select("query_id", F.lit(1).alias("source"), "rank", "doc_id"))
+    terms = lexical.tokens(asked(spark, sf_dir), F.col("question"), X.turkish_tokens, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    found, n, mean = lexical.postings(docs(spark, sf_dir), F.col("text"), terms, X.turkish_tokens)  # both channels read them
+    shared = ranking.ranked(found.join(terms, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("score")), 50)
+    best = ranking.ranked(lexical.bm25_scores(found, n, mean, terms), 50)
+    lists = best.select("query_id", F.lit(0).alias("source"), "rank", "doc_id").unionByName(shared.select("query_id", F.lit(1).alias("source"), "rank", "doc_id"))
     return ranking.fuse_text(lists, top=50)
 
 
@@ -157,8 +158,8 @@ def corpus_word_error_rate(spark, sf_dir):
 i AS (SELECT doc_id, word, pos - row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) AS island FROM x), r AS (SELECT doc_id, max(n) AS longest_run FROM (SELECT doc_id, word, island, count(*) AS n FROM i GROUP BY 1, 2, 3) GROUP BY 1)
 SELECT doc_id, longest_run, longest_run > 20 AS rejected FROM r""")
 def word_runs(spark, sf_dir):
-    words = docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([^ \\t-\\r]+)"), F.lit(1))).alias("pos", "word"))
-    return audit.longest_runs(words).withColumn("rejected", F.col("longest_run") > 20)
+    run = audit.longest_run(F.regexp_extract_all("text", F.lit("([^ \\t-\\r]+)"), F.lit(1)))
+    return docs(spark, sf_dir).select("doc_id", run.cast("long").alias("longest_run")).where("longest_run > 0").withColumn("rejected", F.col("longest_run") > 20)
 
 
 @query("""SELECT doc_id, 'title: ' || coalesce(nullif(trim(split_part(text, chr(10), 2)), ''), 'none') || ' | text: ' || source AS passage, 'task: search | query: ' || lang AS question,
@@ -171,10 +172,16 @@ def record_formats(spark, sf_dir):
     )
 
 
-@query("SELECT page_id, CASE WHEN contains(url, 'wikipedia.org/') THEN 'wikipedia' ELSE 'web' END AS kind, regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9._+:@/ -]{0,199}$') AS label_ok, NOT (starts_with(url, '/') OR contains(url, chr(92)) OR regexp_matches(url, '(^|/)\\.\\.(/|$)')) AND length(url) > 0 AS path_ok FROM pages")
+LABEL = r"(regexp_full_match({v}, '[A-Za-z0-9_][A-Za-z0-9_.:#/@+\-]{{0,255}}') AND NOT contains({v}, '..') AND (NOT contains({v}, '/') OR regexp_full_match({v}, '[A-Za-z0-9_.\-]+/[A-Za-z0-9_.\-]+')))"
+LABELS = {"url_ok": "url", "text_ok": "'free text of ' || page_id", "pair_ok": "'owner/name' || page_id", "up_ok": "'a..b' || page_id", "mark_ok": "'_id#' || page_id || CASE WHEN page_id % 3 = 0 THEN ' or so' ELSE '' END"}
+
+
+@query("SELECT page_id, CASE WHEN contains(url, 'wikipedia.org/') THEN 'wikipedia' ELSE 'web' END AS kind, " + ", ".join(f"{LABEL.format(v=f'({v})')} AS {c}" for c, v in LABELS.items()) + ", NOT (starts_with(url, '/') OR contains(url, chr(92)) OR regexp_matches(url, '(^|/)\\.\\.(/|$)')) AND length(url) > 0 AS path_ok FROM pages")
 def source_and_label_checks(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", X.source_kind(u).alias("kind"), X.safe_label(u).alias("label_ok"), X.safe_path(u).alias("path_ok"))
+    """Kinds of sources, and labels of which some are free text, climb up, or have a slash too many."""
+    u, i = F.col("url"), F.col("page_id").cast("string")
+    values = [u, F.concat(F.lit("free text of "), i), F.concat(F.lit("owner/name"), i), F.concat(F.lit("a..b"), i), F.concat(F.lit("_id#"), i, F.when(F.col("page_id") % 3 == 0, " or so").otherwise(""))]
+    return table(spark, sf_dir, "pages").select("page_id", X.source_kind(u).alias("kind"), *[X.safe_label(v).alias(c) for c, v in zip(LABELS, values)], X.safe_path(u).alias("path_ok"))
 
 
 @query("SELECT text_hash, n_members, first_id, n_positive FROM (SELECT substr(sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))), 1, 24) AS text_hash, count(*) AS n_members, min(doc_id) AS first_id, count(CASE WHEN quality = 1 THEN 1 END) AS n_positive FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)")
@@ -197,24 +204,31 @@ LINES = r"l AS (SELECT doc_id, len(parts) AS n, parts FROM (SELECT doc_id, strin
 def backward_asof_line_end(spark, sf_dir):
     """The last line end within 400 characters, else the character cap: a backward as-of lookup in each text's own line ends."""
     parts = F.split("text", "\n")
-    ends = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda s, p: s + F.length(p) + 1))
-    best = F.when(F.size("parts") > 1, F.array_max(F.filter(ends, lambda e: e <= 400)))
+    start = F.struct(F.lit(0).alias("end"), F.lit(None).cast("int").alias("best"))
+    step = lambda s, p: F.struct((s["end"] + F.length(p) + 1).alias("end"), F.when(s["end"] + F.length(p) + 1 <= 400, s["end"] + F.length(p) + 1).otherwise(s["best"]).alias("best"))
+    best = F.aggregate(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), start, step, lambda s: s["best"])
     return docs(spark, sf_dir).withColumn("parts", parts).select("doc_id", F.coalesce(best, F.least(F.lit(400), F.length("text"))).cast("long").alias("cut"))
 
 
-@query("SELECT doc_id, CAST(ceil(length(text) / 500.0) AS BIGINT) AS n_segments, TRUE AS tiles FROM documents")
+@query("""WITH s AS (SELECT doc_id, a AS start, least(a + 500, length(text)) - CASE WHEN doc_id % 7 = 0 AND a = 0 THEN 1 ELSE 0 END AS stop FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS a FROM documents) WHERE NOT (doc_id % 11 = 0 AND a = 500)),
+j AS (SELECT doc_id, stop, stop <= start OR start <> coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start, stop), 0) AS bad FROM s),
+p AS (SELECT doc_id, count(*) AS n, bool_or(bad) AS bad, max(stop) AS last FROM j GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_segments, CASE WHEN length(text) = 0 THEN n IS NULL ELSE coalesce(NOT bad AND last = length(text), FALSE) END AS tiles FROM documents d LEFT JOIN p USING (doc_id)""")
 def segment_tiling(spark, sf_dir):
+    """Pieces of 500 characters, of which some are a character short and some are missing."""
     size = F.length("text")
     starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(500)))
-    segments = docs(spark, sf_dir).select("doc_id", F.explode(starts).alias("start"), size.alias("length")).select("doc_id", "start", F.least(F.col("start") + 500, F.col("length")).alias("stop"))
-    return audit.tiling(segments, docs(spark, sf_dir).select("doc_id", size.alias("length")))
+    pieces = docs(spark, sf_dir).select("doc_id", F.explode(starts).alias("start"), size.alias("length")).where("NOT (doc_id % 11 = 0 AND start = 500)")
+    short = F.when((F.col("doc_id") % 7 == 0) & (F.col("start") == 0), 1).otherwise(0)
+    pieces = pieces.select("doc_id", "start", (F.least(F.col("start") + 500, F.col("length")) - short).alias("stop"))
+    return audit.tiling(pieces, docs(spark, sf_dir).select("doc_id", size.alias("length")))
 
 
 @query("""WITH x AS (SELECT doc_id, text, lang, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS seen FROM documents)
 SELECT coalesce(CASE WHEN trim(text) = '' THEN 'empty text' END, CASE WHEN seen > 1 THEN 'repeated text' END, CASE WHEN lang NOT IN ('en', 'fr', 'de', 'es') THEN 'unknown language' END, 'accepted') AS reason, count(*) AS n FROM x GROUP BY 1""")
 def rejection_audit(spark, sf_dir):
-    first = docs(spark, sf_dir).groupBy("text").agg(F.min("doc_id").alias("_first"))
-    rows = docs(spark, sf_dir).join(first, "text")
+    rows = docs(spark, sf_dir).withColumn("_key", F.md5("text"))  # texts meet by a 128-bit hash
+    rows = rows.join(rows.groupBy("_key").agg(F.min("doc_id").alias("_first")), "_key")
     found = audit.rejections(rows, [("empty text", F.trim("text") == ""), ("repeated text", F.col("doc_id") > F.col("_first")), ("unknown language", ~F.col("lang").isin("en", "fr", "de", "es"))])
     return found.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
@@ -228,9 +242,9 @@ def context_assembly(spark, sf_dir):
     return asked(spark, sf_dir).join(listed, "query_id", "left").select("query_id", F.concat("question", F.lit(" | "), F.coalesce("evidence", F.lit(""))).alias("prompt"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS good, replace('see [' || source || ', ' || lang || '] and [' || source || ', x]', CASE WHEN doc_id % 2 = 0 THEN '[' || source || ', ' || lang || ']' ELSE chr(1) END, '') AS stripped FROM documents")
+@query("SELECT doc_id, doc_id % 2 = 0 AS good, replace('see [' || source || '; ' || lang || '] and [' || source || ', x]', CASE WHEN doc_id % 2 = 0 THEN '[' || source || '; ' || lang || ']' ELSE chr(1) END, '') || '[' || source || chr(10) || ']' AS stripped FROM documents")
 def citation_strip(spark, sf_dir):
-    cited = F.concat(F.lit("see ["), F.col("source"), F.lit(", "), F.col("lang"), F.lit("] and ["), F.col("source"), F.lit(", x]"))
+    cited = F.concat(F.lit("see ["), F.col("source"), F.lit("; "), F.col("lang"), F.lit("] and ["), F.col("source"), F.lit(", x]["), F.col("source"), F.lit("\n]"))
     known = F.when(F.col("doc_id") % 2 == 0, F.array("source", "lang")).otherwise(F.array("source"))
     return docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 2 == 0).alias("good"), X.strip_citations(cited, known).alias("stripped"))
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+import gzip
+import hashlib
 import io
+import json
+import os
 import tarfile
+import tomllib
 import zipfile
 
 import pyarrow as pa
@@ -41,16 +47,27 @@ def article_questions(rows: DataFrame) -> DataFrame:
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """path, title, url and body of Markdown articles with front matter."""
+    """path, title, url, declared length and body of Markdown articles with front matter, UTF-8 with or without a byte-order mark."""
     raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    return raw.select("path", X.front_matter(F.col("value"), "title").alias("title"), X.front_matter(F.col("value"), "url").alias("url"), F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n?", "").alias("body"))
+    return raw.select("path", *[X.front_matter(F.col("value"), c).alias(c) for c in ("title", "url")], X.front_matter(F.col("value"), "char_count").cast("long").alias("char_count"), X.body(F.col("value")).alias("body"))
 
 
 def spans(bodies: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Chunk texts by published character ranges (path, start, stop); ranges outside their body come back as rejected."""
-    joined = ranges.join(bodies, "path")
-    good = (F.col("start") >= 0) & (F.col("start") < F.col("stop")) & (F.col("stop") <= F.length("body"))
-    return joined.select("path", "start", "stop", F.when(good, F.substring("body", F.col("start") + 1, F.col("stop") - F.col("start"))).alias("text"), (~good).alias("rejected"))
+    """Chunk texts by published character ranges (path, start, stop, and the length published, if there is one); ranges outside their body or of another length come back
+    as rejected, with the reason, and so do those without a body."""
+    joined = ranges.join(bodies, "path", "left")
+    size = F.col("stop") - F.col("start")
+    reason = F.coalesce(
+        F.when(F.col("body").isNull(), "no body"), F.when(~((F.col("start") >= 0) & (size > 0) & (F.col("stop") <= F.length("body"))), "out of range"),
+        F.when(F.col("length") != size, "other length") if "length" in ranges.columns else F.lit(None).cast("string"),
+    )
+    return joined.select("path", "start", "stop", F.when(reason.isNull(), F.substring("body", F.col("start") + 1, size)).alias("text"), reason.isNotNull().alias("rejected"), reason.alias("reason"))
+
+
+def count_mismatches(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """Paths whose number of chunks isn't the declared one (path, chunks): such articles are rejected whole."""
+    per = found.where("NOT rejected").groupBy("path").agg(F.count("*").alias("found"))
+    return declared.join(per, "path", "left").where(F.coalesce("found", F.lit(0)) != F.col("chunks")).select("path", "chunks", F.coalesce("found", F.lit(0)).alias("found"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -72,8 +89,12 @@ def delimited(spark: SparkSession, path: str, schema: str, tabs: bool = False) -
     return spark.read.schema(schema).options(mode="FAILFAST", **options).csv(path)
 
 
+def _is_tar(raw: bytes) -> bool:
+    return raw[257:262] == b"ustar"
+
+
 def members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, content) of zip, tar and compressed tar files; unsafe member paths fail."""
+    """(archive, member, content) of zip, tar, compressed tar and gzip files; unsafe member paths fail."""
 
     def run(batches):
         for batch in batches:
@@ -85,6 +106,9 @@ def members(spark: SparkSession, path: str) -> DataFrame:
                             if not i.is_dir():
                                 names.append(i.filename)
                                 contents.append(z.read(i))
+                elif raw[:2] == b"\x1f\x8b" and not _is_tar(gzip.decompress(raw)):
+                    names.append(where.rstrip("/").rpartition("/")[2].removesuffix(".gz"))
+                    contents.append(gzip.decompress(raw))
                 else:
                     with tarfile.open(fileobj=io.BytesIO(raw)) as t:
                         for i in t:
@@ -93,7 +117,9 @@ def members(spark: SparkSession, path: str) -> DataFrame:
                                 contents.append(t.extractfile(i).read())
                 if bad := [n for n in names if n.startswith("/") or "\\" in n or ".." in n.split("/")]:
                     raise ValueError(f"unsafe members {bad[:3]}")
-                yield pa.RecordBatch.from_arrays([pa.array([where] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["archive", "member", "content"])
+                for lo in range(0, len(names), 64):
+                    part = slice(lo, lo + 64)
+                    yield pa.RecordBatch.from_arrays([pa.array([where] * len(names[part]), pa.string()), pa.array(names[part], pa.string()), pa.array(contents[part], pa.binary())], ["archive", "member", "content"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, content binary")
 
@@ -115,3 +141,87 @@ def bundle(spark: SparkSession, path: str, qrel_schema: str = "query_id string,
     if broken or any(repeated_keys(out[t], ["id"]).take(1) for t in ("corpus", "queries")):
         raise ValueError(f"dataset breaks its rules: {[tuple(r) for r in broken]}")
     return out
+
+
+@dataclasses.dataclass(frozen=True)
+class Config:
+    """A run's settings; paths are relative to the file that names them."""
+
+    corpus: str
+    candidates: int = 100
+    context_k: int = 5
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        if self.candidates < 50:
+            raise ValueError("candidates must be 50 or more")
+        if not 1 <= self.context_k <= self.candidates:
+            raise ValueError("context_k must be from 1 to candidates")
+
+
+def config(path: str) -> Config:
+    """A TOML or JSON file as checked settings; unknown names raise."""
+    with open(path, "rb") as f:
+        raw = json.load(f) if path.endswith(".json") else tomllib.load(f)
+    if unknown := set(raw) - {f.name for f in dataclasses.fields(Config)}:
+        raise ValueError(f"unknown settings {sorted(unknown)}")
+    raw["corpus"] = os.path.normpath(os.path.join(os.path.dirname(os.path.abspath(path)), raw["corpus"]))
+    return Config(**raw)
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of every file below a folder, hashed where it is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_problems(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """Files (name, reason) that differ from a manifest of (name, sha256): changed, missing or not listed. Names are relative to the folder."""
+    have = file_hashes(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("_have"))
+    both = manifest.join(have, "name", "full_outer")
+    reason = F.when(F.col("_have").isNull(), "missing").when(F.col("sha256").isNull(), "not listed").when(F.col("sha256") != F.col("_have"), "changed")
+    return both.withColumn("reason", reason).where("reason IS NOT NULL").select("name", "reason")
+
+
+def verified(spark: SparkSession, path: str, manifest: DataFrame) -> dict[str, DataFrame]:
+    """The bundle of a folder all of whose files are as the manifest says."""
+    if bad := manifest_problems(spark, path, manifest).limit(4).collect():
+        raise ValueError(f"files differ from the manifest: {[tuple(r) for r in bad]}")
+    return bundle(spark, path)
+
+
+def jdbc(spark: SparkSession, url: str, name: str, ordinal: str, pages: int, **options: str) -> DataFrame:
+    """A database table in `pages` ranges of a numeric column, each read by a task of its own; the bounds come from the table."""
+    low, high = spark.read.options(**options).jdbc(url, f"(SELECT min({ordinal}) AS low, max({ordinal}) AS high FROM {name}) AS bounds").first()
+    return spark.read.options(**options).jdbc(url, name, column=ordinal, lowerBound=low or 0, upperBound=(high or 0) + 1, numPartitions=pages)
+
+
+def positional(chunks: DataFrame, methods: int = 5) -> DataFrame:
+    """Rankings (query, method, ids) of sealed chunks (first_query, rankings: an array of all methods of each query in turn), keyed by position."""
+    one = chunks.select("first_query", F.posexplode("rankings").alias("at", "ids"))
+    return one.select((F.col("first_query") + F.floor(F.col("at") / methods)).alias("query"), (F.col("at") % methods).alias("method"), "ids")
+
+
+def joined_captions(rows: DataFrame, per: int) -> dict[str, DataFrame]:
+    """corpus, queries and qrels of media rows (id, media, captions): every caption is a query for its media; ones without `per` captions raise when read."""
+    good = F.when(F.size("captions") == per, F.col("captions")).otherwise(F.raise_error(F.concat(F.lit("captions of "), F.col("id"))))
+    one = rows.select("id", F.posexplode(good).alias("at", "text"))
+    query = F.concat("id", F.lit("#"), F.col("at").cast("string"))
+    return {"corpus": rows.select("id", "media"), "queries": one.select(query.alias("id"), "text"), "qrels": one.select(query.alias("query_id"), F.col("id").alias("corpus_id"), F.lit(1.0).alias("relevance"))}
+
+
+def composed(rows: DataFrame) -> dict[str, DataFrame]:
+    """queries, qrels and exclusions of composed retrieval (id, reference, change, targets): the reference never is a result."""
+    return {
+        "queries": rows.select("id", F.col("change").alias("text"), F.create_map(F.lit("reference_id"), F.col("reference")).alias("metadata")),
+        "qrels": rows.select(F.col("id").alias("query_id"), F.explode(F.array_distinct("targets")).alias("corpus_id")).withColumn("relevance", F.lit(1.0)),
+        "exclusions": rows.select(F.col("id").alias("query_id"), F.col("reference").alias("corpus_id")),
+    }
+
+
+def code_pairs(rows: DataFrame) -> dict[str, DataFrame]:
+    """corpus, queries and qrels of documented functions (id, code, docstring): the docstring asks for the code, which has none left; undocumented and unreadable ones stay out."""
+    from rankloom.functions.code import comment_free
+
+    held = rows.select("id", F.trim("docstring").alias("text"), comment_free("code").alias("code")).where("text <> '' AND code IS NOT NULL")
+    return {"corpus": held.select("id", F.col("code").alias("text")), "queries": held.select(F.concat(F.lit("q:"), F.col("id")).alias("id"), "text"), "qrels": held.select(F.concat(F.lit("q:"), F.col("id")).alias("query_id"), F.col("id").alias("corpus_id"), F.lit(1.0).alias("relevance"))}

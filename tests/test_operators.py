@@ -18,29 +18,62 @@ def one(spark, column):
 
 
 def test_turkish_tokens(spark):
-    assert one(spark, X.turkish_tokens(F.lit("IĞDIR İZMİR ışık i"))) == ["ığdır", "izmir", "ışık", "i"]
+    assert one(spark, X.turkish_tokens(F.lit("ILIK SİRKE, sıcak; ipek_3"))) == ["ılık", "sirke", "sıcak", "ipek_3"]
+    assert one(spark, X.turkish_tokens(F.lit("cafe\u0301 I\u0307ZIN"))) == ["café", "izın"]  # composed first
 
 
 def test_plain_answer_and_code_tokens(spark):
-    assert one(spark, X.plain_answer(F.lit("İSTANBUL, IĞDIR!"))) == "istanbul ığdır"
-    assert one(spark, X.code_tokens(F.lit("readFile a_b"))) == ["readfile", "a_b", "read", "file", "a", "b"]
+    assert one(spark, X.plain_answer(F.lit("KIRIK  Şişe; (İki)\u00a0ﬁş!"))) == "kırık şişe iki fiş"
+    assert one(spark, X.plain_answer(F.lit("KIRIK"), False)) == "kirik"
+    assert one(spark, X.code_tokens(F.lit("openStraße x_Y9"))) == ["openstrasse", "x_y9", "open", "strasse", "x", "y9"]
+    assert one(spark, X.code_tokens(F.lit("--"))) == []
+
+
+def test_lexical_forms(spark):
+    texts = ["STRASSE IX", "Straße Ix.", "ΣΟΦΟΣ σοφος", "１２ Ⅻ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select(X.lexical_answer(t, F.lit("de")).alias("de"), X.lexical_answer(t, F.lit("tr_tr")).alias("tr"), X.transcript(t).alias("said"), X.error_tokens(t).alias("words")).collect()
+    assert [r.de for r in got] == ["strasse ix", "strasse ix", "σοφοσ σοφοσ", "12 xii"]
+    assert got[0].tr == "strasse ıx" and got[1].said == "strasse ix." and got[1].words == ["strasse", "ix"]
+    assert one(spark, X.text_key(F.lit(" e\u0301 \n\u2003x "))) == "é x"
 
 
 def test_citations(spark):
-    known = F.array(F.lit("a:c1"), F.lit("b:c2"))
-    assert one(spark, X.strip_citations(F.lit("1453. [a:c1, b:c2]"), known)) == "1453. "
-    assert one(spark, X.strip_citations(F.lit("see [a:c1, x]"), known)) == "see [a:c1, x]"
+    known = F.array(F.lit("n1"), F.lit("n2"))
+    cases = {"so [n1; n2] it [ n2 ] is": "so  it  is", "so [n1, other]": "so [n1, other]", "[n1\n]": "[n1\n]", "[]": "[]"}
+    for text, want in cases.items():
+        assert one(spark, X.strip_citations(F.lit(text), known)) == want
 
 
 def test_unicode_forms(spark):
-    df = spark.createDataFrame([("é", "ﬁ", "Straße"), (None, None, None)], "a string, b string, c string")
-    assert rows(df.select(X.nfc("a").alias("a"), X.nfkc("b").alias("b"), X.casefolded("c").alias("c")), "a", "b", "c") == [("é", "fi", "strasse"), (None, None, None)]
+    df = spark.createDataFrame([("e\u0301", "ﬂ", "Maß"), ("x", "y", "Zé"), (None, None, None)], "a string, b string, c string")
+    assert rows(df.select(X.nfc(F.col("a")).alias("a"), X.nfkc(F.col("b")).alias("b"), X.casefolded(F.col("c")).alias("c")), "a", "b", "c") == [("é", "fl", "mass"), ("x", "y", "zé"), (None, None, None)]
+
+
+def test_unicode_masks_leave_nothing_out():
+    """Every character that a form changes, alone or after a letter, is one that its mask finds."""
+    import re
+    import sys
+    import unicodedata
+
+    for pattern, change, plain in ((X._NFC, lambda c: unicodedata.normalize("NFC", c), lambda c: c), (X._NFKC, lambda c: unicodedata.normalize("NFKC", c), lambda c: c), (X._FOLD, str.casefold, str.lower)):
+        python = re.compile(pattern.replace(r"\p{M}", "".join(re.escape(chr(i)) for i in range(0x110000) if unicodedata.category(chr(i))[0] == "M" and i < 0x10000)))
+        missed = [hex(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and (change(chr(i)) != plain(chr(i)) or change("e" + chr(i)) != plain("e" + chr(i))) and not python.search(chr(i))]
+        assert not missed
 
 
 def test_front_matter_and_cells(spark):
-    text = F.lit('---\ntitle: "A b"\nurl: http://x\n---\nbody')
-    assert one(spark, X.front_matter(text, "title")) == "A b" and one(spark, X.front_matter(text, "none")) is None
-    assert one(spark, X.table_cells(F.lit(r"| a \| b | c<br>d |"))) == ["a | b", "c\nd"]
+    text = F.lit('\ufeff---\r\ntitle: "A \\"b\\" \\u00e9"\nurl: \'it\'\'s\'\nplain: 12 \n---\nfirst\n---\nlast')
+    assert [one(spark, X.front_matter(text, k)) for k in ("title", "url", "plain", "none")] == ['A "b" é', "it's", "12", None]
+    assert one(spark, X.body(text)) == "first\n---\nlast" and one(spark, X.body(F.lit("no head"))) == "no head"
+    assert one(spark, X.table_cells(F.lit(r"| p \| q | r<br>s<br/> ||"))) == ["p | q", "r\ns\n"]
+
+
+def test_labels(spark):
+    good = ["a", "_x", "v1.2:3", "owner/name", "a#b", "x" * 256, "1@2"]
+    bad = ["", "a b", "../x", "a/b/c", "/a", "a..b", "-a", "x" * 257, "a\\b", "é"]
+    assert all(one(spark, X.safe_label(F.lit(v))) for v in good) and not any(one(spark, X.safe_label(F.lit(v))) for v in bad)
 
 
 def test_paths(spark):
@@ -49,10 +82,12 @@ def test_paths(spark):
 
 
 def test_text_fusion_golden(spark):
-    lists = spark.createDataFrame([("q", 0, 1, "a"), ("q", 0, 2, "b"), ("q", 0, 3, "a"), ("q", 1, 1, "b"), ("q", 1, 2, "c")], "query_id string, source int, rank int, doc_id string")
-    got = rows(ranking.fuse_text(lists).orderBy("rank"), "doc_id", "score")
-    assert [g[0] for g in got] == ["b", "a", "c"]
-    assert np.allclose([g[1] for g in got], [1 / 61 + 1 / 62, 1 / 61, 1 / 62])
+    schema = "query_id string, source int, rank int, doc_id string, score double"
+    lists = spark.createDataFrame([("q", 0, 1, "m", 9.0), ("q", 0, 2, "m", 8.0), ("q", 0, 3, "n", 7.0), ("q", 1, 1, "o", 0.3), ("q", 1, 2, "n", 0.2), ("one", 1, 1, "u", 0.9), ("one", 1, 2, "u", 0.8), ("one", 1, 3, "t", 0.7)], schema)
+    got = rows(ranking.fuse_text(lists).where("query_id = 'q'").orderBy("rank"), "doc_id", "score")
+    assert [g[0] for g in got] == ["n", "m", "o"]  # the last two tie: the first source goes before
+    assert np.allclose([g[1] for g in got], [1 / 63 + 1 / 62, 1 / 61, 1 / 61])
+    assert rows(ranking.fuse_text(lists).where("query_id = 'one'").orderBy("rank"), "doc_id", "score") == [("u", 0.9), ("t", 0.7)]
 
 
 def test_channel_fusion_budgets(spark):
@@ -81,13 +116,38 @@ def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(300, 5)), 1)
     docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, v array<double>")
-    got = dense.search(docs.where("doc_id % 7 = 0").withColumnRenamed("doc_id", "query_id"), docs, 9, segment_rows=50, group_rows=10).collect()
+    got = dense.search(docs.where("doc_id % 7 = 0").withColumnRenamed("doc_id", "query_id"), docs, 9, segment_rows=50).collect()
     for q in range(0, 300, 7):
         s = np.round(x @ x[q], 6)
         want = sorted(range(300), key=lambda d: (-s[d], d))[:9]
         assert [r.doc_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
+def test_search_blocks_pools_and_late_interaction(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(90, 6)), 2)
+    docs = spark.createDataFrame([(i, i // 4, v.tolist()) for i, v in enumerate(x)], "doc_id long, s long, v array<double>").repartition(3)
+    asked = docs.where("doc_id < 12").select(F.col("doc_id").alias("query_id"), "v")
+    out = asked.select("query_id", F.explode(F.sequence(F.col("query_id"), F.col("query_id") + 3)).alias("doc_id"))
+    monkeypatch.setattr(dense, "BLOCK_NUMBERS", 60)
+    late = lambda a, b, how: getattr(np.array([max(a[2 * p : 2 * p + 2] @ b[2 * j : 2 * j + 2] for j in range(3)) for p in range(3)]), how)()
+    for kind in ("dot", "sum", "mean"):
+        got = dense.search(asked, docs, 7, out, kind=kind, parts=3).collect()
+        score = (lambda a, b: a @ b) if kind == "dot" else (lambda a, b, kind=kind: late(a, b, kind))
+        for q in range(12):
+            s = {d: round(float(score(x[q], x[d])), 6) for d in range(90) if not q <= d <= q + 3}
+            assert [(r.doc_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == sorted(s.items(), key=lambda e: (-e[1], e[0]))[:7]
+    got = dense.search(asked, docs, 5, out, pool="s").collect()
+    for q in range(12):
+        best = {}
+        for d in range(90):
+            if not q <= d <= q + 3:
+                best[d // 4] = max(best.get(d // 4, -np.inf), round(float(x[q] @ x[d]), 6))
+        assert [r.s for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [a for a, _ in sorted(best.items(), key=lambda e: (-e[1], e[0]))[:5]]
+    with pytest.raises(ValueError):
+        dense.search(asked, docs, 2, asked.crossJoin(spark.range(100)).select("query_id", F.col("id").alias("doc_id")))
+
+
 def test_graded_metrics_golden(spark):
     r = spark.createDataFrame([("q", 1, "b"), ("q", 2, "b"), ("q", 3, "x"), ("q", 4, "a")], "query_id string, rank int, doc_id string")
     rel = spark.createDataFrame([("q", "a", 3.0), ("q", "b", 1.0), ("p", "a", 1.0)], "query_id string, doc_id string, relevance double")
@@ -113,9 +173,21 @@ def test_bm25_positive_only_and_ties(spark):
 
 
 def test_answers(spark):
-    df = spark.createDataFrame([(1, "Osmanlı 1453 yılında", ["1453"]), (2, "", ["x"]), (3, None, [""]), (4, "a b", ["b a", "a b"])], "query_id long, prediction string, references array<string>")
+    df = spark.createDataFrame([(1, "seven grey geese", ["geese"]), (2, "", ["x"]), (3, None, [""]), (4, "a b", ["b a", "a b"]), (5, "x x y", ["x x z z"])], "query_id long, prediction string, references array<string>")
     got = {r.query_id: r for r in metrics.answer_metrics(df, X.plain_answer).collect()}
-    assert got[1].f1 == 0.5 and got[2].nonanswer and got[2].f1 == 0 and got[3].f1 == 1 and got[4].em == 1
+    assert got[1].f1 == 0.5 and got[2].nonanswer and got[2].f1 == 0 and got[3].f1 == 1 and got[4].em == 1 and got[5].f1 == round(4 / 7, 9)
+    two = {r.query_id: r for r in metrics.lexical_metrics(df.where("query_id <> 3").withColumn("language", F.lit("en"))).collect()}
+    assert (two[2].em, two[2].f1, two[2].nonanswer) == (0, 0, True) and two[4].em == 1 and two[1].f1 == 0.5
+    with pytest.raises(Exception, match="must not be empty"):
+        metrics.lexical_metrics(df.withColumn("language", F.lit("en"))).collect()
+
+
+def test_holders(spark):
+    texts = ["zero one two three four", "one  two three", "xone two threex one two three", None, "hm"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "one two three"), (2, "hm"), (3, "e t"), (4, "no such words")], "query_id long, question string")
+    got = lexical.holders(docs, F.col("text"), asked, F.col("question")).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == sorted((q, i) for q, a in ((1, "one two three"), (2, "hm"), (3, "e t"), (4, "no such words")) for i, t in enumerate(texts) if t and a in t)
 
 
 def test_word_errors():
@@ -124,14 +196,19 @@ def test_word_errors():
 
 
 def test_bootstrap_golden(spark):
-    left = spark.createDataFrame([("c1", 0.0), ("c2", 0.0), ("c3", 1.0)], "query_id string, value double")
-    right = spark.createDataFrame([("c1", 1.0), ("c2", 1.0), ("c3", 0.0)], "query_id string, value double")
+    left = spark.createDataFrame([("k", 0.25), ("l", 0.5), ("m", 0.5), ("n", 1.0)], "query_id string, value double")
+    right = spark.createDataFrame([("k", 0.75), ("l", 1.0), ("m", 0.5), ("n", 0.25)], "query_id string, value double")
     d = stats.paired(left, right)
     s = stats.paired_summary(d).first()
-    assert (s.wins, s.losses, s.ties, s.mean_difference) == (2, 1, 0, round(1 / 3, 6))
-    groups = d.withColumn("cluster", F.when(F.col("query_id") == "c3", "b").otherwise("a"))
+    assert (s.wins, s.losses, s.ties, s.mean_difference) == (2, 1, 1, 0.0625)
+    groups = d.withColumn("cluster", F.when(F.col("query_id") < "m", "up").otherwise("down"))
     b = stats.bootstrap(stats.cluster_totals(groups, "cluster"), samples=500, seed=7).first()
-    assert (b.low, b.high, b.clusters) == (-1, 1, 2) and np.isclose(b.mean, 1 / 3)
+    # draws are both up, both down, or one of each: 0.5, -0.375 or the mean
+    assert (b.low, b.high, b.clusters) == (-0.375, 0.5, 2) and np.isclose(b.mean, 0.0625)
+    same = stats.paired(left, right, frozen=left.select("query_id"))
+    assert same.count() == 4
+    with pytest.raises(Exception, match="query set"):
+        stats.paired(left, right.where("query_id <> 'k'"), frozen=left.select("query_id")).collect()
 
 
 def test_dominance_boundary(spark):
@@ -168,8 +245,8 @@ def test_audits(spark):
     assert sorted(rows(audit.tiling(seg, size), "doc_id", "tiles")) == [(1, True), (2, False), (3, True), (4, False)]
     v = spark.createDataFrame([(1, "a", {"a": 0.7, "b": 0.3}), (2, "a", {"a": 0.3, "b": 0.7}), (3, "x", {"a": 1.0}), (4, "a", {"a": 0.5, "b": 0.3}), (5, "a", {"a": 1.5})], "task_id long, choice string, probabilities map<string,double>")
     assert sorted(rows(audit.verdict_problems(v, ["a", "b"]), "task_id", "reason")) == [(1, None), (2, "choice"), (3, "label"), (4, "sum"), (5, "probability")]
-    words = spark.createDataFrame([(1, i, w) for i, w in enumerate("a a b b b a".split())], "doc_id long, pos int, word string")
-    assert rows(audit.longest_runs(words), "longest_run") == [(3,)]
+    runs = [audit.longest_run(F.array(*map(F.lit, t.split())).cast("array<string>")) for t in ("a a b b b a", "", "x", "q q")]
+    assert [one(spark, r) for r in runs] == [3, 0, 1, 2]
 
 
 def test_registry(spark):
@@ -177,20 +254,44 @@ def test_registry(spark):
 
 
 def test_rerank_ties(spark):
-    lists = spark.createDataFrame([("q", "b", 1), ("q", "a", 2), ("q", "c", 3)], "query_id string, doc_id string, rank int")
-    scores = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 1.0), ("q", "c", 2.0)], "query_id string, doc_id string, new_score double")
-    assert rows(ranking.rerank(lists, scores).orderBy("rank"), "doc_id") == [("c",), ("a",), ("b",)]
-    assert rows(ranking.rerank(lists, scores, "rank").orderBy("rank"), "doc_id") == [("c",), ("b",), ("a",)]
+    lists = spark.createDataFrame([("q", "s", 1), ("q", "r", 2), ("q", "t", 3)], "query_id string, doc_id string, rank int")
+    scores = spark.createDataFrame([("q", "r", 0.5), ("q", "s", 0.5), ("q", "t", 0.75)], "query_id string, doc_id string, new_score double")
+    assert rows(ranking.rerank(lists, scores).orderBy("rank"), "doc_id") == [("t",), ("r",), ("s",)]
+    assert rows(ranking.rerank(lists, scores, "rank").orderBy("rank"), "doc_id") == [("t",), ("s",), ("r",)]
+    assert rows(ranking.rerank(lists, scores, threshold=0.6), "doc_id") == [("t",)]
+    for bad in (scores.where("doc_id <> 'r'"), scores.withColumn("new_score", F.lit(float("nan")))):
+        with pytest.raises(Exception, match="no score for q"):
+            ranking.rerank(lists, bad).collect()
+    cells = lists.select(F.lit("c").alias("cell"), "query_id", "doc_id")
+    with pytest.raises(Exception, match="no score for q"):
+        ranking.scatter(cells, scores.where("doc_id <> 'r'").withColumnRenamed("new_score", "score")).collect()
+
+
+def test_every_cell(spark):
+    """All sets of channels and budgets in one pass are the same as one after the other."""
+    data = [(q, c, i + 1, d, 1.0 - i / 10) for q in "xy" for c, ds in (("B", "abcd"), ("G", "abde"), ("E", "baef")) for i, d in enumerate(ds)]
+    lists = spark.createDataFrame(data, "query_id string, channel string, rank int, doc_id string, score double")
+    got = ranking.every_cell(lists, ["B", "G", "E"], 4, [2, 3])
+    for chosen in ranking.subsets(["B", "G", "E"]):
+        for mode in ("per_channel", "total"):
+            want = rows(ranking.fuse_channels(lists, chosen, mode, 4).where("rank <= 3").orderBy("query_id", "rank"), "query_id", "doc_id", "rank")
+            assert rows(got.where(F.col("cell") == f"{''.join(chosen)}-{mode}-k3").orderBy("query_id", "rank"), "query_id", "doc_id", "rank") == want
+    assert got.select("cell").distinct().count() == 28 and got.where("cell LIKE '%-k2'").agg(F.max("rank")).first()[0] == 2
 
 
 def test_code_columns(spark):
     from rankloom.functions import code
 
-    source = 'def f(x):\n    """doc"""\n    return x  # why\n\ns = "kept # not a comment"\n'
-    assert code.without_comments(source) == 'def f(x):\n\n    return x\n\ns = "kept # not a comment"\n'
-    assert code.without_comments("def (") == "def ("
-    text = "a b c\n" * 30 + "x" * 50
-    parts = code.cut(text, 40, 5, lambda s: len(s.split()))
-    assert "".join(text[a:b] for a, b in parts) == text and all(len(text[a:b].split()) <= 5 for a, b in parts)
+    source = 'def f(x):\n    """what it does"""\n    y = "# kept"  # why\n    # alone\n    return y\n'
+    assert code.without_comments(source) == 'def f(x):\n    pass\n    y = "# kept"\n    return y'
+    assert code.without_comments("def g(): 'only this'") == "def g(): pass" and code.without_comments("x = (") is None
+    compile(code.without_comments('class A:\n    "é"\n    def m(self):\n        "d"; return 1\n'), "s", "exec")
+    count = lambda s: len(s.split())
+    text = "a b c\r\n" * 30 + "x" * 50
+    parts = code.cut(text, 40, 5, count)
+    assert "".join(text[a:b] for a, b in parts) == text and all(count(text[a:b]) <= 5 for a, b in parts)
+    assert code.cut("one two\nthree " * 9, 20, 100, count, hard=False) == [(0, 126)] and len(code.cut("one two\nthree " * 9, 20, 100, count)) > 1
+    # halved ranges go back to a line end: 32 characters of four lines have 8 words, 16 have two lines
+    assert code.cut("aa bb c\n" * 8, 32, 7, count)[0] == (0, 16)
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     assert {r.doc_id for r in code.segments(df).collect()} == {1}
