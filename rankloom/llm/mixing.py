@@ -8,7 +8,7 @@ Rates r minimise the squared distance of the totals sum(r * tokens * p_k) from t
 targets, subject to r >= 0 (or >= 1 for documents likeliest of a domain that is to be kept whole; and r <= `most` where it is given), by
 accelerated projected gradient steps, scaled document by document with the inverse masses of its domains, a metric in which the projection is
 still a plain clip. The step length is safe (the inverse of a bound on the largest curvature); momentum starts anew when the error rises. Steps go
-on until the error is `close` to nothing or hasn't fallen by a part of `slow` in `patience` steps. A document's rate depends on its posteriors and the steps so far, so every iteration is one
+on until the totals are `close` to the targets (a thousandth, as the root of squares) or the error hasn't fallen by a part of `slow` in `patience` steps. A document's rate depends on its posteriors and the steps so far, so every iteration is one
 aggregation of a narrow table, of which the driver gets as many numbers as domains.
 
 The classifier is fitted on at most `sample_rows` labelled rows a domain (of those that are among the documents, the ones with the smallest hash of
@@ -33,7 +33,9 @@ from rankloom.llm.shared import beside, release, settle
 
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
-_SPLIT = r"[\s.,;:|]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BREAKS = ".,;:|\t\n\x0b\f\r"
+_PLAIN = "abcdefghijklmnopqrstuvwxyz .,\n"
 _P = [f"p_{d}" for d in DOMAINS]
 
 
@@ -51,32 +53,42 @@ def domains(labels: DataFrame) -> DataFrame:
     return seen.select("doc_id", F.when(F.col("_t") == 1, "toxic").when(F.col("_q") == 1, "good").otherwise("poor").alias("domain"))
 
 
-def _marks(text: Column, words: Column, distinct: Column) -> Column:
+def _marks(text: Column, share_repeated: Column) -> Column:
     """Marks of a text's shape, as words that no text has: shares in steps on a log scale."""
     size = F.greatest(F.length(text), F.lit(1))
-    share = lambda part: F.floor(F.log2(F.least(F.lit(1.0), part) + 1 / 1024) * 1.5).cast("string")
-    less = lambda letters: (F.length(text) - F.length(F.translate(text, letters, ""))) / size
-    return F.array(
-        F.concat(F.lit("\x01upper"), share(less("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))),
-        F.concat(F.lit("\x01signs"), share(less("#$%&*!|"))),
-        F.concat(F.lit("\x01bars"), share(less("|"))),
-        F.concat(F.lit("\x01repeat"), share(1 - F.size(distinct) / F.greatest(F.size(words), F.lit(1)))),
-    )
+    rest = F.translate(text, _PLAIN, "")  # one pass over the text; the marks are read from what is left
+    step = lambda part: F.floor(F.log2(F.least(F.lit(1.0), part) + 1 / 1024) * 1.5).cast("string")
+    held = lambda letters: (F.length(rest) - F.length(F.translate(rest, letters, ""))) / size
+    return F.array(F.concat(F.lit("\x01upper"), step(held(_UPPER))), F.concat(F.lit("\x01signs"), step(held("#$%&*!|"))), F.concat(F.lit("\x01bars"), step(held("|"))), F.concat(F.lit("\x01repeat"), step(share_repeated)))
 
 
-def _words(text: Column) -> tuple[Column, Column]:
-    """The number of a text's words, and its distinct lower-cased words with its shape marks."""
-    words = F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
-    distinct = F.array_distinct(words)
-    return F.size(words).cast("long"), F.concat(distinct, _marks(text, words, distinct))
+def _words(text: Column) -> Column:
+    """A text's words, A-Z lower-cased."""
+    return F.filter(F.split(F.translate(text, _UPPER + _BREAKS, _UPPER.lower() + " " * len(_BREAKS)), " "), lambda w: w != "")
 
 
-def _logits(buckets: Column, model: Model) -> list[Column]:
-    def total(w: list[float]) -> Column:
-        table = F.split(F.lit(",".join(f"{x:g}" for x in w)), ",").cast("array<float>")  # folded to one constant
-        return F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(table, b))
+def _buckets(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (with _text) with n_tokens and _b: the buckets of distinct words and shape marks."""
+    at = lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")
+    out = docs.withColumn("_w", _words(F.col("_text"))).withColumn("n_tokens", F.size("_w").cast("long"))
+    out = out.withColumn("_d", F.array_distinct(F.transform("_w", at)))
+    repeated = 1 - F.size("_d") / F.greatest(F.col("n_tokens"), F.lit(1))
+    return out.withColumn("_b", F.array_distinct(F.concat("_d", F.transform(_marks(F.col("_text"), repeated), at)))).drop("_w", "_d", "_text")
 
-    return [F.lit(b) + total(w) if w else F.lit(b) for b, w in zip(model.bias, [None, *model.weights])]
+
+def _total(buckets: Column, model: Model) -> Column:
+    """The sum of a document's weights; those of two domains, in thousandths, are the halves of one number."""
+    if not model.weights[0]:
+        return F.lit(0).cast("long")
+    whole = [round(1000 * a) * (1 << 32) + round(1000 * b) for a, b in zip(*model.weights)]
+    table = F.split(F.lit(",".join(map(str, whole))), ",").cast("array<bigint>")  # folded to one constant
+    return F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
+
+
+def _logits(total: Column, model: Model) -> list[Column]:
+    low = F.pmod(total + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    high = F.shiftright(total - low, 32)
+    return [F.lit(model.bias[0]), *[F.lit(b) + x / 1000.0 for b, x in zip(model.bias[1:], (high, low))]]
 
 
 def _posteriors(logits: list[Column]) -> list[Column]:
@@ -85,10 +97,6 @@ def _posteriors(logits: list[Column]) -> list[Column]:
     return [t / sum(terms[1:], terms[0]) for t in terms]
 
 
-def _buckets(words: Column, buckets: int) -> Column:
-    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
-
-
 def _minimise(f, x: np.ndarray, rounds: int = 80, memory: int = 10) -> np.ndarray:
     """A quasi-Newton descent (limited memory, backtracking) of f, which gives value and gradient."""
     value, slope = f(x)
@@ -146,7 +154,7 @@ def _train(rows: list[tuple[int, list[int]]], share: np.ndarray, buckets: int, s
     start[:, -1] = np.log(share)
     x = _minimise(loss, start)
     x -= x[:1]
-    return Model(x[:, -1].tolist(), [np.round(w * trust, 4).tolist() for w in x[1:, :-1]])
+    return Model(x[:, -1].tolist(), [np.clip(w * trust, -30, 30).round(3).tolist() for w in x[1:, :-1]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1500, buckets: int = 1 << 16, steady: float = 25.0, ridge: float = 3e-4) -> Model:
@@ -161,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1500, buckets:
     for d in DOMAINS:
         part = named.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         ids = part if ids is None else ids.unionByName(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "domain", _buckets(_words(F.coalesce("text", F.lit("")))[1], buckets).alias("b"))
-    rows = sorted((r.doc_id, DOMAINS.index(r.domain), sorted(r.b)) for r in sample.collect())  # an order of their own, so that equal input gives an equal model
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(ids), "doc_id")
+    rows = sorted((r.doc_id, DOMAINS.index(r.domain), sorted(r["_b"])) for r in _buckets(sample, buckets).collect())  # an order of their own, so that equal input gives an equal model
     release(named)
     return _train([(d, b) for _, d, b in rows], prior, buckets, steady, ridge)
 
@@ -181,7 +189,7 @@ def _after(state: Column, steps: list[list[float]], most: float | None) -> Colum
     return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), state, step)
 
 
-def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None, *, rounds: int = 200, close: float = 1e-5, slow: float = 0.01, patience: int = 6, deep: int = 12, most: float | None = None) -> tuple[DataFrame, dict[str, float]]:
+def rates(known: DataFrame, weights: dict[str, float], keep: str | None = None, *, rounds: int = 200, close: float = 1e-3, slow: float = 0.02, patience: int = 5, deep: int = 12, most: float | None = None) -> tuple[DataFrame, dict[str, float]]:
     """known (a written table of n_tokens, posteriors and what else is there) with rates, and what is left: expected less targeted token
     totals as shares of the target.
 
@@ -239,10 +247,10 @@ def mix(docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None
     model = fit(docs, labels, **options)
     given = [c for c in docs.columns if with_text or c != "text"]
     inner = [f"_g{i}" for i in range(len(given))]
-    count, distinct = _words(F.coalesce("text", F.lit("")))
-    cells = len(model.weights[0])
-    known = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(given, inner)], count.alias("n_tokens"), *([_buckets(distinct, cells).alias("_b")] if cells else []))
-    known = known.select(*inner, "n_tokens", *[x.alias(f"_z{i}") for i, x in enumerate(_logits(F.col("_b"), model))])
+    known = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(given, inner)], F.coalesce("text", F.lit("")).alias("_text"))
+    known = _buckets(known, len(model.weights[0]) or 1)
+    known = known.select(*inner, "n_tokens", _total(F.col("_b"), model).alias("_t"))
+    known = known.select(*inner, "n_tokens", *[x.alias(f"_z{i}") for i, x in enumerate(_logits(F.col("_t"), model))])
     known = known.select(*inner, "n_tokens", *[x.alias(p) for p, x in zip(_P, _posteriors([F.col(f"_z{i}") for i in range(len(DOMAINS))]))])
     known = settle(known)  # the texts are read once; every iteration reads a few numbers a row
     out, left = rates(known, weights or WEIGHTS, keep, most=most)
