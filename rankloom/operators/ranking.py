@@ -110,7 +110,7 @@ def every_cell(rankings: DataFrame, channels: list[str], budget: int, cuts: list
 
 def score_kind(method: Column) -> Column:
     """What a method's scores are."""
-    return F.when(method == "bm25", "bm25").when(method.startswith("hybrid"), "rrf").when(method.endswith("_reranked"), "p_relevant").otherwise("cosine_similarity")
+    return F.when(method.endswith("_reranked"), "p_relevant").when(method == "bm25", "bm25").when(method.startswith("hybrid"), "rrf").otherwise("cosine_similarity")
 
 
 def contract(ranking: DataFrame, gallery: DataFrame, exclusions: DataFrame, k: int) -> DataFrame:

@@ -295,3 +295,62 @@ def test_code_columns(spark):
     assert code.cut("aa bb c\n" * 8, 32, 7, count)[0] == (0, 16)
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     assert {r.doc_id for r in code.segments(df).collect()} == {1}
+
+
+def test_models_and_bound_vectors(spark):
+    from rankloom.operators import models
+    from rankloom.plans.extra_queries import LetterEncoder, SizeScorer
+
+    class Broken(LetterEncoder):
+        def encode(self, texts, role):
+            return super().encode(texts, role)[:, :3]
+
+    docs = spark.createDataFrame([(1, "aae"), (2, None), (3, "io")], "doc_id long, text string")
+    assert {(r.doc_id, tuple(r.v)) for r in models.encoded(docs, "doc_id", "text", LetterEncoder, "document").collect()} == {(1, (2, 1, 0, 0)), (2, (0, 0, 0, 0)), (3, (0, 0, 1, 1))}
+    with pytest.raises(Exception, match="letters gave"):
+        models.encoded(docs, "doc_id", "text", Broken, "document").collect()
+    pairs = spark.createDataFrame([(1, 1, "ab", "abc"), (1, 2, "ab", "abc"), (2, 1, "abcd", "x")], "query_id long, doc_id long, query string, text string")
+    key = pairs.where("query_id = 2").select(F.sha2(F.to_json(F.struct("query", "text")), 256).alias("key"), F.lit(9.0).alias("new_score"))
+    assert sorted(rows(models.pointwise(pairs, SizeScorer, key), "query_id", "doc_id", "new_score")) == [(1, 1, -1.0), (1, 2, -1.0), (2, 1, 9.0)]
+    with pytest.raises(Exception, match="2 candidates"):
+        models.listwise(pairs.withColumn("rank", F.col("doc_id")), SizeScorer, most=1).collect()
+    got = models.direct(lambda d, q: d.join(q).select("query_id", "doc_id", F.length("text").cast("double").alias("score")), docs.fillna(""), pairs.select("query_id").distinct(), 1, pairs.where("query_id = 1").select("query_id", "doc_id"))
+    assert sorted(rows(got, "query_id", "doc_id")) == [(1, 3), (2, 1)]
+    items = spark.createDataFrame([(1,), (2,)], "id long")
+    vectors = spark.createDataFrame([(1, [0.5], "d"), (2, [1.0], "d")], "id long, v array<double>, dataset string")
+    assert models.bound(vectors, items, "d").count() == 2
+    for bad in (vectors.where("id = 1"), vectors.withColumn("id", F.col("id") + 1)):
+        with pytest.raises(Exception, match="this dataset"):
+            models.bound(bad, items, "d").collect()
+    with pytest.raises(Exception, match="this dataset"):
+        models.bound(vectors, items, "e").collect()
+    states = spark.createDataFrame([(1, 5, [1.0, 2.0]), (1, 5, [3.0, 0.0]), (1, 6, [-9.0, 0.0]), (1, 0, [9.0, 9.0])], "id long, token long, h array<double>")
+    assert rows(models.projected(states, [1.0, 0.5], -1.0, [0, 1, 2, 3]), "token", "weight") == [(5, 2.0)]
+
+
+def test_source_links_and_contrasts(spark):
+    from rankloom.operators import analysis
+
+    queries = spark.createDataFrame([(1, "g", 7), (2, "g", 8), (3, "h", 7)], "query_id long, group_id string, reference_id long")
+    corpus = spark.createDataFrame([(10, "g", 1), (11, "g", 1), (12, "h", None)], "doc_id long, group_id string, source_id long")
+    qrels = spark.createDataFrame([(1, 10, 1.0), (2, 11, 1.0), (3, 12, 2.0)], "query_id long, doc_id long, relevance double")
+    group = lambda s: dict(rows(analysis.source_groups(analysis.source_links(s, queries, corpus, qrels)), "query_id", "group"))
+    assert group("media") == {1: 1, 2: 2, 3: 3} and group("transcript") == {1: 1, 2: 1, 3: 3} and group("reference_and_target") == {1: 1, 2: 2, 3: 1}
+    with pytest.raises(Exception, match="no document of query 3"):
+        group("document")
+    with pytest.raises(Exception, match="no positive of query 3"):
+        analysis.source_links("media", queries, corpus, qrels.where("query_id < 3")).collect()
+    with pytest.raises(ValueError):
+        analysis.source_links("none", queries, corpus, qrels)
+    links = analysis.source_links("media", queries, corpus, qrels)
+    assert analysis.group_links(links).first().asDict() == {"queries": 3, "sources": 3, "associations": 3}
+    values = spark.createDataFrame([("code__b__none", q, "p", q / 4) for q in (1, 2, 3)] + [("code__g__none", q, "p", 0.5) for q in (1, 2, 3)], "variant string, query_id long, metric string, value double")
+    d = analysis.contrasts(values, "code", queries)
+    assert sorted(rows(d, "contrast", "query_id", "difference")) == [("b-g", 1, 0.25), ("b-g", 2, 0.0), ("b-g", 3, -0.25)]
+    s = analysis.contrast_summary(d, queries.select("query_id", F.col("query_id").alias("group")), samples=100).first()
+    assert (s.n, s.wins, s.losses, s.ties, s.clusters, s.eligible) == (3, 1, 1, 1, 3, True) and s.low < 0 < s.high
+    alone = analysis.contrast_summary(d, queries.select("query_id", F.lit(1).alias("group"))).first()
+    assert not alone.eligible and alone.low is None
+    with pytest.raises(Exception, match="frozen query set"):
+        analysis.contrasts(values, "code", queries.where("query_id < 3")).collect()
+    assert analysis.contrasts(values, "video", queries).count() == 0
