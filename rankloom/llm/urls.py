@@ -11,15 +11,29 @@ Null page_id: kept. Equal terms in both lists: strict wins. Other columns are ne
 
 from __future__ import annotations
 
+import os
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: host/path rules with their verdicts.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: Terms of which one is enough, and terms with weights that only reject together.
-STRICT = ["porn", "porno", "xxx", "hentai", "camgirls", "escorts", "warez"]
-SOFT = {"adult": 1.0, "sex": 1.0, "sexy": 1.0, "nude": 1.0, "casino": 1.0, "poker": 1.0, "betting": 1.0, "viagra": 1.0, "torrent": 0.5, "crack": 0.5, "dating": 0.5, "free": 0.5, "hot": 0.5, "feed": 0.25}
+
+
+def _terms() -> tuple[list[str], dict[str, float]]:
+    """Terms of which one is enough, and terms with weights that only reject together, of the file beside this one."""
+    strict, soft = [], {}
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "url_terms.txt"), encoding="utf-8") as f:
+        for kind, term in (line.split() for line in f if not line.startswith("#")):
+            if kind == "strict":
+                strict.append(term)
+            else:
+                soft[term] = float(kind)
+    return strict, soft
+
+
+STRICT, SOFT = _terms()
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_terms int, soft_terms int, soft_weight double"
 _TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
