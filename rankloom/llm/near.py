@@ -143,7 +143,7 @@ def _folded(parities: list[bytes]) -> np.ndarray:
 class Cells:
     """The cells that signatures fall into and the ranges that cells are merged by."""
 
-    def __init__(self, keys: int, block_keys: int = 2 << 20) -> None:
+    def __init__(self, keys: int, block_keys: int = 1 << 20) -> None:
         """For about `keys` signatures in all: 65,536 cells for each, so that hardly any two meet by chance; `block_keys` signatures to a range, or
         fewer for 64 ranges."""
         self.bits = min(62, max(16, int(np.ceil(np.log2(max(1, keys) * 65536)))))
@@ -299,7 +299,7 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, sets: DataFrame, percent: int, part_rows: int = 50_000, block: int = 2048) -> DataFrame:
+def _across(rows: DataFrame, sets: DataFrame, percent: int, part_rows: int = 25_000, block: int = 2048) -> DataFrame:
     """Pairs of nodes of one signature but different components that the sizes and parities can't tell apart.
 
     Rows: sign, node, root, n. Signatures are dealt out over parts of about `part_rows` rows; one of more than `block` rows is cut into blocks,
@@ -417,7 +417,7 @@ def _keys(doc_id: str = "doc_id", text: str = "text") -> list:
     return [F.xxhash64(doc_id, text), F.xxhash64(F.lit("row"), text, doc_id)]
 
 
-def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, chunk_bytes: int = 8 << 20, block_keys: int = 2 << 20, rounds: int = 2, links_too: bool = True, keys_too: bool = False) -> DataFrame:
+def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, chunk_bytes: int = 4 << 20, block_keys: int = 1 << 20, rounds: int = 2, links_too: bool = True, keys_too: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to), n_links where asked for (how many
     other rows have an equal set or one similar enough), and carried columns; where asked for, is_first (one row of each component: the one
     of smallest id) and the row's keys."""
