@@ -9,8 +9,8 @@ all frames side by side. A shot begins where the histogram difference to the fra
 Memory: files are handled in pieces of a few MB, one file at least. Nothing is shuffled.
 
 Defined cases. Null text: the empty text, whose payload is 192 spaces: one frame, one clip. Null doc_id and repeated rows: kept;
-equal texts give equal files. Empty table: no rows. Very long texts: one file, whole. A null or malformed file in clips(): null
-gives no clips, malformed raises ValueError. Other columns are never read.
+equal texts give equal files. Empty table: no rows. Very long texts: one file, whole, decoded in ranges of frames. A null file in clips() gives no
+rows, a malformed one, or one without a frame rate, one row with the error. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ SIDE, PARTS, FRAME, FPS = 8, 3, 192, 25
 CODE_BITS = [2, 3, 3, 3, 3, 3, 4, 5, 6]
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, n_shots int"
-CLIPS = "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double, difference double"
+CLIPS = "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double, difference double, error string"
 
 
 def _codes(bits: list[int]) -> list[int]:
@@ -230,8 +230,8 @@ def decode_frames(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndar
         lead, took, value = _picture(data[at[i] : at[i] + size[i]].tobytes())
         same = (size[todo] > lead) & (data[np.minimum(at[todo][:, None] + np.arange(lead), len(data) - 1)] == data[at[i] : at[i] + lead]).all(1)
         mine, todo = todo[same], todo[~same]
-        for a in range(0, len(mine), 1 << 15):
-            part = mine[a : a + (1 << 15)]
+        for a in range(0, len(mine), 1 << 13):
+            part = mine[a : a + (1 << 13)]
             out[part] = _decode(data, at[part] + lead, size[part] - lead - 2, took, value)
     return out
 
@@ -320,7 +320,8 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame, **options) -> DataFrame:
-    """Timed clip rows of AVI files in columns doc_id and media; options: those of shots()."""
+    """Timed clip rows of AVI files in columns doc_id and media; options: those of shots(). A file that can't be read gives one row, with the error and
+    no clip."""
 
     def run(batches):
         for batch in batches:
@@ -328,9 +329,15 @@ def clips(media: DataFrame, **options) -> DataFrame:
             for doc, file in zip(ids, batch.column("media").to_pylist()):
                 if file is None:
                     continue
-                samples, frames, fps = _read([file])
-                rows += [(doc, k, a, b, a / fps[0], (b + 1) / fps[0], float(d)) for k, (a, b, d) in enumerate(shots(samples, frames, **options)[0])]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+                try:
+                    samples, frames, fps = _read([file])
+                    if not fps[0]:
+                        raise ValueError("no frame rate")
+                except (ValueError, struct.error, IndexError) as e:  # of what the file holds; it has no clips
+                    rows.append((doc, None, None, None, None, None, None, str(e)))
+                    continue
+                rows += [(doc, k, a, b, a / fps[0], (b + 1) / fps[0], float(d), None) for k, (a, b, d) in enumerate(shots(samples, frames, **options)[0])]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], [x.split()[0] for x in CLIPS.split(", ")])
 
     return media.select("doc_id", "media").mapInArrow(run, CLIPS)

@@ -111,6 +111,11 @@ def test_op1_frames_index_and_shots(spark):
     raw[4:8] = (len(raw) - 8).to_bytes(4, "little")
     assert (media._read([bytes(raw)])[0] == clip).all()  # without an index
     rows = media.clips(spark.createDataFrame([(1, file), (2, None)], "doc_id long, media binary")).collect()
+    headless = file[:12] + file[12 + 8 + int.from_bytes(file[16:20], "little") :]
+    headless = headless[:4] + (len(headless) - 8).to_bytes(4, "little") + headless[8:]
+    bad = [b"", b"RIFF", file[: len(file) // 2], b"RIFF" + bytes(60), headless, file[:400] + bytes(64) + file[464:]]
+    broken = media.clips(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([*bad, file])], "doc_id long, media binary")).collect()
+    assert [r.doc_id for r in broken if r.error] == list(range(len(bad))) and all(r.clip is None for r in broken if r.error) and sum(r.error is None for r in broken) == 3
     assert [(r.first_frame, r.last_frame) for r in rows] == [(0, 11), (12, 23), (24, 35)] and rows[1].start_s == 12 / 25
     with pytest.raises(ValueError):
         media.parse(b"RIFF1234WAVE")
