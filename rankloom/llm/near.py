@@ -11,7 +11,8 @@ so mostly gone before any two sets are compared.
 Texts are read once for this. Every task cuts its rows into chunks of bounded size and, chunk by chunk, writes the set's size and 128-bit hash of
 each row, and its new sets' signatures, as messages to ranges of signature cells (gap-coded cells and row numbers, about five bytes a
 signature). A range gives back the rows of the cells that several have. A cell that many rows of one chunk have goes out as rows of its
-own, with one mark in the message, so that no range grows with a hot signature. Equal sets are one node, the row of smallest number.
+own, with one mark in the message, so that no range grows with a hot signature. Where chunks times ranges would be more than `most_messages`, signatures
+go out as rows too, about four times the bytes but in proportion to the input at any size. Equal sets are one node, the row of smallest number.
 
 In a few rounds each node is compared exactly with one neighbour of another
 component: of the centres of its signatures (first the member that shares most with others, then random ones), the one that most of them share; the links found give components. Then, signature by
@@ -143,11 +144,12 @@ def _folded(parities: list[bytes]) -> np.ndarray:
 class Cells:
     """The cells that signatures fall into and the ranges that cells are merged by."""
 
-    def __init__(self, keys: int, block_keys: int = 1 << 20) -> None:
+    def __init__(self, keys: int, block_keys: int = 1 << 20, chunks: int = 0, most_messages: int = 1 << 32) -> None:
         """For about `keys` signatures in all: 65,536 cells for each, so that hardly any two meet by chance; `block_keys` signatures to a range, or
         fewer for 64 ranges."""
         self.bits = min(62, max(16, int(np.ceil(np.log2(max(1, keys) * 65536)))))
         self.blocks = max(1, min(64, keys >> 14), -(-keys // block_keys))
+        self.rows = chunks * self.blocks > most_messages
 
     def edge(self, block):
         """The first cell of a range."""
@@ -163,10 +165,12 @@ class _Chunk:
         self.refs: list[np.ndarray] = []
 
     def messages(self, cells: Cells) -> list[tuple[int, int, bytes | None, bytes]]:
-        """(block, cell, cells, refs); block -1 for the rows of a hot cell."""
+        """(block, cell, cells, refs); block -1 for the rows of a hot cell, or, without a cell, of many."""
         if not self.cells:
             return []
         cell, ref = np.concatenate(self.cells), np.concatenate(self.refs)
+        if cells.rows:
+            return [(-1, None, cell[a : a + 65536].tobytes(), (self.base + ref[a : a + 65536]).tobytes()) for a in range(0, len(cell), 65536)]
         order = np.lexsort((ref, cell))
         cell, ref = cell[order], ref[order]
         new = np.ones(len(cell), bool)  # a set with two signatures in one cell is there once
@@ -259,12 +263,13 @@ def _shared_cells(sent: DataFrame, cells: Cells) -> DataFrame:
 
     def split(batches):
         for batch in batches:
-            refs = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("refs")]
-            cell = np.repeat(batch.column("cell").to_numpy(), [len(x) for x in refs])
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate(refs) if refs else np.zeros(0, np.int64))], ["sign", "node"])
+            for cell, many, raw in zip(batch.column("cell").to_pylist(), batch.column("cells"), batch.column("refs")):
+                refs = np.frombuffer(raw.as_buffer(), np.int64)
+                of = np.frombuffer(many.as_buffer(), np.int64) if cell is None else np.full(len(refs), cell)
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(refs)], ["sign", "node"])
 
     found = sent.where("block >= 0").select("block", "cells", "refs").groupBy("block").applyInArrow(merge, "sign long, node long")
-    return found.unionByName(sent.where("block = -1").select("cell", "refs").mapInArrow(split, "sign long, node long"))
+    return found.unionByName(sent.where("block = -1").select("cell", "cells", "refs").mapInArrow(split, "sign long, node long"))
 
 
 def _sets_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -417,7 +422,7 @@ def _keys(doc_id: str = "doc_id", text: str = "text") -> list:
     return [F.xxhash64(doc_id, text), F.xxhash64(F.lit("row"), text, doc_id)]
 
 
-def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, chunk_bytes: int = 4 << 20, block_keys: int = 1 << 20, rounds: int = 2, links_too: bool = True, keys_too: bool = False) -> DataFrame:
+def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str] | None = None, chunk_bytes: int = 4 << 20, block_keys: int = 1 << 20, most_messages: int = 1 << 32, rounds: int = 2, links_too: bool = True, keys_too: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to), n_links where asked for (how many
     other rows have an equal set or one similar enough), and carried columns; where asked for, is_first (one row of each component: the one
     of smallest id) and the row's keys."""
@@ -425,13 +430,15 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str]
     inner = {c: f"_c{i}" for i, c in enumerate(carry)}
     docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in inner.items()], *[x.alias(f"k{i + 1}") for i, x in enumerate(_keys())])
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = Cells(total // 7, block_keys)
+    cells = Cells(total // 7, block_keys, -(-total // chunk_bytes), most_messages)
     sent = settle(_sent(docs, k, bands, cells, list(inner.values()), chunk_bytes))
     rows = settle(sent.where("block IS NULL").drop("block", "cell", "cells", "refs"))
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "ref")
     nodes = settle(rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("ref").alias("node"), F.max("n").alias("n"), F.max("spare0").alias("spare0"), F.max("spare1").alias("spare1"), F.count("*").alias("copies"), F.min(first).alias("first"), F.min(F.struct("ref", "k1", "k2")).alias("key")))
     # rows that are not their set's node go, then cells that one node alone has
-    found = settle(_shared_cells(sent, cells).join(nodes.select("node", "n", "spare0", "spare1"), "node"))
+    shared = _shared_cells(sent, cells)
+    shared = shared.distinct() if cells.rows else shared  # a set may have two signatures in one cell
+    found = settle(shared.join(nodes.select("node", "n", "spare0", "spare1"), "node"))
     release(sent)
     counted = found.join(found.groupBy("sign").agg(F.count("*").alias("c")).where("c > 1"), "sign")
     # every node leaves out its commonest signatures of a band, as many as it may; c - 1 over its size says how many others it shares how much with, so

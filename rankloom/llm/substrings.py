@@ -135,14 +135,15 @@ def _fields(docs: DataFrame, names: list[str]) -> list[T.StructField]:
     return [T.StructField(n, docs.schema[n].dataType) for n in names]
 
 
-def remove_repeats(docs: DataFrame, *, k: int = 13, carry: list[str] | None = None, with_text: bool = False, depth: int = 2, group_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, k: int = 13, carry: list[str] | None = None, with_text: bool = False, depth: int = 2, group_bytes: int = 8 << 20, range_bytes: int = 12 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, carried columns and, if asked, the kept text:
-    the text as it was if nothing was removed, else the kept words joined by one space."""
+    the text as it was if nothing was removed, else the kept words joined by one space. Groups have up to `group_bytes` of text, a range of cells or keys those
+    of `range_bytes` of text: tasks stay that small at any size; there is one message from each group to each range."""
     given = carry or []
     carry = [f"_c{i}" for i in range(len(given))]
     docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(given, carry)])
     total, groups = sizes(docs, group_bytes)
-    blocks = max(min(groups, 64), -(-total // (12 << 20)))
+    blocks = max(min(groups, 64), -(-total // range_bytes))
     sketch = Sketch(total // 6, blocks, depth)
     x = grouped(docs, carry, groups)
 

@@ -435,8 +435,8 @@ def test_op7_families_of_edits(spark):
                 w[int(rnd.integers(0, len(w)))] = str(rnd.choice(vocabulary))
             rows.append((len(rows), " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for k, percent in ((4, 85), (5, 80)):
-        got = near.similar(df, k=k, percent=percent).collect()
+    for k, percent, messages in ((4, 85, 1 << 32), (5, 80, 1 << 32), (5, 80, 0)):
+        got = near.similar(df, k=k, percent=percent, most_messages=messages).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows, k, percent)
 
 
