@@ -7,6 +7,9 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rankloom.plans.tables import settle
 
 
 def nearest_in_time(grid: DataFrame, points: DataFrame, by: str, at: str) -> DataFrame:
@@ -59,6 +62,22 @@ def round_robin(rows: DataFrame, strata: list[str], order: Column, n: int | None
     return out if n is None else out.where(F.col("place") <= n)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """rows with their place, from 1, in an order of all of them: a range-partitioned sort, and the counts of the partitions before."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*parts.schema.fields, T.StructField("_at", T.LongType())])
+
+    def run(batches):
+        at = 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(at + 1, at + b.num_rows + 1), pa.int64())], schema.names)
+            at += b.num_rows
+
+    held = settle(parts.mapInArrow(run, schema))
+    before = held.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    return held.join(F.broadcast(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
+
+
 def greedy_split(groups: DataFrame, target: int, seed: int) -> DataFrame:
     """Groups (group_id, n) in a fixed shuffled order, each added to the part if that brings its size strictly closer to the target.
 
