@@ -274,7 +274,6 @@ def test_op4_all_contexts_count(docs):
 
 def test_op5_pieces_tile_and_fill(docs, none):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = packing.pack(docs.coalesce(1)).collect()
     ids = {(i, tuple(x := t.encode(s or "", add_special_tokens=False).ids + [0])): x for i, s, *_ in DOCS}
     total = sum(len(t.encode(s or "", add_special_tokens=False).ids) + 1 for _, s, *_ in DOCS)
@@ -296,7 +295,6 @@ def test_op5_encoder_equals_whole_texts():
     import pyarrow as pa
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rnd, e = np.random.default_rng(4), packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     parts = [" ", "  ", "\n", "a", "é", " ", " ", "'s", "1", "!", "<|endoftext|>", "　", "ß", "日", " b", "\t", "Ð "]
     texts = ["".join(rnd.choice(parts, rnd.integers(0, 14))) for _ in range(800)]
