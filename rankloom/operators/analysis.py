@@ -76,7 +76,7 @@ def contrast_summary(differences: DataFrame, groups: DataFrame, samples: int = 5
     or more and none has over half of the queries."""
     by = ["contrast", "metric"]
     d = F.col("difference")
-    told = differences.groupBy(*by).agg(F.count(d).alias("n"), F.round(F.avg("left"), 6).alias("left_mean"), F.round(F.avg("right"), 6).alias("right_mean"), F.round(F.avg(d), 6).alias("mean_difference"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"))
+    told = differences.groupBy(*by).agg(F.count(d).alias("n"), F.round(F.avg("left"), 6).alias("left_mean"), F.round(F.avg("right"), 6).alias("right_mean"), (F.round(F.avg(d), 6) + F.lit(0.0)).alias("mean_difference"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"))
     totals = differences.join(groups, "query_id").groupBy(*by, F.col("group").alias("cluster")).agg(F.sum("difference").alias("total"), F.count("*").alias("n"))
     may = stats.dominance(totals, by).select(*by, "clusters", "eligible")
     drawn = stats.bootstrap(totals.join(may.where("eligible"), by), samples, seed, by).select(*by, "low", "high")

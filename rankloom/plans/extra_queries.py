@@ -236,7 +236,7 @@ def _variant_values(spark, sf_dir):
 
 
 @query(f"""WITH {R.CTE}, {HITS}, l AS (UNPIVOT h ON p5, p10 INTO NAME metric VALUE value), c(contrast, a, b) AS (VALUES ('n-s', 'S', 'G'), ('b-g', 'S', 'G'), ('b-e', 'S', 'E'), ('g-e', 'G', 'E'))
-SELECT contrast, x.metric, count(*) AS n, round(avg(x.value), 6) AS left_mean, round(avg(y.value), 6) AS right_mean, round(avg(y.value - x.value), 6) AS mean_difference, count(CASE WHEN y.value > x.value THEN 1 END) AS wins, count(CASE WHEN y.value < x.value THEN 1 END) AS losses, count(CASE WHEN y.value = x.value THEN 1 END) AS ties
+SELECT contrast, x.metric, count(*) AS n, round(avg(x.value), 6) AS left_mean, round(avg(y.value), 6) AS right_mean, round(avg(y.value - x.value), 6) + 0.0 AS mean_difference, count(CASE WHEN y.value > x.value THEN 1 END) AS wins, count(CASE WHEN y.value < x.value THEN 1 END) AS losses, count(CASE WHEN y.value = x.value THEN 1 END) AS ties
 FROM c JOIN l x ON x.channel = a JOIN l y ON y.channel = b AND y.query_id = x.query_id AND y.metric = x.metric GROUP BY 1, 2""")
 def paired_contrasts(spark, sf_dir):
     """The contrasts of a track whose variants are there, over exactly the frozen queries."""
