@@ -53,27 +53,23 @@ def domains(labels: DataFrame) -> DataFrame:
     return seen.select("doc_id", F.when(F.col("_t") == 1, "toxic").when(F.col("_q") == 1, "good").otherwise("poor").alias("domain"))
 
 
-def _marks(text: Column, share_repeated: Column) -> Column:
-    """Marks of a text's shape, as words that no text has: shares in steps on a log scale."""
-    size = F.greatest(F.length(text), F.lit(1))
-    rest = F.translate(text, _PLAIN, "")  # one pass over the text; the marks are read from what is left
+def _marks(rest: Column, length: Column, share_repeated: Column) -> list[Column]:
+    """Marks of a text's shape, as words that no text has: shares in steps on a log scale. Rest: what the text has beside plain letters."""
+    size = F.greatest(length, F.lit(1))
     step = lambda part: F.floor(F.log2(F.least(F.lit(1.0), part) + 1 / 1024) * 1.5).cast("string")
     held = lambda letters: (F.length(rest) - F.length(F.translate(rest, letters, ""))) / size
-    return F.array(F.concat(F.lit("\x01upper"), step(held(_UPPER))), F.concat(F.lit("\x01signs"), step(held("#$%&*!|"))), F.concat(F.lit("\x01bars"), step(held("|"))), F.concat(F.lit("\x01repeat"), step(share_repeated)))
-
-
-def _words(text: Column) -> Column:
-    """A text's words, A-Z lower-cased."""
-    return F.filter(F.split(F.translate(text, _UPPER + _BREAKS, _UPPER.lower() + " " * len(_BREAKS)), " "), lambda w: w != "")
+    return [F.concat(F.lit("\x01upper"), step(held(_UPPER))), F.concat(F.lit("\x01signs"), step(held("#$%&*!|"))), F.concat(F.lit("\x01bars"), step(held("|"))), F.concat(F.lit("\x01repeat"), step(share_repeated))]
 
 
 def _buckets(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs (with _text) with n_tokens and _b: the buckets of distinct words and shape marks."""
+    """docs (with _text) with n_tokens and _b: the buckets of distinct words, A-Z lower-cased, and shape marks. What is used more than once is a
+    column of its own, which is computed once."""
     at = lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")
-    out = docs.withColumn("_w", _words(F.col("_text"))).withColumn("n_tokens", F.size("_w").cast("long"))
-    out = out.withColumn("_d", F.array_distinct(F.transform("_w", at)))
-    repeated = 1 - F.size("_d") / F.greatest(F.col("n_tokens"), F.lit(1))
-    return out.withColumn("_b", F.array_distinct(F.concat("_d", F.transform(_marks(F.col("_text"), repeated), at)))).drop("_w", "_d", "_text")
+    words = F.split(F.translate("_text", _UPPER + _BREAKS, _UPPER.lower() + " " * len(_BREAKS)), " ")
+    out = docs.withColumns({"_w": F.array_compact(F.transform(words, lambda w: F.when(w != "", at(w)))), "_rest": F.translate("_text", _PLAIN, ""), "_len": F.length("_text")}).drop("_text")
+    out = out.withColumns({"n_tokens": F.size("_w").cast("long"), "_d": F.array_distinct("_w")}).drop("_w")
+    marks = _marks(F.col("_rest"), F.col("_len"), 1 - F.size("_d") / F.greatest(F.col("n_tokens"), F.lit(1)))
+    return out.withColumn("_b", F.array_union("_d", F.array(*map(at, marks)))).drop("_d", "_rest", "_len")
 
 
 def _total(buckets: Column, model: Model) -> Column:
