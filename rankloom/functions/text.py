@@ -35,8 +35,9 @@ def _to_folded(text: pd.Series) -> pd.Series:
 
 
 def _where(pattern: str, text: Column, change, otherwise: Column) -> Column:
-    """change(text) where the pattern is found; the UDF gets nulls elsewhere."""
-    return F.when(text.rlike(pattern), change(F.when(text.rlike(pattern), text))).otherwise(otherwise)
+    """change(text) where the pattern is found; the UDF gets nulls elsewhere. Texts without wide characters aren't searched."""
+    wide = F.octet_length(text) > F.length(text)
+    return F.coalesce(change(F.when(wide & text.rlike(pattern), text)), otherwise)
 
 
 def nfc(text: Column) -> Column:
