@@ -70,6 +70,21 @@ def test_sketch_codes_and_no_lost_key():
         cells = np.unique(rng.integers(0, top, 500))
         assert (sketch.unsqueeze(sketch.squeeze(cells)) == cells).all()
     assert len(sketch.unsqueeze(sketch.squeeze(np.zeros(0, np.int64)))) == 0
+    import pyarrow as pa
+
+    for depth, load, blocks in ((1, 1.0, 1), (2, 0.25, 7), (3, 0.5, 40)):
+        groups = [rng.integers(0, 2**63, 400).astype(np.uint64) for _ in range(6)]
+        groups[1][:50], groups[4][100:130], groups[2][7:9] = groups[0][:50], groups[0][20:50], groups[2][5]
+        count = Counter(np.concatenate(groups).tolist())
+        s = sketch.Sketch(2400, blocks, depth, load)
+        cells = pa.concat_tables([sketch.cell_table(g, s.send(keys)) for g, keys in enumerate(groups)])
+        bits = pa.concat_tables([sketch._merge(cells.filter(pa.compute.equal(cells.column("_block"), b))) for b in sorted(set(cells.column("_block").to_pylist()))])
+        passed = 0
+        for g, keys in enumerate(groups):
+            hit = s.repeated(keys, s.receive(keys, sketch.received(bits.filter(pa.compute.equal(bits.column("_group"), g)))))
+            assert hit[[count[k] > 1 for k in keys.tolist()]].all()  # none is lost, within a group or across
+            passed += int(hit.sum())
+        assert load == 1.0 or passed < 900  # and few others pass
 
 
 def test_words_and_hashes():
@@ -664,6 +679,10 @@ def test_pipeline_stages(spark, sf_dir):
     assert drawn.columns == docs.columns and clean.join(drawn, "doc_id", "left_anti").count() <= 2
     packed = corpus_pipeline.packing_stage(spark, drawn, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in drawn.collect()}
+    # the whole run gives the documents that the stages one after the other give, every token once
+    whole = corpus_pipeline.run(spark, sf_dir)
+    tokens = lambda df: {(r.doc_id, r.doc_tokens, r.n) for r in df.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect()}
+    assert tokens(whole) == tokens(packed) and all(n == total for _, total, n in tokens(whole))
 
 
 def test_registry():
