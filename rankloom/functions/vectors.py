@@ -35,11 +35,6 @@ def valid(v: Column, size: int, tolerance: float = 2e-3) -> Column:
     return F.coalesce(good & (F.abs(norm(v) - 1) <= tolerance), F.lit(False))
 
 
-def parts(v: Column, size: int, n: int) -> Column:
-    """v cut into n pieces of a size: token vectors of late interaction."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(v, i * size + 1, size))
-
-
 def positive_weights(v: Column) -> Column:
     """(token, weight) of positive components: sparse lexical weights."""
     return F.filter(F.transform(v, lambda x, i: F.struct(i.cast("int").alias("token"), x.alias("weight"))), lambda e: e["weight"] > 0)

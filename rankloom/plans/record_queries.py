@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as X
-from rankloom.operators import audit, dense, relations, stats
+from rankloom.operators import audit, dense, records, relations, stats
 from rankloom.plans import experiments
 from rankloom.plans.tables import table
 
@@ -47,8 +47,9 @@ def variant_breakdown(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS variant, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS finished, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95 FROM orders GROUP BY 1")
 def variant_summary(spark, sf_dir):
-    price = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("variant")).agg(F.count("*").alias("n"), F.round(F.avg(price), 4).alias("mean_price"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.round(F.percentile(price, F.lit(0.5)), 4).alias("p50"), F.round(F.percentile(price, F.lit(0.95)), 4).alias("p95"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("variant"), "o_orderstatus", "o_totalprice")
+    told = rows.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    return told.join(stats.percentiles(rows, "o_totalprice", ["variant"]).select("variant", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95")), "variant")
 
 
 @query("SELECT o_orderpriority AS variant, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS \"F\", count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS \"O\", count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS \"P\" FROM orders GROUP BY 1")
@@ -265,7 +266,7 @@ def positional_checkpoint(spark, sf_dir):
 def retry_classes(spark, sf_dir):
     code = F.element_at(F.array(*map(F.lit, (429, 503, 404, 504, 200))), (F.col("page_id") % 5 + 1).cast("int"))
     started = F.col("page_id") % 2 == 1
-    return table(spark, sf_dir, "pages").select("page_id", F.when(code.isin(429, 502, 503, 504) & ~started, "retry").when(code >= 400, "fail").otherwise("done").alias("outcome"))
+    return table(spark, sf_dir, "pages").select("page_id", records.outcome(code, started).alias("outcome"))
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, list_aggregate(list(length(text) ORDER BY turn), 'max') AS longest FROM conversations GROUP BY conv_id")

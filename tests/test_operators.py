@@ -354,3 +354,17 @@ def test_source_links_and_contrasts(spark):
     with pytest.raises(Exception, match="frozen query set"):
         analysis.contrasts(values, "code", queries.where("query_id < 3")).collect()
     assert analysis.contrasts(values, "video", queries).count() == 0
+
+
+def test_percentiles_and_places(spark):
+    rnd = np.random.default_rng(9)
+    data = [(None if i % 9 == 0 else int(rnd.integers(0, 3)), None if i % 7 == 0 else float(rnd.integers(0, 40)) / 4) for i in range(400)] + [(7, None), (8, 2.5)]
+    df = spark.createDataFrame(data, "g long, v double").repartition(5)
+    got = {r.g: (r.n, r.p50, r.p95) for r in stats.distribution(df, "v", ["g"]).collect()}
+    for g in {g for g, _ in data}:
+        v = [x for h, x in data if h == g and x is not None]
+        want = (len(v), round(float(np.percentile(v, 50)), 6), round(float(np.percentile(v, 95)), 6)) if v else (0, None, None)
+        assert got[g] == want
+    places = relations.numbered(spark.range(1000).withColumn("k", F.col("id") % 10).repartition(7), ["k", "id"]).collect()
+    assert [(r.k, r.id) for r in sorted(places, key=lambda r: r.place)] == [(k, i) for k in range(10) for i in range(k, 1000, 10)] and {r.place for r in places} == set(range(1, 1001))
+    assert relations.numbered(spark.range(0), ["id"]).count() == 0
