@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,31 +52,44 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"[{seed},"), F.to_json(F.array(key.cast("string"))), F.lit("]")), 256)
 
 
-def round_robin(rows: DataFrame, strata: list[str], order: Column, n: int | None = None) -> DataFrame:
-    """Rows taken in turn from each stratum in a given order; the place of each, the first n of them."""
-    turn = rows.withColumn("_order", order).withColumn("turn", F.row_number().over(Window.partitionBy(*strata).orderBy("_order")))
-    # places come from how many rows all strata have in earlier turns: counts of turns, not a sort of all rows in one task
-    per = turn.groupBy("turn").agg(F.count("*").alias("_n"))
-    before = per.withColumn("_before", F.sum("_n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))).select("turn", F.coalesce("_before", F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("turn").orderBy(*strata))
-    out = turn.join(before, "turn").withColumn("place", F.col("_before") + at).drop("_before", "_order")
-    return out if n is None else out.where(F.col("place") <= n)
-
-
-def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """rows with their place, from 1, in an order of all of them: a range-partitioned sort, and the counts of the partitions before."""
+def numbered(rows: DataFrame, order: list[str], name: str = "place", weight: str | None = None) -> DataFrame:
+    """rows with their place, from 1, in an order of all of them, or the running sum of a weight (a whole number): a range-partitioned sort, and the
+    totals of the partitions before."""
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     schema = T.StructType([*parts.schema.fields, T.StructField("_at", T.LongType())])
 
     def run(batches):
         at = 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(at + 1, at + b.num_rows + 1), pa.int64())], schema.names)
-            at += b.num_rows
+            each = np.ones(b.num_rows, np.int64) if weight is None else b.column(weight).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = at + np.cumsum(each)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto)], schema.names)
+            at = int(upto[-1]) if len(upto) else at
 
     held = settle(parts.mapInArrow(run, schema))
-    before = held.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    return held.join(F.broadcast(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
+    total = held.groupBy("_part").agg(F.max("_at").alias("_n"))
+    before = total.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
+
+
+def in_groups(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their place, from 1, within their group, and the group's size as <name>_of: by a sort over all tasks, so that no group is one task's."""
+    held = numbered(rows, [*by, *order], "_p")
+    groups = held.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min("_p").alias("_first"), F.count("*").alias(f"{name}_of"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return held.join(groups, same).select(*rows.columns, (F.col("_p") - F.col("_first") + 1).alias(name), f"{name}_of")
+
+
+def round_robin(rows: DataFrame, strata: list[str], order: Column, n: int | None = None) -> DataFrame:
+    """Rows taken in turn from each stratum in a given order; the place of each, the first n of them. A turn has as many rows as strata at most."""
+    turn = in_groups(rows.withColumn("_order", order), strata, ["_order"], "turn").drop("turn_of")
+    # places come from how many rows all strata have in earlier turns
+    per = numbered(turn.groupBy("turn").agg(F.count("*").alias("_n")), ["turn"], "_upto", "_n")
+    at = F.row_number().over(Window.partitionBy("turn").orderBy(*strata))
+    out = turn.join(per, "turn").withColumn("place", F.col("_upto") - F.col("_n") + at).drop("_upto", "_n", "_order")
+    return out if n is None else out.where(F.col("place") <= n)
 
 
 def greedy_split(groups: DataFrame, target: int, seed: int) -> DataFrame:
