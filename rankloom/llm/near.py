@@ -452,6 +452,7 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str]
     release(kept)
     sets = settle(_sets_of(docs, nodes.join(signs.select("node").distinct(), "node", "left_semi").select("node", "key.k1", "key.k2"), k))
     links = tried = roots = None
+    done = [sets]
     for turn in range(rounds):
         rooted = signs if turn else signs.withColumn("root", F.col("node"))
         order = F.struct(-F.col("shares") if not turn else F.lit(0.0), F.xxhash64(F.lit(turn), "node"))
@@ -461,12 +462,14 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str]
         found = settle(_verified(asked, sets, percent))
         links = found if links is None else links.unionByName(found)
         tried = asked if tried is None else tried.unionByName(asked)
+        done += [asked, found]
         roots = components(links)
         before, signs = signs, _open(signs, roots)  # most signatures are within components now
         release(before)
     more = settle(_verified(_across(signs, sets, percent).join(tried, ["a", "b"], "left_anti"), sets, percent))
     if more.take(1):
         roots = components(links.unionByName(more))
+    done += [signs, more]
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(named.groupBy("root").agg(F.min("first").alias("top")), "root").select("node", "hi", "lo", "top")
     extra = ["top"]
@@ -474,6 +477,7 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, carry: list[str]
         degree = settle(_degrees(roots.join(nodes, "node").join(sets, "node").select("node", "root", "copies", "elements"), percent))
         own = nodes.join(degree, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
         named, extra = named.join(own, "node"), ["top", "links"]
+    release(*done)  # the result needs rows, nodes and roots alone
     out = rows.join(named.select("hi", "lo", *extra), ["hi", "lo"], "left")
     result = {"doc_id": F.col("doc_id"), "n_shingles": F.col("n"), "component_id": F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))}
     result |= {"n_links": F.coalesce("links", F.lit(0).cast("long"))} if links_too else {}
