@@ -368,3 +368,14 @@ def test_percentiles_and_places(spark):
     places = relations.numbered(spark.range(1000).withColumn("k", F.col("id") % 10).repartition(7), ["k", "id"]).collect()
     assert [(r.k, r.id) for r in sorted(places, key=lambda r: r.place)] == [(k, i) for k in range(10) for i in range(k, 1000, 10)] and {r.place for r in places} == set(range(1, 1001))
     assert relations.numbered(spark.range(0), ["id"]).count() == 0
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from rankloom.plans.tables import shared_dir
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(cluster)
