@@ -45,7 +45,7 @@ def bm25_scores(found: DataFrame, n: int, mean: float, asked: DataFrame, k1: flo
 def bm25(docs: DataFrame, text: Column, queries: DataFrame, question: Column, tokenise, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of pairs with a positive score. idf is ln(1 + (N - df + 0.5) / (df + 0.5)); a query's repeated
     token counts each time. Queries' terms are few: postings are cut to them before anything is shuffled."""
-    asked = tokens(queries, question, tokenise, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    asked = settle(tokens(queries, question, tokenise, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times")))
     return bm25_scores(*postings(docs, text, asked, tokenise), asked, k1, b)
 
 

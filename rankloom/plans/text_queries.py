@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as X
 from rankloom.functions.code import segments
 from rankloom.operators import audit, lexical, metrics, ranking
-from rankloom.plans.tables import settle, table
+from rankloom.plans.tables import settle, spread, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -30,7 +30,7 @@ PLAIN = r"trim(regexp_replace(regexp_replace(lower(translate({t}, 'Iİ', 'ıi'))
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def asked(spark, sf_dir):
@@ -116,7 +116,7 @@ orr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min((source * 100 + rank) * CAST(100000000 AS BIGINT) + doc_id) AS tie FROM (SELECT 0 AS source, query_id, doc_id, rank FROM br UNION ALL SELECT 1, query_id, doc_id, rank FROM orr) GROUP BY 1, 2)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie) AS INTEGER) AS rank FROM f) WHERE rank <= 50""")
 def hybrid_candidates(spark, sf_dir):
-    terms = lexical.tokens(asked(spark, sf_dir), F.col("question"), X.turkish_tokens, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    terms = settle(lexical.tokens(asked(spark, sf_dir), F.col("question"), X.turkish_tokens, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times")))
     found, n, mean = lexical.postings(docs(spark, sf_dir), F.col("text"), terms, X.turkish_tokens)  # both channels read them
     shared = ranking.ranked(found.join(terms, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("score")), 50)
     best = ranking.ranked(lexical.bm25_scores(found, n, mean, terms), 50)
