@@ -26,8 +26,8 @@ def postings(docs: DataFrame, text: Column, terms: DataFrame, tokenise) -> tuple
     text is tokenised once: the row of token "", which no text holds, stands for the document."""
     held = docs.select("doc_id", F.explode(F.array(F.struct(tokenise(text).alias("w")))).alias("x"))  # a generator is computed once
     every = held.select("doc_id", F.size("x.w").alias("length"), F.explode(F.concat("x.w", F.array(F.lit("")))).alias("token"))
-    wanted = settle(terms.select("token").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "token string")))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    wanted = terms.select("token").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "token string"))
+    wanted = F.broadcast(wanted) if terms.count() <= BROADCAST_TERMS else wanted
     found = settle(every.join(wanted, "token", "left_semi").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf")))
     totals = found.where("token = ''").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("length")).alias("sum")).first()
     return found.where("token <> ''"), totals.n or 0, (totals["sum"] or 0) / (totals.n or 1)

@@ -6,10 +6,13 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_collected = 0.0
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,9 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, and a lost executor loses none of it."""
+    global _collected
     spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of earlier plans that nothing refers to
+    if time.monotonic() - _collected > 2:  # seldom where tables are small and many
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of earlier plans that nothing refers to
+        _collected = time.monotonic()
     at = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
