@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.plans.tables import release, settle, shared_dir, table
+from rankloom.plans.tables import release, settle, shared_dir, spread, table
 
-__all__ = ["beside", "release", "settle", "shared_dir", "table", "train_rows"]
+__all__ = ["beside", "release", "settle", "shared_dir", "spread", "table", "train_rows"]
 
 
 def train_rows(doc_id: str, out: int) -> object:
