@@ -1,5 +1,7 @@
 """Golden values and edge cases of the library's operators on small tables."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +167,56 @@ def test_binary_metrics_golden(spark):
     assert (m.recall_1, m.hit_1, m.all_evidence_1, m.recall_3) == (0.5, 1, 0, 1)
 
 
+def sparse_by_hand(queries, docs, k, positive=False, itself=True):
+    """Top k by sums over shared tokens, pair by pair."""
+    out = []
+    for q in sorted({q for q, _, _ in queries}):
+        sums = {}
+        for d, tokens, weights in docs:
+            for _, t, w in (x for x in queries if x[0] == q):
+                for u, v in zip(tokens, weights, strict=True):
+                    if t == u and (itself or d != q):
+                        sums[d] = sums.get(d, 0.0) + w * v
+        best = sorted((math.isnan(s) and -math.inf or -math.floor(s * 1e6 + 0.5) / 1e6, d) for d, s in sums.items())
+        out += [(q, d, -s, r) for r, (s, d) in enumerate([x for x in best if not positive or x[0] < 0][:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize(("numbers", "segment"), [(4_000_000, 1 << 20), (1_500, 40)])
+def test_sparse_search(spark, monkeypatch, numbers, segment):
+    """The same as pair by pair, in one block and in many: frequent and rare tokens, ties, repeated tokens and ids, documents that share nothing, halves."""
+    monkeypatch.setattr(dense, "BLOCK_NUMBERS", numbers)
+    monkeypatch.setattr(dense, "SEGMENT_NUMBERS", segment)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    some = lambda n: [words[min(59, int(x))] for x in rng.exponential(9, n)]
+    docs = [(i % 97, ts, [float(x) for x in rng.integers(1, 9, len(ts)) / 128]) for i in range(110) for ts in [some(int(rng.integers(0, 12)))]]  # 13 ids are repeated
+    docs += [(200, ["alone", "w1"], [1e-200, 0.0078125]), (201, ["far"], [1.0]), (202, [], []), (203, None, None)]
+    queries = [(q, t, float(w)) for q in (0, 5, 96, 200, 500) for t in some(6) for w in [rng.integers(1, 9) / 128]] + [(600, "alone", 1e-200), (600, "w1", 1e-9), (700, "nowhere", 1.0)]
+    corpus, asked = spark.createDataFrame(docs, "doc_id long, tokens array<string>, weights array<double>").repartition(3), spark.createDataFrame(queries, "query_id long, token string, weight double")
+    for k, positive, itself in ((4, False, True), (7, True, False), (200, False, False), (200, True, True)):
+        got = dense.sparse_search(asked, corpus, k, positive=positive, itself=itself).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == sparse_by_hand(queries, [d for d in docs if d[1]], k, positive, itself)
+
+
+def test_sparse_search_odd_weights(spark):
+    """Zero sums of shared tokens are candidates, what is not finite ranks as in SQL, halves go up."""
+    nan, inf = float("nan"), float("inf")
+    docs = [(1, [1], [nan]), (2, [1], [inf]), (3, [1], [0.0078125]), (4, [1], [-0.0078125]), (5, [2], [1.0]), (6, [1], [1e-300]), (7, [1, 3], [None, 1.0])]
+    corpus = spark.createDataFrame(docs, "doc_id int, tokens array<int>, weights array<double>").coalesce(1)
+    got = dense.sparse_search(spark.createDataFrame([(9, 1, 1.0)], "query_id int, token int, weight double"), corpus, 9)
+    assert str(rows(got.orderBy("rank"), "doc_id", "score")) == str([(1, nan), (2, inf), (3, 0.007813), (6, 0.0), (4, -0.007813)])
+    assert got.dtypes == [("query_id", "int"), ("doc_id", "int"), ("score", "double"), ("rank", "int")]
+    assert dense.sparse_search(spark.createDataFrame([], "query_id int, token int, weight double"), corpus, 9).count() == 0
+
+
+def test_sparse_dot_shuffles_no_pairs(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["sparse_dot"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_bm25_positive_only_and_ties(spark):
     docs = spark.createDataFrame([(1, "needle evidence"), (2, "needle evidence"), (3, "unrelated document")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "needle"), (2, "absentvocabulary"), (3, "!!!")], "query_id long, question string")
