@@ -1,6 +1,7 @@
 """Golden values and edge cases of the library's operators on small tables."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -224,6 +225,40 @@ def test_bm25_positive_only_and_ties(spark):
     assert rows(got.orderBy("query_id", "rank"), "query_id", "doc_id") == [(1, 1), (1, 2)]
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_bm25_search(spark, monkeypatch, most):
+    """The lists of bm25's scores, also where terms are too many to be broadcast; ids are repeated, with equal and other lengths."""
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", most)
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join(f"w{min(40, int(x))}" for x in rng.exponential(7, n))
+    docs = spark.createDataFrame([(i % 61, some(int(rng.integers(0, 20)))) for i in range(70)] + [(3, "w1 w2 w2"), (3, "w2 w1 w1"), (3, "w1"), (99, ""), (98, "!")], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(q, some(5)) for q in (0, 3, 60, 98, 700)] + [(701, "nowhere")], "query_id long, question string")
+    terms = lexical.tokens(queries, F.col("question"), X.turkish_tokens, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    scores = lexical.bm25(docs, F.col("text"), queries, F.col("question"), X.turkish_tokens)
+    for k, itself in ((5, False), (500, True)):
+        want = ranking.ranked(scores if itself else scores.where("query_id <> doc_id"), k)
+        got = lexical.bm25_search(docs, F.col("text"), terms, X.turkish_tokens, k, itself=itself)
+        order = lambda x: rows(x.orderBy("query_id", "rank"), "query_id", "rank", "doc_id", "score")
+        assert order(got) == order(want) and got.count() > 20
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_search_null_text(spark):
+    """A null text is one of the documents, and the mean is that of the others."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c d d"), (3, None)], "doc_id long, text string")
+    got = lexical.bm25_search(docs, F.col("text"), spark.createDataFrame([(1, "d", 1)], "query_id long, token string, times long"), X.turkish_tokens, 5)
+    assert rows(got, "doc_id", "score") == [(2, round(math.log(1 + 2.5 / 1.5) * 2 / (2 + 1.5 * (0.25 + 0.75 * 4 / 3)), 6))]
+
+
+def test_prepared_candidates_shuffle_no_pairs(spark, sf_dir, monkeypatch):
+    from rankloom.plans import extra_queries
+
+    plans = []
+    monkeypatch.setattr(extra_queries, "settle", lambda df, settle=extra_queries.settle: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    extra_queries.prepared_candidates(spark, sf_dir)
+    assert plans and not any(re.search(r"Join \[token", p) for p in plans)
+
+
 def test_answers(spark):
     df = spark.createDataFrame([(1, "seven grey geese", ["geese"]), (2, "", ["x"]), (3, None, [""]), (4, "a b", ["b a", "a b"]), (5, "x x y", ["x x z z"])], "query_id long, prediction string, references array<string>")
     got = {r.query_id: r for r in metrics.answer_metrics(df, X.plain_answer).collect()}
