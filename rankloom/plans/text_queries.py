@@ -26,6 +26,7 @@ def query(sql: str | None = None):
 
 TR = r"regexp_extract_all(lower(translate({t}, 'Iİ', 'ıi')), '[\p{{L}}\p{{N}}_]+')"
 DOC_TOKENS = TR.format(t="nfc_normalize(text)")
+LARGEST = (1 << 63) - 1
 PLAIN = r"trim(regexp_replace(regexp_replace(lower(translate({t}, 'Iİ', 'ıi')), '\p{{P}}', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -116,12 +117,14 @@ orr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min((source * 100 + rank) * CAST(100000000 AS BIGINT) + doc_id) AS tie FROM (SELECT 0 AS source, query_id, doc_id, rank FROM br UNION ALL SELECT 1, query_id, doc_id, rank FROM orr) GROUP BY 1, 2)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie) AS INTEGER) AS rank FROM f) WHERE rank <= 50""")
 def hybrid_candidates(spark, sf_dir):
-    terms = settle(lexical.tokens(asked(spark, sf_dir), F.col("question"), X.turkish_tokens, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times")))
-    found, n, mean = lexical.postings(docs(spark, sf_dir), F.col("text"), terms, X.turkish_tokens)  # both channels read them
-    shared = ranking.ranked(found.join(terms, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("score")), 50)
-    best = ranking.ranked(lexical.bm25_scores(found, n, mean, terms), 50)
-    lists = best.select("query_id", F.lit(0).alias("source"), "rank", "doc_id").unionByName(shared.select("query_id", F.lit(1).alias("source"), "rank", "doc_id"))
-    return ranking.fuse_text(lists, top=50)
+    """Null ids keep their rows, as in the SQL: they go through the searches as the largest number, the last of ties."""
+    named = lambda df, c: df.withColumn(c, F.coalesce(c, F.lit(LARGEST)))
+    back = lambda df, c: df.withColumn(c, F.nullif(F.col(c), F.lit(LARGEST)))
+    terms = settle(lexical.tokens(named(asked(spark, sf_dir), "query_id"), F.col("question"), X.turkish_tokens, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times")))
+    found, n, mean = lexical.term_counts(named(docs(spark, sf_dir), "doc_id"), F.col("text"), terms, X.turkish_tokens)  # both channels read them
+    lists = [lexical.bm25_best(found, n, mean, terms, 50), lexical.shared_best(found, terms, 50)]
+    lists = [one.select("query_id", F.lit(source).alias("source"), "rank", "doc_id") for source, one in enumerate(lists)]
+    return back(ranking.fuse_text(back(settle(lists[0].unionByName(lists[1])), "doc_id"), top=50), "query_id")
 
 
 TURNS = "t AS (SELECT conv_id * 1000 + turn AS query_id, text AS reference, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prediction FROM conversations)"
